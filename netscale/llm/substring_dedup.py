@@ -27,6 +27,8 @@ from netscale.llm.common import blocks, extended, id_of, release, text_of, words
 HOT_DOCS = 1000
 #: Segments that are compiled to an automaton at a time, unless one shard alone has more.
 SEGMENTS = 20_000
+#: Distinct segments that a task gathers before it sends them to their shards.
+MERGED = 100_000
 
 
 def _anchors(words, window: int, gram: int):
@@ -80,7 +82,7 @@ def _places(window: int, gram: int):
 
 def _segments(window: int, gram: int):
     names = ["shard", "seg", "id", "th", "start", "text"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,10 +118,10 @@ def _segments(window: int, gram: int):
                 data[inner] = words.data[source[inner]]
                 raw = data.tobytes()
                 texts = [raw[s:e] for s, e in zip((to - lengths)[head].tolist(), (to[tail] - 1).tolist(), strict=True)]
-                segs = [xxhash.xxh3_128_digest(t) for t in texts]
+                segs = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
                 shard = g[place].view(np.int64).copy()
                 for i in np.flatnonzero(kind == 2):
-                    shard[i] = int.from_bytes(segs[i][:8], "little", signed=True)
+                    shard[i] = xxhash.xxh3_64_intdigest(texts[i], 1) - 2**63
                 doc = words.doc[head]
                 ids, th = (block.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("id", "th"))
                 columns = [shard, segs, ids, th, (head - words.first[doc]).astype(np.int32), pa.array(texts, pa.binary()).cast(pa.string())]
@@ -128,13 +130,38 @@ def _segments(window: int, gram: int):
     return run
 
 
-def _locate(rows: list[tuple], window: int) -> Iterator[tuple]:
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each segment once for many documents, with its smallest and largest id: what a task sends of a hot one is bounded."""
+    held: dict[tuple, list] = {}
+
+    def flush() -> pa.RecordBatch:
+        rows = [(*k, *v) for k, v in held.items()]
+        held.clear()
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "seg", "text", "least", "most"])
+
+    for batch in batches:
+        for shard, seg, text, i in zip(*(batch.column(c).to_pylist() for c in ("shard", "seg", "text", "id")), strict=True):
+            v = held.get((shard, seg))
+            if v is None:
+                held[shard, seg] = [text, i, i]
+            elif i < v[1]:
+                v[1] = i
+            elif i > v[2]:
+                v[2] = i
+        if len(held) >= MERGED:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def _locate(rows: list[list], window: int) -> Iterator[tuple]:
     """Of each segment: where windows stand that recur, and the smallest id that has each."""
     number: dict[str, int] = {}
-    coded = [tuple([number.setdefault(w, len(number) + 1) for w in text.split(" ")]) for _, text, _, _ in rows]
+    coded = [tuple([number.setdefault(w, len(number) + 1) for w in text.split(" ")]) for _, _, text, _, _ in rows]
     low: dict[tuple, int] = {}
     high: dict[tuple, int] = {}
-    for code, (_, _, least, most) in zip(coded, rows, strict=True):
+    for code, (_, _, _, least, most) in zip(coded, rows, strict=True):
         for i in range(len(code) - window + 1):
             w = code[i : i + window]
             if w not in low:
@@ -151,18 +178,17 @@ def _locate(rows: list[tuple], window: int) -> Iterator[tuple]:
     if not len(passages):
         return
     passages.make_automaton()
-    for code, (seg, _, _, most) in zip(coded, rows, strict=True):
+    for code, (shard, seg, _, _, most) in zip(coded, rows, strict=True):
         found = [(end - window + 1, least) for end, least in passages.iter(code) if least < most]
         if found:
-            yield seg, [x[0] for x in found], [x[1] for x in found]
+            yield shard, seg, [x[0] for x in found], [x[1] for x in found]
 
 
 def _automata(window: int):
-    schema = pa.schema([("seg", pa.binary()), ("offs", pa.list_(pa.int32())), ("lows", pa.list_(pa.int64()))])
+    schema = pa.schema([("shard", pa.int64()), ("seg", pa.int64()), ("offs", pa.list_(pa.int32())), ("lows", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        shard = None
+        held: list[list] = []
 
         def flush():
             out = list(_locate(held, window))
@@ -171,12 +197,15 @@ def _automata(window: int):
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for s, seg, text, least, most in zip(*(batch.column(c).to_pylist() for c in ("shard", "seg", "text", "least", "most")), strict=True):
-                if s != shard:
-                    if len(held) >= SEGMENTS:
-                        yield from flush()
-                    shard = s
-                held.append((seg, text, least, most))
+            for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "seg", "text", "least", "most")), strict=True):
+                last = held[-1] if held else None
+                if last and last[0] == row[0]:
+                    if last[1] == row[1]:
+                        last[3], last[4] = min(last[3], row[3]), max(last[4], row[4])
+                        continue
+                elif len(held) >= SEGMENTS:
+                    yield from flush()
+                held.append(list(row))
         yield from flush()
 
     return run
@@ -219,19 +248,19 @@ def _cover(window: int, text_column: str, names: list[str]):
 
 
 def covered_windows(docs: DataFrame, window: int = 13, gram: int = 5, text: str = "text", doc_id: str = "doc_id", hot_docs: int = HOT_DOCS) -> DataFrame:
-    """The windows that some document with a smaller id has too: (id, th, starts), th the xxhash64 of the text, starts in words."""
+    """The windows that some document with a smaller id has too: (id, th, starts), th a hash of the text, starts in words."""
     spark = docs.sparkSession
     plain = docs.select(id_of(doc_id).alias("id"), text_of(text).alias("text"))
     recurring = plain.select("text").mapInArrow(_count(window, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     places = plain.mapInArrow(_places(window, gram), "h long, id long, at int").join(recurring, "h")
     places = places.select("id", F.expr(f"if(n > {int(hot_docs)}, -at - 1, at)").alias("at")).groupBy("id").agg(F.collect_list("at").alias("at"))
-    held = plain.withColumn("th", F.xxhash64("text")).join(places, "id")
-    held = written(held.mapInArrow(_segments(window, gram), "shard long, seg binary, id long, th long, start int, text string"), "segments")
+    held = plain.withColumn("th", F.hash("text")).join(places, "id")
+    held = written(held.mapInArrow(_segments(window, gram), "shard long, seg long, id long, th int, start int, text string"), "segments")
     release(spark)
-    shards = held.groupBy("shard", "seg", "text").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    shards = shards.repartition("shard").sortWithinPartitions("shard")
-    found = shards.mapInArrow(_automata(window), "seg binary, offs array<int>, lows array<long>")
-    hits = held.select("seg", "id", "th", "start").join(found, "seg")
+    shards = held.select("shard", "seg", "text", "id").mapInArrow(_merge, "shard long, seg long, text string, least long, most long")
+    shards = shards.repartition("shard").sortWithinPartitions("shard", "seg")
+    found = shards.mapInArrow(_automata(window), "shard long, seg long, offs array<int>, lows array<long>")
+    hits = held.select("shard", "seg", "id", "th", "start").join(found, ["shard", "seg"])
     starts = F.expr("transform(filter(arrays_zip(offs, lows), x -> x.lows < id), x -> start + x.offs)")
     hits = hits.select("id", "th", starts.alias("starts")).where("size(starts) > 0")
     return hits.groupBy("id", "th").agg(F.flatten(F.collect_list("starts")).alias("starts"))
@@ -247,7 +276,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, text: str
     """
     starts = covered_windows(docs, window, gram, text, doc_id, hot_docs)
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    rows = docs.select(*names).withColumns({"__text": text_of(text), "__id": id_of(doc_id)}).withColumn("__th", F.xxhash64("__text"))
+    rows = docs.select(*names).withColumns({"__text": text_of(text), "__id": id_of(doc_id)}).withColumn("__th", F.hash("__text"))
     joined = rows.join(starts.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("starts").alias("__starts")), ["__id", "__th"], "left")
     joined = joined.withColumn("__starts", F.coalesce("__starts", F.expr("cast(array() as array<int>)"))).withColumn("__null", F.isnull(text))
     plain = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema.fields if f.name in names])
