@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netscale.llm.common import table
+from netscale.llm import language_id
+from netscale.llm.common import shared_dir, table
+from netscale.llm.packing import harmonic_pack
 from netscale.llm.substring_dedup import substring_dedup
+from netscale.llm.token_counts import token_counts
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    pieces = harmonic_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +28,24 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce(kept, F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a quarter of them is never learnt from."""
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    languages, p = language_id.fit(docs, path, fold != 2)
+    plain = docs.select("doc_id", (fold == 2).alias("held_out"), "text")
+    return language_id.identify(plain, path, languages, p).drop("text")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, through a cache that is empty at first."""
+    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), cache).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_substring_dedup, op8_language_id, op10_token_counts)}
 
 SQL = {
     "op3_substring_dedup": r"""
