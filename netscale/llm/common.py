@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -39,19 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+    """df as a table in the shared folder: it cuts lineage and survives lost executors. Its shuffle files go once it's written."""
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    was = spark.conf.get(clean)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(clean, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files that no live DataFrame refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -105,17 +103,20 @@ def blocks(batch: pa.RecordBatch, name: str):
 
 
 class Words:
-    """Words of a block of texts: where each starts and ends, whose it is, and a 64-bit hash of it."""
+    """Words of a block of texts: where each starts and ends, whose it is, and a 64-bit hash of it.
+
+    gap: of each byte, whether it lies between words; or its kind, where words are runs of one kind and 0 lies between words.
+    """
 
     def __init__(self, data: np.ndarray, at: np.ndarray, gap: np.ndarray = SPACE):
         self.data, self.at, n = data, at, len(data)
-        inside = np.zeros(n + 2, bool)
-        inside[1 : n + 1] = ~gap[data]
+        inside = np.zeros(n + 2, np.int8)
+        inside[1 : n + 1] = ~gap[data] if gap.dtype == bool else gap[data]
         edge = np.zeros(n + 1, bool)  # between bytes i-1 and i, a text ends
         edge[at] = True
         now, before = inside[1 : n + 2], inside[: n + 1]
-        self.start = np.flatnonzero(now & (~before | edge))
-        self.end = np.flatnonzero(before & (~now | edge))
+        self.start = np.flatnonzero((now > 0) & ((before != now) | edge))
+        self.end = np.flatnonzero((before > 0) & ((now != before) | edge))
         self.doc = np.searchsorted(at, self.start, "right") - 1
         self.first = np.searchsorted(self.start, at, "left")  # of each text's words; texts without any share it
 

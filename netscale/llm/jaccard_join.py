@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netscale.llm.common import NO_ID, blocks, id_of, mix, release, text_of, words_of, written
+from netscale.llm.common import NO_ID, blocks, id_of, mix, text_of, words_of, written
 from netscale.llm.components import components
 
 #: Cells of the count sketch and the parts it is summed in; a shingle is frequent beyond this many times the mean count plus a constant.
@@ -311,7 +311,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, text: str = "text", doc_id:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = plain.select("text").mapInArrow(_signed(k, cells, parts), "p int, blob binary")
     groups = written(blobs.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_grouped, "keys array<long>, sizes array<int>"), "groups")
-    release(spark)
     fits = F.expr("3 * greatest(sizes[0], x.s) <= 4 * least(sizes[0], x.s)")
     pairs = groups.select("keys", "sizes", F.explode(F.expr("slice(transform(keys, (k, i) -> struct(k as k, sizes[i] as s)), 2, size(keys) - 1)")).alias("x")).where(fits)
     pairs = written(pairs.select(F.expr("keys[0]").alias("a"), F.col("x.k").alias("b")).distinct(), "pairs")

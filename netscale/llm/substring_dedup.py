@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netscale.llm.common import blocks, extended, id_of, release, text_of, words_of, written
+from netscale.llm.common import blocks, extended, id_of, text_of, words_of, written
 
 #: An anchor that more documents have is split to its windows.
 HOT_DOCS = 1000
@@ -249,21 +249,19 @@ def _cover(window: int, text_column: str, names: list[str]):
 
 def covered_windows(docs: DataFrame, window: int = 13, gram: int = 5, text: str = "text", doc_id: str = "doc_id", hot_docs: int = HOT_DOCS) -> DataFrame:
     """The windows that some document with a smaller id has too: (id, th, starts), th a hash of the text, starts in words."""
-    spark = docs.sparkSession
     plain = docs.select(id_of(doc_id).alias("id"), text_of(text).alias("text"))
     recurring = plain.select("text").mapInArrow(_count(window, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     places = plain.mapInArrow(_places(window, gram), "h long, id long, at int").join(recurring, "h")
     places = places.select("id", F.expr(f"if(n > {int(hot_docs)}, -at - 1, at)").alias("at")).groupBy("id").agg(F.collect_list("at").alias("at"))
     held = plain.withColumn("th", F.hash("text")).join(places, "id")
     held = written(held.mapInArrow(_segments(window, gram), "shard long, seg long, id long, th int, start int, text string"), "segments")
-    release(spark)
     shards = held.select("shard", "seg", "text", "id").mapInArrow(_merge, "shard long, seg long, text string, least long, most long")
     shards = shards.repartition("shard").sortWithinPartitions("shard", "seg")
     found = shards.mapInArrow(_automata(window), "shard long, seg long, offs array<int>, lows array<long>")
     hits = held.select("shard", "seg", "id", "th", "start").join(found, ["shard", "seg"])
     starts = F.expr("transform(filter(arrays_zip(offs, lows), x -> x.lows < id), x -> start + x.offs)")
     hits = hits.select("id", "th", starts.alias("starts")).where("size(starts) > 0")
-    return hits.groupBy("id", "th").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return written(hits.groupBy("id", "th").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, text: str = "text", doc_id: str = "doc_id", hot_docs: int = HOT_DOCS) -> DataFrame:
