@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netscale.llm import language_id
+from netscale.llm.chat_format import chat_examples, digests
 from netscale.llm.common import shared_dir, table
+from netscale.llm.decontamination import contaminated
+from netscale.llm.jaccard_join import jaccard_components
 from netscale.llm.packing import harmonic_pack
 from netscale.llm.substring_dedup import substring_dedup
 from netscale.llm.token_counts import token_counts
@@ -28,6 +31,19 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce(kept, F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be read back from the examples of all conversations, and of one whose texts hold control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return digests(chat_examples(turns.unionByName(more)))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; a quarter of them is never learnt from."""
     docs = table(spark, sf_dir, "documents")
@@ -38,6 +54,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(plain, path, languages, p).drop("text")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, as they are or with other numbers, names and units."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, through a cache that is empty at first."""
     cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
@@ -45,9 +66,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), cache).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_substring_dedup, op8_language_id, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_substring_dedup, op6_chat_format, op7_jaccard_join, op8_language_id, op9_decontamination, op10_token_counts)}
 
 SQL = {
+    "op6_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(\|[A-Za-z_]+\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\2\\\3', 'g') AS body FROM c),
+s AS (SELECT *, sum(12 + length(role) + 1 + length(body) + 11) OVER w AS upto, row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS last
+  FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum(upto) FILTER (role = 'assistant' OR last) AS formatted FROM s GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted::BIGINT AS formatted_chars
+FROM g""",
     "op3_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 win AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS k FROM w, unnest(range(1, len(words) - 11)) AS r(i)),
