@@ -8,6 +8,7 @@ word's is the sum over all its segmentations, by the forward algorithm.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from netscale.llm.common import blocks, extended, text_of
 #: Longest piece in characters, longest stretch of a word that is scored at once, and the probability of a character without a piece.
 LONGEST, STRETCH, UNKNOWN = 8, 24, 1e-7
 #: Words whose likelihoods a worker remembers.
-CACHED = 400_000
+CACHED = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,6 +66,12 @@ class Pieces:
         return out
 
 
+@lru_cache(2)
+def pieces_of(path: str) -> Pieces:
+    """One for all tasks of a worker."""
+    return Pieces(path)
+
+
 def _forward(at: np.ndarray, p: np.ndarray) -> np.ndarray:
     """[word, position, language]: sum over segmentations up to each position. p: [piece, language], with two rows for none."""
     n, width, top = at.shape
@@ -123,7 +130,7 @@ class Scorer:
     """Log-likelihoods of texts in all languages."""
 
     def __init__(self, path: str, p: np.ndarray):
-        self.pieces, self.p = Pieces(path), p
+        self.pieces, self.p = pieces_of(path), p
         self.row: dict[str, int] = {}
         self.scores = np.zeros((0, p.shape[1]))
 
@@ -158,7 +165,7 @@ def fit(docs: DataFrame, vocabulary: str, held_in: Column, text: str = "text", l
     plain = docs.where(held_in & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text_of(text).alias("text"))
     ranked = plain.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))).where(F.col("n") <= rows)
     words = ranked.select("lang", F.explode(F.split("text", r"\s+")).alias("word")).where("word != ''").groupBy("lang", "word").count().toPandas()
-    languages, pieces = sorted(words["lang"].unique()), Pieces(vocabulary)
+    languages, pieces = sorted(words["lang"].unique()), pieces_of(vocabulary)
     p = np.zeros((pieces.size + 2, len(languages)))
     for k, name in enumerate(languages):
         own = words[words["lang"] == name].sort_values("word")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from netscale.llm.common import blocks, text_of
 
 #: Words whose counts a worker remembers.
-CACHED = 400_000
+CACHED = 200_000
 
 
 class Counter:
@@ -63,6 +64,12 @@ class Counter:
         return [sum([kept[w] for w in words]) if p else next(rest) for words, p in zip(split, plain, strict=True)]
 
 
+@lru_cache(2)
+def counter_of(path: str) -> Counter:
+    """One for all tasks of a worker."""
+    return Counter(path)
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each digest of this task once, so that a text of very many documents doesn't meet in one task."""
     seen: set[str] = set()
@@ -76,7 +83,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encode(path: str, version: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = counter_of(path)
         for batch in _once(batches):
             for block in blocks(batch, "text"):
                 n = counter.counts(block.column("text").to_pylist())
