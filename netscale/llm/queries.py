@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netscale.llm import language_id
+from netscale.llm import host_reputation, language_id, license_scan, syncmers
 from netscale.llm.chat_format import chat_examples, digests
 from netscale.llm.common import shared_dir, table
 from netscale.llm.decontamination import contaminated
@@ -24,6 +24,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: Allowed and blocked hosts and paths.
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url: by the rules, else by its host's reputation among pages that `labels` covers by id."""
+    bad = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
+    return host_reputation.judge(table(spark, sf_dir, "pages").select("page_id", "url"), bad, RULES).drop("bad_rate")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of windows that an earlier document has."""
     out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -31,6 +41,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce(kept, F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return syncmers.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and sentences of every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What can be read back from the examples of all conversations, and of one whose texts hold control strings."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -66,7 +86,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), cache).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_substring_dedup, op6_chat_format, op7_jaccard_join, op8_language_id, op9_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_substring_dedup, op4_syncmer_fingerprints, op5_license_scan, op6_chat_format, op7_jaccard_join, op8_language_id, op9_decontamination, op10_token_counts)}
 
 SQL = {
     "op6_chat_format": r"""
