@@ -2,31 +2,68 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from netscale.llm import language_id
+from netscale.llm.common import table, written
+from netscale.llm.decontamination import contaminated
+from netscale.llm.jaccard_join import jaccard_components
+from netscale.llm.packing import harmonic_pack
 from netscale.llm.substring_dedup import substring_dedup
 
+#: A document stays if the language it is taken for has at least this probability.
+SURE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, and those whose language is in doubt. All labelled rows may be learnt from."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    languages, p = language_id.fit(docs, path, F.lit(True))
+    return language_id.identify(docs, path, languages, p).where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near duplicates."""
+    dropped = jaccard_components(docs).where("doc_id != component_id").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
 
 def recurring_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the words of windows that an earlier document has, and the documents that lose all their words."""
     out = substring_dedup(docs).where("n_removed = 0 or n_removed < n_words")
-    return out.withColumn("n_chars", _n_chars()).select(*docs.columns)
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+
 
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    dropped = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
-def _n_chars():
-    from pyspark.sql import functions as F
 
-    return F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of what is left, in sequences of at most 2048 tokens."""
+    pieces = harmonic_pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("substring_dedup", recurring_passages)]
+STAGES = [
+    ("language_id", known_language),
+    ("jaccard_join", one_of_each_group),
+    ("substring_dedup", recurring_passages),
+    ("decontamination", no_benchmark),
+    ("packing", packed),
+]
 
+#: SQL can't express language ID and packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; each stage's result is a table in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name, "snappy")
+    return STAGES[-1][1](spark, docs, sf_dir)
