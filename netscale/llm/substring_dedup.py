@@ -5,17 +5,20 @@
 2. Each run of windows at a recurring anchor is a segment. Segments of one anchor form a shard; an anchor that very many documents have
    is split, so that each of its windows becomes a segment and a shard of its own.
 3. A task takes the distinct segments of its shards in bounded groups, confirms by the words themselves which windows recur and where
-   each is first, compiles them to an automaton and streams the segments through it, which gives every occurrence.
+   each is first, compiles them to an automaton and streams the segments through it, which gives every occurrence. (A shard of one
+   distinct segment has nothing to search.)
 4. The occurrences go back to the documents that hold the segments, and the words that are covered are removed.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +30,7 @@ from netscale.llm.common import blocks, extended, id_of, text_of, words_of, writ
 HOT_DOCS = 1000
 #: Segments that are compiled to an automaton at a time, unless one shard alone has more.
 SEGMENTS = 20_000
-#: Distinct segments that a task gathers before it sends them to their shards.
+#: Segments that a task gathers and merges before it sends them to their shards.
 MERGED = 100_000
 
 
@@ -130,35 +133,27 @@ def _segments(window: int, gram: int):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each segment once for many documents, with its smallest and largest id: what a task sends of a hot one is bounded."""
-    held: dict[tuple, list] = {}
+def _grouped(table: pa.Table) -> pa.Table:
+    return table.group_by(["shard", "seg"], use_threads=False).aggregate([("text", "min"), ("least", "min"), ("most", "max")]).rename_columns(["shard", "seg", "text", "least", "most"])
 
-    def flush() -> pa.RecordBatch:
-        rows = [(*k, *v) for k, v in held.items()]
-        held.clear()
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "seg", "text", "least", "most"])
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each segment once for many documents, with its smallest and largest id: what a task sends of a hot one is bounded."""
+    held, rows = [], 0
     for batch in batches:
-        for shard, seg, text, i in zip(*(batch.column(c).to_pylist() for c in ("shard", "seg", "text", "id")), strict=True):
-            v = held.get((shard, seg))
-            if v is None:
-                held[shard, seg] = [text, i, i]
-            elif i < v[1]:
-                v[1] = i
-            elif i > v[2]:
-                v[2] = i
-        if len(held) >= MERGED:
-            yield flush()
+        held.append(pa.table([*(batch.column(c) for c in ("shard", "seg", "text", "id", "id"))], ["shard", "seg", "text", "least", "most"]))
+        rows += batch.num_rows
+        if rows >= MERGED:
+            yield from _grouped(pa.concat_tables(held)).combine_chunks().to_batches()
+            held, rows = [], 0
     if held:
-        yield flush()
+        yield from _grouped(pa.concat_tables(held)).combine_chunks().to_batches()
 
 
-def _locate(rows: list[list], window: int) -> Iterator[tuple]:
-    """Of each segment: where windows stand that recur, and the smallest id that has each."""
+def _locate(rows: list[tuple], window: int) -> Iterator[tuple]:
+    """Of each segment (shard, seg, text, least, most): where windows stand that recur, and the smallest id that has each."""
     number: dict[str, int] = {}
-    coded = [tuple([number.setdefault(w, len(number) + 1) for w in text.split(" ")]) for _, _, text, _, _ in rows]
+    coded = [tuple([number.setdefault(w, len(number) + 1) for w in row[2].split(" ")]) for row in rows]
     low: dict[tuple, int] = {}
     high: dict[tuple, int] = {}
     for code, (_, _, _, least, most) in zip(coded, rows, strict=True):
@@ -187,26 +182,49 @@ def _locate(rows: list[list], window: int) -> Iterator[tuple]:
 def _automata(window: int):
     schema = pa.schema([("shard", pa.int64()), ("seg", pa.int64()), ("offs", pa.list_(pa.int32())), ("lows", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = []
-
-        def flush():
-            out = list(_locate(held, window))
-            held.clear()
+    def alone(table: pa.Table) -> pa.RecordBatch:
+        """Segments that are the only one of their shard: their windows are where they are, and first in the smallest document."""
+        n = pc.count_substring(table["text"], " ").to_numpy() - window + 2
+        at = np.r_[0, np.cumsum(n)].astype(np.int32)
+        offs = (np.arange(at[-1]) - np.repeat(at[:-1], n)).astype(np.int32)
+        lows = np.repeat(table["least"].to_numpy(), n)
+        lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (offs, lows)]
+        return pa.record_batch([table["shard"].combine_chunks(), table["seg"].combine_chunks(), *lists], schema=schema)
+
+    def searched(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        if held:
+            out = list(_locate(list(zip(*(c.to_pylist() for c in pa.concat_tables(held).columns), strict=True)), window))
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "seg", "text", "least", "most")), strict=True):
-                last = held[-1] if held else None
-                if last and last[0] == row[0]:
-                    if last[1] == row[1]:
-                        last[3], last[4] = min(last[3], row[3]), max(last[4], row[4])
-                        continue
-                elif len(held) >= SEGMENTS:
-                    yield from flush()
-                held.append(list(row))
-        yield from flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, held, rows = None, [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                table = pa.Table.from_batches([batch])
+                table = pa.concat_tables([rest, table]) if rest is not None else table
+                shard = table["shard"].to_numpy()
+                cut = int(np.searchsorted(shard, shard[-1])) if len(shard) else 0  # the last shard may go on
+                rest, table = table.slice(cut), table.slice(0, cut)
+            elif rest is not None:
+                table = rest
+            else:
+                break
+            if table.num_rows:
+                table = _grouped(table.combine_chunks())
+                table = table.take(pa.array(np.argsort(table["shard"].to_numpy(), kind="stable")))
+                shard = table["shard"].to_numpy()
+                first = np.r_[True, shard[1:] != shard[:-1]]
+                single = first & np.r_[first[1:], True]
+                more = single & (table["least"].to_numpy() < table["most"].to_numpy())
+                if more.any():
+                    yield alone(table.filter(pa.array(more)))
+                some = table.filter(pa.array(~single))
+                held.append(some)
+                rows += some.num_rows
+            if rows >= SEGMENTS or batch is None:
+                yield from searched(held)
+                held, rows = [], 0
 
     return run
 
