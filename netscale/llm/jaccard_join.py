@@ -9,8 +9,9 @@ never used (-1), all other segments must agree wholly (0), and sets of up to six
 by its one-deletion neighbourhood (+1). A set that then has too few segments adds its prefix (its first s // 4 + 1 shingles, infrequent
 ones first), which finds partners in the same state; with any other partner, that partner's segments suffice.
 
-Signatures travel as packed arrays, equal sets of a task once. Candidates are verified on the whole sets: first of each signature's group
-against one member, then only pairs that aren't connected yet.
+Signatures travel as packed arrays, equal sets of a task once. Of each signature's group all are compared with one member first, then only
+pairs that aren't connected yet. Parity sketches of one or two bits a shingle, which bound the difference of two sets from below, rule out
+most pairs that aren't similar; the others are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -69,28 +70,42 @@ def key_of(h: np.ndarray) -> int:
     return int(mix(np.array([mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64)).view(np.int64)[0])
 
 
+def sketch_of(h: np.ndarray) -> bytes:
+    """For each of 2^b buckets of hashes, whether their number is odd; 2 to 4 bits a shingle."""
+    bits = 1 << max(6, int(2 * len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """Shingles in which two sets differ at least, by their sketches as bytes."""
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+
+
 def _sets(k: int):
-    """A row for each document (id, key, n), and the parts of the task's count sketch (part, counts)."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    """A row for each document (id, key, n, sketch), and the parts of the task's count sketch (part, counts)."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(CELLS, np.int32), set()
         for batch in batches:
             for block in blocks(batch, "text"):
-                keys, sizes, held = [], [], []
+                keys, sizes, sketches, held = [], [], [], []
                 for _, h in shingles(block, k):
                     keys.append(key := key_of(h) if len(h) else None)
                     sizes.append(len(h))
+                    sketches.append(sketch_of(h) if len(h) else None)
                     if key not in seen:
                         seen.add(key)
                         held.append(h)
                 if held:
                     counts += np.bincount((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
                 n = len(keys)
-                yield pa.record_batch([block.column("id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                yield pa.record_batch([block.column("id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if seen:
             parts = counts.reshape(PARTS, -1)
-            none = [pa.nulls(PARTS, pa.int64())] * 3
+            none = [*[pa.nulls(PARTS, pa.int64())] * 3, pa.nulls(PARTS, pa.binary())]
             yield pa.record_batch([*none, pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
 
     return run
@@ -271,10 +286,26 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar."""
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y, n, m in zip(batch.column("x"), batch.column("y"), batch.column("n").to_pylist(), batch.column("m").to_pylist(), strict=True):
+            keep.append(7 * least_difference(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= n + m)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _verify(pairs: DataFrame, known: DataFrame, plain: DataFrame, k: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets are similar. known: (key, id, n, sketch) of each set; plain: documents (id, text)."""
+    x = known.select(F.col("key").alias("a"), "n", F.col("sketch").alias("x"))
+    y = known.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    close = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_close, "a long, b long"), "close")
+    # whole sets of what is left, each from one document
+    keys = close.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    holders = known.join(keys, "key").select("id").distinct()
+    sets = plain.join(holders, "id", "left_semi").mapInArrow(_set_rows(k), "key long, shingles binary")
+    sets = written(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "members")
     x, y = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+    return written(close.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,32 +336,30 @@ def jaccard_components(docs: DataFrame, k: int = 5, text: str = "text", doc_id:
     """
     spark = docs.sparkSession
     plain = docs.select(id_of(doc_id).alias("id"), text_of(text).alias("text"))
-    rows = written(plain.mapInArrow(_sets(k), "id long, key long, n long, part int, counts binary"), "sets")
+    rows = written(plain.mapInArrow(_sets(k), "id long, key long, n long, sketch binary, part int, counts binary"), "sets")
     cells = spark.sparkContext.broadcast(frequent(rows))  # CELLS flags
-    owned = rows.where("part is null").select("id", "key", "n")
+    owned = rows.where("part is null").drop("part", "counts")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = plain.select("text").mapInArrow(_signed(k, cells, parts), "p int, blob binary")
     groups = written(blobs.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_grouped, "keys array<long>, sizes array<int>"), "groups")
     fits = F.expr("3 * greatest(sizes[0], x.s) <= 4 * least(sizes[0], x.s)")
     pairs = groups.select("keys", "sizes", F.explode(F.expr("slice(transform(keys, (k, i) -> struct(k as k, sizes[i] as s)), 2, size(keys) - 1)")).alias("x")).where(fits)
     pairs = written(pairs.select(F.expr("keys[0]").alias("a"), F.col("x.k").alias("b")).distinct(), "pairs")
-    # whole sets of all members, each from one document
-    members = groups.select(F.explode("keys").alias("key")).distinct()
-    holders = owned.join(members, "key").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct()
-    sets = plain.join(holders, "id", "left_semi").mapInArrow(_set_rows(k), "key long, shingles binary")
-    sets = written(sets.dropDuplicates(["key"]), "members")
-    links = written(_verify(pairs, sets), "links")
+    known = owned.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    known = written(known, "known")
+    links = _verify(pairs, known, plain, k)
     found = components(links)
     wide = groups.where("size(keys) > 2").select(F.xxhash64("keys").alias("group"), "keys", "sizes").dropDuplicates(["group"])
     wide = wide.select("group", F.explode(F.expr("transform(keys, (k, i) -> struct(k as key, sizes[i] as size))")).alias("m")).select("group", "m.key", "m.size")
     wide = wide.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     wide = wide.groupBy("group").agg(F.collect_list(F.struct("key", "size", "component")).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     rest = written(wide.where("lo < hi").select("members").mapInArrow(_across, "a long, b long").distinct(), "rest")
-    more = written(_verify(rest, sets), "links")
-    if not more.isEmpty():
-        found = components(links.union(more))
-    keyed = owned.where("key is not null").groupBy("key").agg(F.min("id").alias("least")).join(found.withColumnRenamed("node", "key"), "key", "left")
+    if not rest.isEmpty():
+        more = _verify(rest, known, plain, k)
+        if not more.isEmpty():
+            found = components(links.union(more))
+    keyed = known.select("key", F.col("id").alias("least")).join(found.withColumnRenamed("node", "key"), "key", "left")
     keyed = keyed.withColumn("component", F.coalesce("component", "key"))
     smallest = keyed.groupBy("component").agg(F.min("least").alias("smallest"))
-    answer = owned.join(keyed.join(smallest, "component").select("key", "smallest"), "key", "left")
+    answer = owned.select("id", "key", "n").join(keyed.join(smallest, "component").select("key", "smallest"), "key", "left")
     return answer.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("smallest", "id"), F.lit(NO_ID)).alias("component_id"))
