@@ -95,7 +95,7 @@ def optimal_threshold(links: DataFrame, keys: Sequence[str] = (), scaling: float
     """The lower edge of the widest log gap (the first from the top of equal ones), and that scaled."""
     gaps = gap_stability(links, keys).where("stability is not null")
     best = gaps.groupBy(*keys).agg(F.max_by(F.struct("idx", "lower", "stability"), F.struct("stability", -F.col("idx"))).alias("b"))
-    return best.select(*keys, F.col("b.idx").alias("idx"), F.col("b.lower").alias("threshold"), (F.col("b.lower") * scaling).alias("flat_threshold"), "b.stability")
+    return best.where("b is not null").select(*keys, F.col("b.idx").alias("idx"), F.col("b.lower").alias("threshold"), (F.col("b.lower") * scaling).alias("flat_threshold"), "b.stability")
 
 
 def optimal_threshold_std(heights: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
