@@ -88,7 +88,74 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_substring_dedup, op4_syncmer_fingerprints, op5_license_scan, op6_chat_format, op7_jaccard_join, op8_language_id, op9_decontamination, op10_token_counts)}
 
+def _rule_sql(part: str) -> str:
+    """CASE over the rules, longest first: the rule or its verdict."""
+    whens = []
+    for said, text in sorted(RULES, key=lambda r: (-len(r[1]), r[1])):
+        at = text.index("/")
+        fits = f"(host = '{text[:at]}' OR ends_with(host, '.{text[:at]}')) AND starts_with(path, '{text[at:]}')"
+        whens.append(f"WHEN {fits} THEN '{text if part == 'rule' else said}'")
+    return "CASE " + " ".join(whens) + " END"
+
+
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_SHRINK = "(m * strength + k) / (n + strength) AS mean, n + strength AS weight"
+_STRENGTH = """(SELECT 1 / greatest(0.001::DOUBLE, least(0.5::DOUBLE, coalesce(sum(n * pow(k / n - m, 2) - m * (1 - m)) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.001::DOUBLE))) - 1 AS strength FROM {0})"""
+
+OP2_SQL = f"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_UPPER}) AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+parts AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM u),
+lv AS (SELECT host, CASE WHEN plain THEN host WHEN long THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain, CASE WHEN plain THEN host WHEN long THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix
+  FROM (SELECT *, regexp_matches(host, '^[0-9.]*$') OR len(p) < 2 AS plain, array_to_string(p[-2:], '.') IN ({", ".join(f"'{t}'" for t in host_reputation.TWO_LABELS)}) AS long FROM parts)),
+o AS (SELECT host, greatest(1 - quality, toxic) AS bad FROM u JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+h AS (SELECT host, sum(bad)::DOUBLE AS k, count(*) AS n FROM o GROUP BY host),
+hl AS (SELECT h.*, domain, suffix FROM h JOIN lv USING (host)),
+dl AS (SELECT domain, suffix, sum(k) AS k, sum(n)::BIGINT AS n FROM hl GROUP BY 1, 2),
+sl AS (SELECT suffix, sum(k) AS k, sum(n)::BIGINT AS n FROM dl GROUP BY 1),
+t AS (SELECT (coalesce(sum(k), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) AS m, (coalesce(sum(n), 0) + 1)::DOUBLE AS weight FROM sl),
+s0 AS (SELECT sl.*, m FROM sl, t), s1 AS (SELECT suffix, {_SHRINK} FROM s0, {_STRENGTH.format("s0")}),
+d0 AS (SELECT dl.*, mean AS m FROM dl JOIN s1 USING (suffix)), d1 AS (SELECT domain, {_SHRINK} FROM d0, {_STRENGTH.format("d0")}),
+h0 AS (SELECT hl.*, mean AS m FROM hl JOIN d1 USING (domain)), h1 AS (SELECT host, {_SHRINK} FROM h0, {_STRENGTH.format("h0")}),
+j AS (SELECT lv.host, coalesce(h1.mean, d1.mean, s1.mean, t.m) AS mean, coalesce(h1.weight, d1.weight, s1.weight, t.weight) AS weight FROM lv LEFT JOIN h1 USING (host) LEFT JOIN d1 USING (domain) LEFT JOIN s1 USING (suffix), t)
+SELECT page_id, host, path, {_rule_sql("rule")} AS rule, coalesce({_rule_sql("verdict")}, CASE WHEN mean - 1.2816::DOUBLE * sqrt(mean * (1 - mean) / (weight + 1)) > 0.3::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+FROM u JOIN j USING (host)"""
+
+_GRAMS = ", ".join(
+    f"({i}, '{label}', {str(i < len(license_scan.PHRASES)).lower()}, {p}, '{w[p]} {w[p + 1]}')"
+    for i, (text, label) in enumerate(license_scan.PHRASES + license_scan.TEMPLATES)
+    for w in [text.split()]
+    for p in range(len(w) - 1)
+    if i < len(license_scan.PHRASES) or not license_scan.COMMON.issuperset(w[p : p + 2])
+)
+
+OP5_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+grams(template, label, base, place, gram) AS (VALUES {_GRAMS}),
+full_of AS (SELECT template, count(*) AS n FROM grams GROUP BY 1),
+g AS (SELECT doc_id, i - 1 AS pos, words[i] || ' ' || words[i + 1] AS gram FROM w, unnest(range(1, len(words))) AS r(i)),
+hit AS (SELECT DISTINCT doc_id, template, label, base, pos - place AS diagonal, place FROM g JOIN grams USING (gram)),
+line AS (SELECT doc_id, template, label, diagonal FROM hit JOIN full_of f USING (template) WHERE base GROUP BY 1, 2, 3, 4, f.n HAVING count(*) = f.n),
+step AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= 2 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT doc_id, template, diagonal FROM hit WHERE NOT base) WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+span AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM step),
+share AS (SELECT h.doc_id, h.template, h.label, span, count(DISTINCT place) / max(f.n)::DOUBLE AS share FROM hit h JOIN span s ON h.doc_id = s.doc_id AND h.template = s.template AND h.diagonal = s.diagonal JOIN full_of f ON f.template = h.template WHERE NOT h.base GROUP BY 1, 2, 3, 4),
+found AS (SELECT doc_id, diagonal AS start, label AS base_label, label, 1.0::DOUBLE AS share FROM line UNION ALL SELECT doc_id, NULL, NULL, CASE WHEN share >= {license_scan.SHARE}::DOUBLE THEN label END, share FROM share),
+f AS (SELECT doc_id, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT base_label, ',' ORDER BY base_label) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY 1)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM w LEFT JOIN f USING (doc_id)"""
+
+OP7_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UPPER}), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s FROM w, unnest(range(1, greatest(len(words) - 3, 2))) AS r(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reach.b) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id"""
+
 SQL = {
+    "op2_url_filter": OP2_SQL,
+    "op5_license_scan": OP5_SQL,
+    "op7_jaccard_join": OP7_SQL,
     "op6_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
