@@ -269,6 +269,7 @@ def covered_windows(docs: DataFrame, window: int = 13, gram: int = 5, text: str
     """The windows that some document with a smaller id has too: (id, th, starts), th a hash of the text, starts in words."""
     plain = docs.select(id_of(doc_id).alias("id"), text_of(text).alias("text"))
     recurring = plain.select("text").mapInArrow(_count(window, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    recurring = written(recurring, "anchors")  # so that Spark can split a frequent anchor's rows in the join
     places = plain.mapInArrow(_places(window, gram), "h long, id long, at int").join(recurring, "h")
     places = places.select("id", F.expr(f"if(n > {int(hot_docs)}, -at - 1, at)").alias("at")).groupBy("id").agg(F.collect_list("at").alias("at"))
     held = plain.withColumn("th", F.hash("text")).join(places, "id")
