@@ -32,6 +32,8 @@ CELLS, PARTS, FREQUENT, AT_LEAST = 1 << 20, 16, 4, 64
 SPARE = 1.15
 #: Signatures and sets that a task holds before it sends them.
 ROWS, SETS = 4_000_000, 60_000
+#: Bytes of the small sketches that sets have while they are compared within groups.
+SMALL = 128
 #: The largest size of which a set is one segment.
 TINY = 6
 
@@ -76,11 +78,15 @@ def sketch_of(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch (as bytes) of at most `size` bytes: what it says stays true."""
+    return sketch if len(sketch) <= size else np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
+
+
 def least_difference(x: np.ndarray, y: np.ndarray) -> int:
     """Shingles in which two sets differ at least, by their sketches as bytes."""
-    if len(x) < len(y):
-        x, y = y, x
-    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 def _sets(k: int):
@@ -308,22 +314,35 @@ def _verify(pairs: DataFrame, known: DataFrame, plain: DataFrame, k: int) -> Dat
     return written(close.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
 
 
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        small = [folded(np.frombuffer(x.as_buffer(), np.uint8), SMALL).tobytes() for x in batch.column("sketch")]
+        yield pa.record_batch([batch.column("key"), pa.array(small, pa.binary())], ["key", "small"])
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group that aren't connected yet and weren't compared with its first member."""
+    """Pairs of a group that aren't connected yet, weren't compared with its first member and may be similar by their small sketches."""
     for batch in batches:
-        a, b = [], []
-        for members in batch.column("members").to_pylist():
-            members = sorted((m["key"], m["size"], m["component"]) for m in members)[1:]
-            for i, (k, s, c) in enumerate(members):
-                for k2, s2, c2 in members[i + 1 :]:
-                    if c != c2 and 3 * max(s, s2) <= 4 * min(s, s2):
-                        a.append(k)
-                        b.append(k2)
-            if len(a) > 100_000:
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        a, b, n = [], [], 0
+        for members in batch.column("members"):
+            members = members.as_py()
+            members = sorted((m["key"], m["size"], m["component"], m["small"]) for m in members)[1:]
+            width = min(len(m[3]) for m in members)
+            key, size, own = (np.array([m[c] for m in members], np.int64) for c in range(3))
+            bits = np.stack([folded(np.frombuffer(m[3], np.uint8), width) for m in members])
+            for i in range(len(key) - 1):
+                fits = (own[i + 1 :] != own[i]) & (3 * np.maximum(size[i], size[i + 1 :]) <= 4 * np.minimum(size[i], size[i + 1 :]))
+                other = i + 1 + np.flatnonzero(fits)
+                other = other[7 * np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64) <= size[i] + size[other]]
+                if len(other):
+                    a.append(np.minimum(key[i], key[other]))
+                    b.append(np.maximum(key[i], key[other]))
+                    n += len(other)
+            if n > 100_000:
+                yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                a, b, n = [], [], 0
+        if n:
+            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -352,8 +371,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, text: str = "text", doc_id:
     wide = groups.where("size(keys) > 2").select(F.xxhash64("keys").alias("group"), "keys", "sizes").dropDuplicates(["group"])
     wide = wide.select("group", F.explode(F.expr("transform(keys, (k, i) -> struct(k as key, sizes[i] as size))")).alias("m")).select("group", "m.key", "m.size")
     wide = wide.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    wide = wide.groupBy("group").agg(F.collect_list(F.struct("key", "size", "component")).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rest = written(wide.where("lo < hi").select("members").mapInArrow(_across, "a long, b long").distinct(), "rest")
+    open_ = wide.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("group")
+    small = known.select("key", "sketch").mapInArrow(_fold, "key long, small binary")
+    wide = wide.join(open_, "group", "left_semi").join(small, "key")
+    wide = wide.groupBy("group").agg(F.collect_list(F.struct("key", "size", "component", "small")).alias("members"))
+    rest = written(wide.select("members").mapInArrow(_across, "a long, b long").distinct(), "rest")
     if not rest.isEmpty():
         more = _verify(rest, known, plain, k)
         if not more.isEmpty():
