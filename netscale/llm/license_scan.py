@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netscale.llm.common import text_of
+from netscale.llm.common import text_of, written
 
 #: Phrases whose every place counts, and well-known sentences of licenses; each with its label.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -57,10 +57,12 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     split = plain.select("doc_id", F.xxhash64("text").alias("th"), F.expr(f"filter(split(text, '{_BREAK}'), w -> w != '')").alias("words"))
     grams = split.select("doc_id", "th", F.expr("posexplode(transform(words, (w, i) -> concat(w, ' ', get(words, i + 1))))").alias("at", "found"))
     known = F.broadcast(templates(spark).withColumn("h", F.xxhash64("gram")))
-    lowered = F.lower("found")
-    hits = grams.withColumn("h", F.xxhash64(lowered)).join(known, "h").where(F.translate("found", string.ascii_uppercase, string.ascii_lowercase) == F.col("gram"))
+    lowered = F.translate("found", string.ascii_uppercase, string.ascii_lowercase)
+    same = F.startswith(F.col("gram"), lowered) & F.startswith(lowered, F.col("gram"))  # no equality, so as not to become a join key for all rows
+    hits = grams.withColumn("h", F.xxhash64(F.lower("found"))).join(known, "h").where(same)
     # votes of a diagonal are bits, so repeated rows don't add up
     lines = hits.groupBy("doc_id", "th", "template", "label", "base", "full", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
+    lines = written(lines, "lines")  # few rows, read twice
     base = lines.where("base and bits = full")
     by = Window.partitionBy("doc_id", "th", "template").orderBy("diagonal")
     rest = lines.where("not base").withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > STEP, F.lit(True)).cast("int"))
