@@ -16,8 +16,10 @@ from netscale.plans.views import CORR, EMB, EVENTS, NATION, PVALS, USERS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-#: Threshold of the correlation network; bands of event series in cycles an hour.
+#: Bands of event series in cycles an hour, and the threshold of the correlation network.
 THRESHOLD = 0.25
+#: Of the network whose spectrum is taken: it has all nations.
+DENSE = 0.15
 BANDS = [("day", 1 / 30, 1 / 20), ("half_day", 1 / 14, 1 / 10), ("fast", 0.2, 0.5)]
 
 
@@ -200,14 +202,14 @@ def corr_threshold_edges(spark, d):
 
 
 HALVES = f"""{NATION}, halves AS (SELECT *, t // 40 AS half, t % 40 AS u FROM nation_month),
-hc AS (SELECT a.half, a.series_id AS i, b.series_id AS j, round(corr(a.value, b.value), 12) AS r FROM halves a JOIN halves b ON a.half = b.half AND a.u = b.u AND a.series_id < b.series_id GROUP BY 1, 2, 3)"""
+hc AS (SELECT a.half, a.series_id AS i, b.series_id AS j, CASE WHEN stddev_pop(a.value) > 0 AND stddev_pop(b.value) > 0 THEN round(corr(a.value, b.value), 12) END AS r FROM halves a JOIN halves b ON a.half = b.half AND a.u = b.u AND a.series_id < b.series_id GROUP BY 1, 2, 3)"""
 
 
 def _halves(spark, d):
     return views.nation_month(spark, d).withColumns({"half": F.expr("t div 40"), "t": F.expr("t % 40")})
 
 
-@query(f"{HALVES} SELECT i, j, round(avg(r), 6) + 0.0 AS r FROM hc GROUP BY 1, 2")
+@query(f"{HALVES} SELECT i, j, CASE WHEN count(r) = count(*) THEN round(avg(r), 6) + 0.0 END AS r FROM hc GROUP BY 1, 2")
 def corr_group_mean(spark, d):
     return corr.mean_matrix(corr.correlation(_halves(spark, d), ["half"]), []).select("i", "j", r("r"))
 
@@ -238,8 +240,8 @@ inner_edges AS (SELECT * FROM edges WHERE src IN (FROM giant) AND dst IN (FROM g
 EDGES = f"{CORR}, edges AS (SELECT i AS src, j AS dst, r AS weight FROM corr WHERE r >= {THRESHOLD}::DOUBLE), {REACH}"
 
 
-def _network(spark, d):
-    return graph.correlation_network(views.nation_month(spark, d), threshold=THRESHOLD)
+def _network(spark, d, threshold=THRESHOLD):
+    return graph.correlation_network(views.nation_month(spark, d), threshold=threshold)
 
 
 def _edges(spark, d):
@@ -390,13 +392,13 @@ def entropy_curve(spark, d):
 
 @query()
 def laplacian_spectrum(spark, d):
-    own, edges, _ = _network(spark, d)
+    own, edges, _ = _network(spark, d, DENSE)
     return spectral.laplacian_spectrum(own, edges).select("k", r("lambda"))
 
 
 @query()
 def network_entropy(spark, d):
-    own, edges, _ = _network(spark, d)
+    own, edges, _ = _network(spark, d, DENSE)
     return spectral.entropy_curve(spectral.laplacian_spectrum(own, edges)).select("idx", r("tau"), r("one_minus_s"), r("c"), r("var_l"))
 
 
@@ -423,7 +425,7 @@ def marchenko_pastur(spark, d):
 
 
 def _rho(spark, d):
-    own, edges, _ = _network(spark, d)
+    own, edges, _ = _network(spark, d, DENSE)
     return spectral.densities(own, edges, [0.1, 1.0])
 
 
@@ -484,13 +486,13 @@ def leaf_labels(spark, d):
 
 @query()
 def multi_tau_partitions(spark, d):
-    own, edges, _ = _network(spark, d)
+    own, edges, _ = _network(spark, d, DENSE)
     return cluster.multi_tau_partitions(own, edges, [(0.01, 0.4), (None, 0.4), (1.0, 0.4)]).select("stage", r("tau", 9), "node", "community")
 
 
 @query()
 def diffusion_switching(spark, d):
-    own, edges, _ = _network(spark, d)
+    own, edges, _ = _network(spark, d, DENSE)
     part = cluster.multi_tau_partitions(own, edges, [(0.01, 0.4), (None, 0.4), (1.0, 0.4)])
     return partitions.switching_nodes(part).select("node", F.explode("history").alias("h")).select("node", "h.stage", r("h.tau", 9).alias("tau"), "h.community")
 
