@@ -34,7 +34,7 @@ def contrasts(spark: SparkSession, without: Sequence[str] = ()) -> DataFrame:
 
 def text_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(path, series_id, t, value) of white-space separated matrices (time by series). A file is one row, so its lines keep their order."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.split(F.rtrim(F.regexp_replace("value", r"\r", "")), "\n").alias("lines"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.rtrim(F.regexp_replace("value", r"\r", "")), "\n").alias("lines"))
     lines = files.select("path", F.posexplode(F.filter("lines", lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")).alias("t", "line"))
     cells = lines.select("path", "t", F.posexplode(F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")).alias("series_id", "v"))
     return cells.select("path", "series_id", "t", F.col("v").cast("double").alias("value"))
@@ -62,7 +62,7 @@ def atlas(spark: SparkSession, path: str) -> DataFrame:
 
 def codes(spark: SparkSession, path: str) -> DataFrame:
     """(position, code) of a list of label codes, one a line or apart by white space."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")).alias("position", "code")).withColumn("code", F.col("code").cast("int"))
 
 
