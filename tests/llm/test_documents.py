@@ -301,6 +301,17 @@ def test_contaminated(spark):
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_contaminated_by_items_without_template_windows(spark):
+    items = [(1, "What is 3 plus 4?"), (2, "12 34 Paris 56 Rome 7 Oslo 89 10 Bern"), (3, ITEM), (4, "Too short"), (5, "?!"), (6, "7")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(10, "They asked: what is 3 plus 4?"), (11, "see 12 34 paris 56 ROME 7 oslo 89 10 BERN."), (12, ITEM.upper()), (13, ITEM.lower()), (14, "this is TOO SHORT now")]
+    rows += [(15, "what is 6 plus 9, then"), (16, "too long and short of it, 12 of 70"), (17, None), (18, "12 35 Paris 57 Rome 6 Oslo 88 11 Bern"), (19, "Is it 7?")]
+    got = {(r.doc_id, r.item_id): r for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(10, 1), (11, 2), (11, 6), (12, 3), (13, 3), (14, 4), (15, 1), (19, 6)}
+    assert got[15, 1].n_changed == 2 and got[12, 3].n_changed == got[11, 2].n_changed == 0
+    assert all(got[k].coverage == 1 for k in [(10, 1), (11, 2), (12, 3), (13, 3), (14, 4)])
+
+
 def test_blocks_of_windows_give_the_same(spark, monkeypatch):
     from netscale.llm import decontamination
 
