@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from pyspark.sql import types as T
 NO_ID = 2**63 - 1
 #: The bytes of [\x20\x09-\x0D].
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Keys that a task remembers so as not to send them twice.
+SEEN = 1_000_000
 #: At most this many bytes of text are hashed at a time (a longer single text is one block).
 BLOCK = 2_000_000
 
@@ -27,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one is made only where the session names none."""
+    """The folder that the driver and all executors share. Only a local session that names none gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="netscale-"))
         found = sc._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
@@ -102,6 +108,27 @@ def blocks(batch: pa.RecordBatch, name: str):
         i = j
 
 
+def runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """A table for each run of rows that agree on the columns `names` (without nulls), whatever batches it spans."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        for a, b in itertools.pairwise([0, *np.flatnonzero(new).tolist(), batch.num_rows]):
+            head = tuple(c[a] for c in columns)
+            if head != now and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = head
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class Words:
     """Words of a block of texts: where each starts and ends, whose it is, and a 64-bit hash of it.
 
