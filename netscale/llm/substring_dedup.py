@@ -4,9 +4,9 @@
    wherever it stands, so windows that recur lie at anchors that recur. Anchors are counted by a pre-aggregated groupBy.
 2. Each run of windows at a recurring anchor is a segment. Segments of one anchor form a shard; an anchor that very many documents have
    is split, so that each of its windows becomes a segment and a shard of its own.
-3. A task takes the distinct segments of its shards in bounded groups, confirms by the words themselves which windows recur and where
-   each is first, compiles them to an automaton and streams the segments through it, which gives every occurrence. (A shard of one
-   distinct segment has nothing to search.)
+3. A task takes the distinct segments of its shards in bounded groups and confirms which windows recur there. Windows that always stand
+   together are one passage, as long as can be. The passages are compiled to an automaton, each once, and all segments are streamed through
+   it, which alone tells where passages occur.
 4. The occurrences go back to the documents that hold the segments, and the words that are covered are removed.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netscale.llm.common import blocks, extended, id_of, text_of, words_of, written
+from netscale.llm.common import blocks, extended, id_of, mix, text_of, words_of, written
 
 #: An anchor that more documents have is split to its windows.
 HOT_DOCS = 1000
@@ -77,8 +77,8 @@ def _places(window: int, gram: int):
                 _, place, g = _anchors(words, window, gram)
                 place = np.unique(place)
                 doc = words.doc[place]
-                ids = block.column("id").to_numpy(zero_copy_only=False)
-                yield pa.record_batch([pa.array(g[place].view(np.int64)), pa.array(ids[doc]), pa.array((place - words.first[doc]).astype(np.int32))], ["h", "id", "at"])
+                ids, th = (block.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("id", "th"))
+                yield pa.record_batch([pa.array(g[place].view(np.int64)), pa.array(ids), pa.array(th), pa.array((place - words.first[doc]).astype(np.int32))], ["h", "id", "th", "at"])
 
     return run
 
@@ -150,52 +150,69 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _grouped(pa.concat_tables(held)).combine_chunks().to_batches()
 
 
-def _locate(rows: list[tuple], window: int) -> Iterator[tuple]:
-    """Of each segment (shard, seg, text, least, most): where windows stand that recur, and the smallest id that has each."""
-    number: dict[str, int] = {}
-    coded = [tuple([number.setdefault(w, len(number) + 1) for w in row[2].split(" ")]) for row in rows]
-    low: dict[tuple, int] = {}
-    high: dict[tuple, int] = {}
-    for code, (_, _, _, least, most) in zip(coded, rows, strict=True):
-        for i in range(len(code) - window + 1):
-            w = code[i : i + window]
-            if w not in low:
-                low[w], high[w] = least, most
-            else:
-                if least < low[w]:
-                    low[w] = least
-                if most > high[w]:
-                    high[w] = most
-    passages = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for w, least in low.items():
-        if least < high[w]:
-            passages.add_word(w, least)
-    if not len(passages):
-        return
+def passages_of(code: np.ndarray, at: np.ndarray, least: np.ndarray, most: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal passages of segments: first and last word of one occurrence of each, and the smallest id of the segments that have it.
+
+    Segment i is code[at[i] : at[i + 1]], of documents from least[i] to most[i]. Windows that some two documents have are in one passage
+    if they follow one another in just the same segments.
+    """
+    n = max(0, len(code) - window + 1)
+    own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    hashed = np.zeros(n, np.uint64)
+    for j in range(window):
+        hashed = hashed * np.uint64(0xFF51AFD7ED558CCD) + mix(code[j : n + j].astype(np.uint64) + np.uint64(1))
+    place = np.flatnonzero(np.arange(n) + window <= at[own[:n] + 1])
+    seg = own[place]
+    _, first, number = np.unique(mix(hashed[place]), return_index=True, return_inverse=True)  # the first is of the smallest segment
+    low, high, together = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min), np.zeros(len(first), np.uint64)
+    np.minimum.at(low, number, least[seg])
+    np.maximum.at(high, number, most[seg])
+    np.add.at(together, number, mix(seg.astype(np.uint64) + np.uint64(1)))
+    kept = np.sort(first[low < high])
+    if not len(kept):
+        return kept, kept, kept
+    new = np.r_[True, (place[kept[1:]] != place[kept[:-1]] + 1) | (seg[kept[1:]] != seg[kept[:-1]]) | (together[number[kept[1:]]] != together[number[kept[:-1]]])]
+    a = np.flatnonzero(new)
+    return place[kept[a]], place[kept[np.r_[a[1:], len(kept)] - 1]] + window - 1, low[number[kept[a]]]
+
+
+def _located(table: pa.Table, window: int) -> pa.Table | None:
+    """(shard, seg, offs, ends, lows) of segments (shard, seg, text, least, most): where recurring passages stand in them, in words, and the
+    smallest id that has each."""
+    words = pc.split_pattern(table["text"].combine_chunks(), " ")
+    code, at = words.flatten().dictionary_encode().indices.to_numpy().astype(np.int64), words.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    least, most = table["least"].to_numpy(), table["most"].to_numpy()
+    a, b, lows = passages_of(code, at, least, most, window)
+    if not len(a):
+        return None
+    # all segments in one sequence, -1 between them
+    stream = np.full(len(code) + len(at) - 1, -1, np.int64)
+    own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    stream[np.arange(len(code)) + own] = code
+    stream = tuple((stream + 1).tolist())
+    passages = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for i, (x, y) in enumerate(zip((a + own[a]).tolist(), (b + own[a] + 1).tolist(), strict=True)):
+        passages.add_word(stream[x:y], i)
     passages.make_automaton()
-    for code, (shard, seg, _, _, most) in zip(coded, rows, strict=True):
-        found = [(end - window + 1, least) for end, least in passages.iter(code) if least < most]
-        if found:
-            yield shard, seg, [x[0] for x in found], [x[1] for x in found]
+    end, which = (np.array(x, np.int64) for x in zip(*passages.iter(stream), strict=True))
+    base = at[:-1] + np.arange(len(at) - 1)
+    seg = np.searchsorted(base, end, "right") - 1
+    keep = lows[which] < most[seg]
+    end, which, seg = end[keep], which[keep], seg[keep]
+    counts = np.bincount(seg, minlength=len(at) - 1)
+    some = np.flatnonzero(counts)
+    lists = pa.array(np.r_[0, np.cumsum(counts[some])].astype(np.int32))
+    ends = end - base[seg] + 1
+    values = [pa.array((ends - (b - a + 1)[which]).astype(np.int32)), pa.array(ends.astype(np.int32)), pa.array(lows[which])]
+    rows = table.take(pa.array(some))
+    return pa.table([rows["shard"], rows["seg"], *(pa.ListArray.from_arrays(lists, v) for v in values)], ["shard", "seg", "offs", "ends", "lows"])
 
 
 def _automata(window: int):
-    schema = pa.schema([("shard", pa.int64()), ("seg", pa.int64()), ("offs", pa.list_(pa.int32())), ("lows", pa.list_(pa.int64()))])
-
-    def alone(table: pa.Table) -> pa.RecordBatch:
-        """Segments that are the only one of their shard: their windows are where they are, and first in the smallest document."""
-        n = pc.count_substring(table["text"], " ").to_numpy() - window + 2
-        at = np.r_[0, np.cumsum(n)].astype(np.int32)
-        offs = (np.arange(at[-1]) - np.repeat(at[:-1], n)).astype(np.int32)
-        lows = np.repeat(table["least"].to_numpy(), n)
-        lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (offs, lows)]
-        return pa.record_batch([table["shard"].combine_chunks(), table["seg"].combine_chunks(), *lists], schema=schema)
-
     def searched(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        if held:
-            out = list(_locate(list(zip(*(c.to_pylist() for c in pa.concat_tables(held).columns), strict=True)), window))
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+        if sum(t.num_rows for t in held) and (found := _located(pa.concat_tables(held), window)):
+            yield from found.combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, held, rows = None, [], 0
@@ -215,13 +232,9 @@ def _automata(window: int):
                 table = table.take(pa.array(np.argsort(table["shard"].to_numpy(), kind="stable")))
                 shard = table["shard"].to_numpy()
                 first = np.r_[True, shard[1:] != shard[:-1]]
-                single = first & np.r_[first[1:], True]
-                more = single & (table["least"].to_numpy() < table["most"].to_numpy())
-                if more.any():
-                    yield alone(table.filter(pa.array(more)))
-                some = table.filter(pa.array(~single))
-                held.append(some)
-                rows += some.num_rows
+                once = first & np.r_[first[1:], True] & (table["least"].to_numpy() == table["most"].to_numpy())
+                held.append(table.filter(pa.array(~once)))  # a shard of one segment in one document has nothing that recurs
+                rows += held[-1].num_rows
             if rows >= SEGMENTS or batch is None:
                 yield from searched(held)
                 held, rows = [], 0
@@ -229,21 +242,20 @@ def _automata(window: int):
     return run
 
 
-def _cover(window: int, text_column: str, names: list[str]):
-    """Words outside all covered windows stay, each with the white space before it, or joined by one space."""
+def _cover(text_column: str, names: list[str]):
+    """Words outside all covered spans stay, each with the white space before it, or joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "__text"):
                 words = words_of(block.column("__text"))
                 n = np.diff(words.first)
-                lists = block.column("__starts")
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                lists = block.column("__spans")
+                a, b = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten())
                 owner = np.repeat(np.arange(block.num_rows), np.diff(lists.offsets.to_numpy()))
-                at = words.first[owner] + flat
                 cover = np.zeros(len(words.start) + 1, np.int64)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + window, -1)
+                np.add.at(cover, words.first[owner] + a, 1)
+                np.add.at(cover, words.first[owner] + b, -1)
                 gone = np.cumsum(cover)[:-1] > 0
                 removed = np.diff(np.r_[0, np.cumsum(gone)][words.first])
                 kept, own = [], block.column("__text").to_pylist()
@@ -265,22 +277,27 @@ def _cover(window: int, text_column: str, names: list[str]):
     return run
 
 
-def covered_windows(docs: DataFrame, window: int = 13, gram: int = 5, text: str = "text", doc_id: str = "doc_id", hot_docs: int = HOT_DOCS) -> DataFrame:
-    """The windows that some document with a smaller id has too: (id, th, starts), th a hash of the text, starts in words."""
-    plain = docs.select(id_of(doc_id).alias("id"), text_of(text).alias("text"))
+def covered_spans(docs: DataFrame, window: int = 13, gram: int = 5, text: str = "text", doc_id: str = "doc_id", hot_docs: int = HOT_DOCS) -> DataFrame:
+    """(id, th, spans) of documents that hold windows which some document with a smaller id has too: th, a hash of the text; spans
+    (start, end) of such windows, in words.
+
+    A null id is the largest long and a null text is empty; rows of the same id and text, in any number, give one row. Other columns aren't
+    read. An empty table gives no rows.
+    """
+    plain = docs.select(id_of(doc_id).alias("id"), text_of(text).alias("text")).withColumn("th", F.hash("text"))
     recurring = plain.select("text").mapInArrow(_count(window, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     recurring = written(recurring, "anchors")  # so that Spark can split a frequent anchor's rows in the join
-    places = plain.mapInArrow(_places(window, gram), "h long, id long, at int").join(recurring, "h")
-    places = places.select("id", F.expr(f"if(n > {int(hot_docs)}, -at - 1, at)").alias("at")).groupBy("id").agg(F.collect_list("at").alias("at"))
-    held = plain.withColumn("th", F.hash("text")).join(places, "id")
+    places = plain.mapInArrow(_places(window, gram), "h long, id long, th int, at int").join(recurring, "h")
+    places = places.select("id", "th", F.expr(f"if(n > {int(hot_docs)}, -at - 1, at)").alias("at")).groupBy("id", "th").agg(F.collect_set("at").alias("at"))
+    held = plain.join(places, ["id", "th"])
     held = written(held.mapInArrow(_segments(window, gram), "shard long, seg long, id long, th int, start int, text string"), "segments")
     shards = held.select("shard", "seg", "text", "id").mapInArrow(_merge, "shard long, seg long, text string, least long, most long")
     shards = shards.repartition("shard").sortWithinPartitions("shard", "seg")
-    found = shards.mapInArrow(_automata(window), "shard long, seg long, offs array<int>, lows array<long>")
+    found = shards.mapInArrow(_automata(window), "shard long, seg long, offs array<int>, ends array<int>, lows array<long>")
     hits = held.select("shard", "seg", "id", "th", "start").join(found, ["shard", "seg"])
-    starts = F.expr("transform(filter(arrays_zip(offs, lows), x -> x.lows < id), x -> start + x.offs)")
-    hits = hits.select("id", "th", starts.alias("starts")).where("size(starts) > 0")
-    return written(hits.groupBy("id", "th").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
+    spans = F.expr("transform(filter(arrays_zip(offs, ends, lows), x -> x.lows < id), x -> struct(start + x.offs as start, start + x.ends as end))")
+    hits = hits.select("id", "th", F.explode(spans).alias("span"))
+    return written(hits.groupBy("id", "th").agg(F.collect_set("span").alias("spans")), "spans")
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, text: str = "text", doc_id: str = "doc_id", hot_docs: int = HOT_DOCS) -> DataFrame:
@@ -291,12 +308,12 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, text: str
     A text without removals is unchanged, and a null text stays null (0 words). A null id ranks after all others. Rows that repeat are
     each treated alike; rows of the same id never remove from one another. An empty table gives an empty one.
     """
-    starts = covered_windows(docs, window, gram, text, doc_id, hot_docs)
+    spans = covered_spans(docs, window, gram, text, doc_id, hot_docs)
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     rows = docs.select(*names).withColumns({"__text": text_of(text), "__id": id_of(doc_id)}).withColumn("__th", F.hash("__text"))
-    joined = rows.join(starts.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("starts").alias("__starts")), ["__id", "__th"], "left")
-    joined = joined.withColumn("__starts", F.coalesce("__starts", F.expr("cast(array() as array<int>)"))).withColumn("__null", F.isnull(text))
+    joined = rows.join(spans.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), ["__id", "__th"], "left")
+    joined = joined.withColumn("__spans", F.coalesce("__spans", F.expr("cast(array() as array<struct<start: int, end: int>>)"))).withColumn("__null", F.isnull(text))
     plain = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema.fields if f.name in names])
     schema = extended(plain, ("n_words", T.LongType()), ("n_removed", T.LongType()), ("__null", T.BooleanType()))
-    out = joined.drop(text, "__id", "__th").mapInArrow(_cover(window, text, schema.names), schema)
+    out = joined.drop(text, "__id", "__th").mapInArrow(_cover(text, schema.names), schema)
     return out.withColumn(text, F.when(~F.col("__null"), F.col(text))).drop("__null")
