@@ -1,7 +1,9 @@
-"""Document fingerprints of closed syncmers.
+"""Document fingerprints of closed syncmers, matched by their positions.
 
 A k-mer of words is an anchor if its smallest inner word hash is its first or its last. Whether it is depends on the k-mer alone, so the
-same passage has the same anchors in any context. A fingerprint holds the anchors with the smallest hashes and where each stands.
+same passage has the same anchors in any context. A fingerprint holds all anchors and their places. Two fingerprints are matched by equal
+anchors, and a match counts if the next match before or after it has nearly the same offset: so shared passages count, wherever they stand,
+and anchors that agree by chance don't.
 """
 
 from __future__ import annotations
@@ -12,47 +14,64 @@ from pyspark.sql.window import Window
 
 from netscale.llm.common import NO_ID, id_of, text_of
 
-#: Words of a k-mer, anchors of a fingerprint, and bits of an anchor's number that hold its place (modulo these).
-K, ANCHORS, PLACE = 5, 64, 20
+#: Words of a k-mer, bits of an anchor's number that hold its place (modulo these; one bit more tells sides apart), and words by which the
+#: offsets of neighbouring matches may differ.
+K, PLACE, STEP = 5, 20, 4
+#: Rows of a bucket while rows are put in order, and buckets at most (one more pass over a longer list of cuts for each row beyond).
+ROWS, MOST_BUCKETS = 20_000, 4096
+
+_PLACES = (1 << PLACE) - 1
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the array `out`: the ANCHORS smallest distinct anchors of a text, each hash and place in one number.
+    """df with the array `out`: the anchors of a text, hash (43 bits) and place in one number each, sorted.
 
-    Texts of 1 to K - 1 words have one anchor, of all their words; those without words have none.
+    A text without an anchor (of less than K words, and some of a few more) has one of all its words; one without words has none.
     """
-    words, hashes = f"__words_{out}", f"__hashes_{out}"
+    words, hashes, found = f"__words_{out}", f"__hashes_{out}", f"__found_{out}"
     df = df.withColumn(words, F.expr(rf"filter(split({text}, '[\\x20\\x09-\\x0D]+'), w -> w != '')"))
     df = df.withColumn(hashes, F.expr(f"transform({words}, w -> xxhash64(w))"))
     at = lambda i: f"get({hashes}, i + {i})"
     inner, whole = ", ".join(at(i) for i in range(1, K - 1)), ", ".join(at(i) for i in range(K))
     edge = f"least({at(0)}, {at(K - 1)}) <= least({inner})"
-    keep = f"filter(sequence(0, size({hashes}) - {K}), i -> {edge})"
-    number = f"transform({keep}, i -> shiftleft(shiftright(xxhash64({whole}), {PLACE}), {PLACE}) | (i & {(1 << PLACE) - 1}L))"
-    short = f"if(size({words}) = 0, cast(array() as array<bigint>), array(shiftleft(shiftright(xxhash64(array_join({words}, ' ')), {PLACE}), {PLACE})))"
-    df = df.withColumn(f"__all_{out}", F.expr(f"sort_array(if(size({hashes}) >= {K}, {number}, {short}))"))
-    once = f"filter(__all_{out}, (x, i) -> i = 0 or shiftright(x, {PLACE}) != shiftright(get(__all_{out}, i - 1), {PLACE}))"
-    return df.withColumn(out, F.expr(f"slice({once}, 1, {ANCHORS})")).drop(words, hashes, f"__all_{out}")
+    number = lambda h, place: f"(shiftleft(shiftright({h}, {PLACE + 1}), {PLACE + 1}) | {place})"
+    some = f"transform(filter(sequence(0, size({hashes}) - {K}), i -> {edge}), i -> {number(f'xxhash64({whole})', f'(i & {_PLACES}L)')})"
+    df = df.withColumn(found, F.expr(f"if(size({hashes}) >= {K}, sort_array({some}), cast(array() as array<bigint>))"))
+    all_words = number(f"xxhash64(array_join({words}, ' '))", "0L")
+    df = df.withColumn(out, F.expr(f"if(size({found}) = 0 and size({words}) > 0, array({all_words}), {found})"))
+    return df.drop(words, hashes, found)
 
 
 def fingerprint_of(anchors: str) -> Column:
     """Anchors as text: hash (hex) and place of each."""
-    return F.expr(f"array_join(transform({anchors}, x -> concat(hex(shiftrightunsigned(x, {PLACE})), ':', x & {(1 << PLACE) - 1}L)), ',')")
-
+    return F.expr(f"array_join(transform({anchors}, x -> concat(hex(shiftrightunsigned(x, {PLACE + 1})), ':', x & {_PLACES}L)), ',')")
 
-def likeness(a: str, b: str) -> Column:
-    """The share of anchors that both have among the smallest of either: an estimate of the Jaccard of all their anchors. 1 if none have any."""
-    hashes = lambda x: F.expr(f"transform({x}, x -> shiftright(x, {PLACE}))")
-    either = F.slice(F.sort_array(F.array_union(hashes(a), hashes(b))), 1, ANCHORS)
-    both = F.size(F.array_intersect(F.array_intersect(hashes(a), hashes(b)), either))
-    return F.when(F.size(either) == 0, F.lit(1.0)).otherwise(both / F.greatest(F.size(either), F.lit(1)))
 
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """df with `out`: of the distinct anchors of either array, the share that both have at offsets which a neighbouring match has too.
 
-def with_next(rows: DataFrame, columns: list[str], buckets: int) -> DataFrame:
-    """rows (id, text, ...) with next_<column> of the row that follows by id and text; the first follows the last.
+    Offsets are those of an anchor's first places, and may differ by STEP words. The only anchor of a text needs no neighbour. 1.0 if
+    neither has any, 0.0 if one has.
+    """
+    first = lambda x: F.expr(f"filter({x}, (x, i) -> i = 0 or shiftright(x, {PLACE + 1}) != shiftright(get({x}, i - 1), {PLACE + 1}))")
+    of_a, of_b, both, matches = (f"__{out}_{i}" for i in range(4))
+    df = df.withColumns({of_a: first(a), of_b: first(b)})
+    df = df.withColumn(both, F.expr(f"sort_array(concat({of_a}, transform({of_b}, x -> x | {1 << PLACE}L)))"))
+    pair = f"if(shiftright(x, {PLACE + 1}) = shiftright(y, {PLACE + 1}), shiftleft(x & {_PLACES}L, {PLACE}) | (y & {_PLACES}L), null)"
+    df = df.withColumn(matches, F.expr(f"sort_array(filter(zip_with({both}, slice({both}, 2, size({both})), (x, y) -> {pair}), m -> m is not null))"))
+    offset = lambda m: f"(({m} & {_PLACES}L) - shiftright({m}, {PLACE}))"
+    near = lambda i: f"coalesce(abs({offset('m')} - {offset(f'get({matches}, {i})')}) <= {STEP}, false)"
+    agree = F.expr(f"if(least(size({of_a}), size({of_b})) = 1, size({matches}), size(filter({matches}, (m, i) -> {near('i - 1')} or {near('i + 1')})))")
+    either = F.size(of_a) + F.size(of_b) - agree
+    share = F.when(either == 0, F.lit(1.0)).otherwise(agree / F.greatest(either, F.lit(1)))
+    return df.withColumn(out, share).drop(of_a, of_b, both, matches)
+
+
+def with_next(rows: DataFrame, buckets: int, prepare, columns: list[str]) -> DataFrame:
+    """prepare(rows) (id, text, ...) with next_<column> of the row that follows by id and text; the first follows the last.
 
     Rows are dealt by quantiles of id (at most `buckets` of them, found in one pass); each bucket also gets a copy of the row that the next
-    one begins with, so that no order over all rows is needed.
+    one begins with, so that no order over all rows is needed. What prepare() adds doesn't travel.
     """
     quantiles = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(rows.agg(F.percentile_approx("id", quantiles, 10_000).alias("q")).first().q or [])) if quantiles else []
@@ -62,8 +81,9 @@ def with_next(rows: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     copies = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # the first row of all goes to the last bucket
     dealt = dealt.withColumn("late", F.lit(0))
     if copies:
-        to = F.coalesce(*[F.when(F.col("id") == i, F.lit(b)) for i, b in copies.items()])
+        to = F.element_at(F.create_map(*[F.lit(x) for pair in copies.items() for x in pair]), F.col("id"))
         dealt = dealt.unionByName(rows.where(F.col("id").isin(*copies)).withColumn("bucket", to).withColumn("late", F.lit(1)))
+    dealt = prepare(dealt.repartition(max(buckets, 1), "bucket"))
     w = Window.partitionBy("bucket").orderBy("late", "id", "text")
     dealt = dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
     return dealt.where("late = 0").drop("bucket", "late")
@@ -77,13 +97,15 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bu
     document. A null text is empty; a text without words has an empty fingerprint, which is like (1.0) another empty one only. Null
     doc_ids rank last and stay null. Rows that repeat follow each other. Other columns aren't read. An empty table gives no rows.
     """
-    n = buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(id_of(doc_id).alias("id"), text_of(text).alias("text"))
-    rows = with_next(with_anchors(rows, "text", "anchors"), ["text", "anchors"], n)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or min(MOST_BUCKETS, max(2 * parts, rows.count() // ROWS))
+    rows = with_next(rows, n, lambda df: with_anchors(df, "text", "anchors"), ["text", "anchors"])
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half))
     rows = with_anchors(rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", edited).drop("text", "next_text"), "edited", "edited_anchors")
+    rows = with_likeness(with_likeness(rows, "anchors", "edited_anchors", "near_edited"), "anchors", "next_anchors", "near_next")
     return rows.select(
         F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint_of("anchors").alias("fingerprint"),
-        fingerprint_of("edited_anchors").alias("edited_fingerprint"), likeness("anchors", "edited_anchors").alias("near_edited"), likeness("anchors", "next_anchors").alias("near_next"),
+        fingerprint_of("edited_anchors").alias("edited_fingerprint"), "near_edited", "near_next",
     )
