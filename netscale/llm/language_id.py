@@ -2,12 +2,13 @@
 
 The vocabulary is fixed: the pieces of a public sentencepiece model. Each language has its own probability of each piece, learnt by
 expectation-maximisation over the words of a bounded sample of labelled rows. A text's likelihood is the product of its words', and a
-word's is the sum over all its segmentations, by the forward algorithm.
+word's, however long, is the sum over all its segmentations, by the forward algorithm over the pieces that stand in it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -19,31 +20,39 @@ from pyspark.sql.window import Window
 
 from netscale.llm.common import blocks, extended, text_of
 
-#: Longest piece in characters, longest stretch of a word that is scored at once, and the probability of a character without a piece.
-LONGEST, STRETCH, UNKNOWN = 8, 24, 1e-7
-#: Words whose likelihoods a worker remembers.
-CACHED = 200_000
+#: Probability of a character that isn't a piece; words whose likelihoods a worker remembers, and characters that are scored together.
+UNKNOWN, CACHED, TOGETHER = 1e-7, 200_000, 500_000
+#: Positions after which forward sums are brought back to 1, and log2 of the slots of the piece table.
+SCALED, SLOTS = 16, 20
+#: A score tells of a stretch of so many characters; a text is atypical of its language this many deviations below the mean likelihood.
+STRETCH, ATYPICAL = 20, 6.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def stretches(word: str) -> list[str]:
-    """A word with its mark in front, in parts of at most STRETCH characters."""
-    word = f"▁{word}"
-    return [word[i : i + STRETCH] for i in range(0, len(word), STRETCH)]
-
-
 class Pieces:
-    """The vocabulary, and which of its pieces stand where in a word."""
+    """The vocabulary, and where its pieces stand in words."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = (i for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i)))
-        names = sorted({s for i in normal if 0 < len(s := p.id_to_piece(i)) <= LONGEST})
-        hashed = np.array([self._hash(s) for s in names], np.uint64)
-        self.order = np.argsort(hashed)
-        self.hashed, self.size = hashed[self.order], len(names)
+        self.names = sorted({s for i in normal if (s := p.id_to_piece(i))})
+        self.size, self.longest = len(self.names), max(map(len, self.names), default=0)
+        number = {s: i for i, s in enumerate(self.names)}
+        starts = sorted({s[:n] for s in self.names for n in range(1, len(s) + 1)})  # a piece or the beginning of one
+        self.piece = np.array([number.get(s, self.size) for s in starts] + [self.size], np.int64)
+        self.hashed = np.array([self._hash(s) for s in starts], np.uint64)
+        # two tables of slots; what collides in the first goes to the second, and the few that collide there too are looked up by bisection
+        none = len(starts)
+        self.slots = np.full((2, 1 << SLOTS), none, np.int32)
+        left = np.arange(none)
+        for way in range(2):
+            slot = self._slot(self.hashed[left], way)
+            self.slots[way][slot[::-1]] = left[::-1]
+            left = left[self.slots[way][slot] != left]
+        self.rest = left[np.argsort(self.hashed[left])]
+        self.hashed = np.r_[self.hashed, np.uint64(0)]
 
     @staticmethod
     def _hash(s: str) -> int:
@@ -52,19 +61,136 @@ class Pieces:
             h = (h * int(_BASE) + ord(c) + 1) % 2**64
         return h
 
-    def at(self, words: list[str], width: int) -> np.ndarray:
-        """[word, start, length - 1] -> piece or, if there is none, `size`; `size` + 1 beyond the word's end. Words have width characters."""
-        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), width).astype(np.uint64) + np.uint64(1)
-        top = min(LONGEST, width)
-        out = np.full((len(words), width, top), self.size + 1, np.int32)
-        h = np.zeros((len(words), width), np.uint64)
-        for n in range(top):
-            m = width - n
-            h = h[:, :m] * _BASE + code[:, n:]
-            i = np.minimum(np.searchsorted(self.hashed, h), self.size - 1)
-            out[:, :m, n] = np.where(self.hashed[i] == h, self.order[i], self.size)
+    @staticmethod
+    def _slot(h: np.ndarray, way: int) -> np.ndarray:
+        return ((h * np.uint64((0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)[way])) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash among the beginnings of pieces, or their count."""
+        none = len(self.piece) - 1
+        out = np.full(len(h), none, np.int64)
+        for way in range(2):
+            at = self.slots[way][self._slot(h, way)]
+            out = np.where((out == none) & (self.hashed[at] == h) & (at < none), at, out)
+        if len(self.rest):
+            at = self.rest[np.minimum(np.searchsorted(self.hashed[self.rest], h), len(self.rest) - 1)]
+            out = np.where((out == none) & (self.hashed[at] == h), at, out)
         return out
 
+    def spots(self, words: list[str]) -> Spots:
+        """Where pieces stand in words, from each word's mark on."""
+        marked = [f"▁{w}" for w in words]
+        code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        width = np.array([len(w) for w in marked], np.int64)
+        base = np.r_[0, np.cumsum(width)]
+        end = np.repeat(base[1:], width)
+        active, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
+        found = []
+        for n in range(1, self.longest + 1):
+            inside = active + n <= end[active]
+            active, h = active[inside], h[inside]
+            if not len(active):
+                break
+            h = h * _BASE + code[active + n - 1]
+            begins = self._find(h)
+            piece = self.piece[begins]
+            if n == 1:
+                found.append((active, n, piece))  # each character is a step, a piece or not
+            else:
+                some = piece < self.size
+                found.append((active[some], n, piece[some]))
+            goes = begins < len(self.piece) - 1
+            active, h = active[goes], h[goes]
+        start = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+        length = np.concatenate([np.full(len(f[0]), f[1]) for f in found]) if found else np.zeros(0, np.int64)
+        piece = np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.int64)
+        word = np.repeat(np.arange(len(words)), width)
+        return Spots(base, width, word, start, length, piece)
+
+
+@dataclass
+class Spots:
+    """Pieces (start, length, piece) in words that lie end to end: word i is characters base[i] to base[i + 1]. A sum of word i up to its
+    position j has the place base[i] + i + j."""
+
+    base: np.ndarray
+    width: np.ndarray
+    word: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    piece: np.ndarray
+
+    def groups(self, key: np.ndarray) -> Iterator[np.ndarray]:
+        """Spots of equal key and length, by ascending key; so no two of them lead to the same place."""
+        both = key * (int(self.length.max(initial=0)) + 1) + self.length
+        order = np.argsort(both, kind="stable")
+        ends = np.flatnonzero(np.diff(both[order])) + 1
+        yield from (own for own in np.split(order, ends) if len(own))
+
+    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[place, language] sums over all segmentations up to each place, and the log of what they were divided by at the end of each word.
+
+        p: [piece, language], with a row of zeros for no piece.
+        """
+        n, languages = len(self.width), p.shape[1]
+        first = self.base[:-1] + np.arange(n)
+        total, logs = np.zeros((int(self.base[-1]) + n, languages)), np.zeros((n, languages))
+        total[first] = 1
+        word = self.word[self.start]
+        source = self.start + word
+        upto = self.start - self.base[word] + self.length
+        long = np.flatnonzero(self.width > SCALED)
+        now = 0
+        for own in self.groups(upto):
+            j, k = int(upto[own[0]]), int(self.length[own[0]])
+            if j > now and j > 1 and (j - 1) % SCALED == 0 and len(long):  # all sums up to j - 1 are whole
+                long = self._rescale(total, logs, first, long, j - 1)
+            now = j
+            step = p[self.piece[own]]
+            if k == 1:
+                step = np.maximum(step, UNKNOWN)
+            total[source[own] + k] += total[source[own]] * step
+        return total, logs
+
+    def _rescale(self, total: np.ndarray, logs: np.ndarray, first: np.ndarray, long: np.ndarray, j: int) -> np.ndarray:
+        """Brings the sums of words that go on beyond position j back to 1; later steps reach back less than j places of these."""
+        long = long[self.width[long] > j]
+        if len(long):
+            back = int(self.length.max())
+            at = first[long][:, None] + np.maximum(j - np.arange(back), 0)
+            most = total[at].max(axis=1)
+            low = np.unique(at)
+            owner = np.searchsorted(first[long], low, "right") - 1
+            total[low] /= most[owner]
+            logs[long] += np.log(most)
+        return long
+
+    def likelihoods(self, p: np.ndarray) -> np.ndarray:
+        """[word, language]: log of the sum over all segmentations of the word."""
+        total, logs = self.forward(p)
+        return np.log(total[self.base[1:] + np.arange(len(self.width))]) + logs
+
+    def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in words that are seen `counts` times. p: [piece, 1]. Words have at most SCALED characters."""
+        total, _ = self.forward(p)
+        last = self.base[1:] + np.arange(len(self.width))
+        after = np.zeros_like(total)
+        after[last] = 1
+        word = self.word[self.start]
+        source = self.start + word
+        seen = np.zeros(len(p))
+        weight = counts / total[last, 0]
+        for own in self.groups(self.width[word] - (self.start - self.base[word])):
+            k = int(self.length[own[0]])
+            step = p[self.piece[own]]
+            if k == 1:
+                step = np.maximum(step, UNKNOWN)
+            ahead = after[source[own] + k] * step
+            after[source[own]] += ahead
+        whole = p[self.piece, 0] * total[source, 0] * after[source + self.length, 0] * weight[word]
+        seen += np.bincount(self.piece, whole, len(p))
+        return seen
+
 
 @lru_cache(2)
 def pieces_of(path: str) -> Pieces:
@@ -72,130 +198,124 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _forward(at: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """[word, position, language]: sum over segmentations up to each position. p: [piece, language], with two rows for none."""
-    n, width, top = at.shape
-    total = np.zeros((n, width + 1, p.shape[1]))
-    total[:, 0] = 1
-    for i in range(1, width + 1):
-        for k in range(min(i, top)):
-            step = p[at[:, i - k - 1, k]]
-            if k == 0:
-                step = np.maximum(step, UNKNOWN)
-            total[:, i] += total[:, i - k - 1] * step
-    return total
-
-
-def _backward(at: np.ndarray, p: np.ndarray) -> np.ndarray:
-    n, width, top = at.shape
-    total = np.zeros((n, width + 1, 1))
-    total[:, width] = 1
-    for i in range(width - 1, -1, -1):
-        for k in range(min(width - i, top)):
-            step = p[at[:, i, k]]
-            if k == 0:
-                step = np.maximum(step, UNKNOWN)
-            total[:, i] += total[:, i + k + 1] * step
-    return total
+def fit_pieces(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = 2) -> np.ndarray:
+    """Piece probabilities of a language by expectation-maximisation from uniform ones; the last one, of no piece, is 0.
 
+    Words over SCALED characters, which are few, are learnt from in parts of so many.
+    """
+    parts = [(w[i : i + SCALED - 1], n) for w, n in zip(words, counts, strict=True) for i in range(0, len(w), SCALED - 1)]
+    p = np.r_[np.full(pieces.size, 1 / pieces.size), 0.0][:, None]
+    spots, seen_of = pieces.spots([w for w, _ in parts]), np.array([n for _, n in parts], float)
+    for _ in range(rounds):
+        seen = spots.expected(p, seen_of)[: pieces.size]
+        p[: pieces.size, 0] = (seen + 0.05) / (seen.sum() + 0.05 * pieces.size)
+    return p[:, 0]
 
-def by_width(words: list[str]) -> Iterator[tuple[np.ndarray, int]]:
-    """Indices of words of equal length, at most 20,000 at a time."""
-    lengths = np.array([len(w) for w in words])
-    for width in np.unique(lengths):
-        own = np.flatnonzero(lengths == width)
-        for i in range(0, len(own), 20_000):
-            yield own[i : i + 20_000], int(width)
 
+@dataclass
+class Model:
+    """Languages; [piece, language] probabilities; and of each language's likelihood a character its mean, its variance between texts, and
+    its variance within texts times their characters."""
 
-def fit_pieces(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = 2) -> np.ndarray:
-    """Piece probabilities of a language by expectation-maximisation from uniform ones; two rows for no piece are 0."""
-    p = np.zeros((pieces.size + 2, 1))
-    p[: pieces.size] = 1 / pieces.size
-    found = [(own, pieces.at([words[i] for i in own], width)) for own, width in by_width(words)]
-    for _ in range(rounds):
-        seen = np.zeros(pieces.size + 2)
-        for own, at in found:
-            f, b = _forward(at, p), _backward(at, p)
-            n, width, top = at.shape
-            weight = counts[own] / f[:, width, 0]
-            for i in range(width):
-                for k in range(min(width - i, top)):
-                    seen += np.bincount(at[:, i, k], f[:, i, 0] * p[at[:, i, k], 0] * b[:, i + k + 1, 0] * weight, pieces.size + 2)
-        p[: pieces.size, 0] = (seen[: pieces.size] + 0.05) / (seen[: pieces.size].sum() + 0.05 * pieces.size)
-    return p[:, 0]
+    languages: list[str]
+    p: np.ndarray
+    mean: np.ndarray
+    between: np.ndarray
+    within: np.ndarray
 
 
 class Scorer:
-    """Log-likelihoods of texts in all languages."""
+    """Log-likelihoods of words and texts in all languages."""
 
     def __init__(self, path: str, p: np.ndarray):
         self.pieces, self.p = pieces_of(path), p
         self.row: dict[str, int] = {}
         self.scores = np.zeros((0, p.shape[1]))
 
-    def _learn(self, words: set[str]) -> None:
-        parts = sorted({s for w in words for s in stretches(w)})
-        number = {s: i for i, s in enumerate(parts)}
-        score = np.zeros((len(parts), self.p.shape[1]))
-        for own, width in by_width(parts):
-            score[own] = np.log(_forward(self.pieces.at([parts[i] for i in own], width), self.p)[:, width])
-        new = np.array([score[[number[s] for s in stretches(w)]].sum(axis=0) if len(w) >= STRETCH else score[number[f"▁{w}"]] for w in words])
-        self.row.update(zip(words, range(len(self.scores), len(self.scores) + len(words)), strict=True))
-        self.scores = np.concatenate([self.scores, new])
-
-    def of(self, texts: list[str]) -> np.ndarray:
+    def of_words(self, words: list[str]) -> np.ndarray:
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        out, i = np.zeros((len(words), self.p.shape[1])), 0
+        while i < len(order):  # words of like lengths, a bounded number of characters at a time
+            j = i + max(1, TOGETHER // (len(words[order[i]]) + 1))
+            out[order[i:j]] = self.pieces.spots([words[k] for k in order[i:j]]).likelihoods(self.p)
+            i = j
+        return out
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """[text, language], and each text's characters with a mark for each word."""
         if len(self.row) > CACHED:
             self.row.clear()
             self.scores = self.scores[:0]
         split = [t.split() for t in texts]
-        if new := {w for words in split for w in words if w not in self.row}:
-            self._learn(new)
+        if new := sorted({w for words in split for w in words if w not in self.row}):
+            self.row.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
+            self.scores = np.concatenate([self.scores, self.of_words(new)])
         get, out = self.row.__getitem__, np.zeros((len(texts), self.p.shape[1]))
         for i, words in enumerate(split):
             out[i] = self.scores[list(map(get, words))].sum(axis=0)
-        return out
+        return out, np.array([sum(map(len, words)) + len(words) for words in split])
+
+
+def certainty(model: Model, score: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best language of each text, and how certain it is, from likelihoods [text, language] and lengths: its probability by a stretch of at
+    most STRETCH characters, against the other languages and against none of them, which is as likely as an atypical text of the best one."""
+    best = score.argmax(axis=1)
+    own = score[np.arange(len(score)), best]
+    least = n * (model.mean[best] - ATYPICAL * np.sqrt(model.between[best] + model.within[best] / n))
+    share = np.minimum(1.0, STRETCH / n)
+    return best, 1 / (np.exp((score - own[:, None]) * share[:, None]).sum(axis=1) + np.exp(np.minimum((least - own) * share, 700)))
 
 
-def fit(docs: DataFrame, vocabulary: str, held_in: Column, text: str = "text", lang: str = "lang", rows: int = 100) -> tuple[list[str], np.ndarray]:
-    """Languages, and [piece, language] probabilities, of at most `rows` labelled rows a language (those of the smallest text hashes).
+def fit(docs: DataFrame, vocabulary: str, held_in: Column, text: str = "text", lang: str = "lang", rows: int = 100, most_bytes: int = 200_000) -> Model:
+    """What is learnt from at most `rows` labelled rows a language, those of the smallest text hashes among texts of at most `most_bytes`.
 
-    held_in: a condition on rows that may be learnt from. Their texts are used whole. Only word counts of this sample reach the driver.
+    held_in: a condition on rows that may be learnt from (null: not). Rows with a null language or text don't count; repeated rows count
+    each. Their texts are used whole. Only words of this sample, of a bounded size, reach the driver. An empty table gives a model without
+    languages.
     """
     plain = docs.where(held_in & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text_of(text).alias("text"))
+    plain = plain.where(F.octet_length("text") <= most_bytes)
     ranked = plain.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))).where(F.col("n") <= rows)
-    words = ranked.select("lang", F.explode(F.split("text", r"\s+")).alias("word")).where("word != ''").groupBy("lang", "word").count().toPandas()
-    languages, pieces = sorted(words["lang"].unique()), pieces_of(vocabulary)
-    p = np.zeros((pieces.size + 2, len(languages)))
+    texts = sorted((r.lang, r.n, r.text) for r in ranked.collect())
+    languages, pieces = sorted({t[0] for t in texts if t[2].split()}), pieces_of(vocabulary)
+    p = np.zeros((pieces.size + 1, len(languages)))
+    mean, between, within = (np.zeros(len(languages)) for _ in range(3))
     for k, name in enumerate(languages):
-        own = words[words["lang"] == name].sort_values("word")
-        parts = [(s, n) for w, n in zip(own["word"], own["count"], strict=True) for s in stretches(w)]
-        p[:, k] = fit_pieces(pieces, [s for s, _ in parts], np.array([n for _, n in parts], float))
-    return languages, p
-
-
-def identify(docs: DataFrame, vocabulary: str, languages: list[str], p: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (its probability, all languages being as likely at first), which replace columns of these names.
+        split = [t.split() for own, _, t in texts if own == name and t.split()]
+        words, number = np.unique(np.array([w for x in split for w in x], object), return_inverse=True)
+        p[:, k] = fit_pieces(pieces, words.tolist(), np.bincount(number))
+        score = Scorer(vocabulary, p[:, k : k + 1]).of_words(words.tolist())[number, 0]
+        size = np.array([len(w) + 1 for x in split for w in x])
+        of = np.repeat(np.arange(len(split)), [len(x) for x in split])
+        total, n = np.bincount(of, score), np.bincount(of, size)
+        mean[k] = score.sum() / size.sum()
+        between[k] = np.average((total / n - mean[k]) ** 2, weights=n)
+        within[k] = ((score - mean[k] * size) ** 2).sum() / size.sum()
+    return Model(languages, p, mean, between, within)
+
+
+def identify(docs: DataFrame, vocabulary: str, model: Model, text: str = "text") -> DataFrame:
+    """docs with lang_pred and score (how certain it is, 0 to 1; see certainty()), which replace columns of these names.
 
     Prediction reads the whole text and nothing else. A null text, a text without a letter, and any text if no language was learnt get
     `und` and 0.0. Ties go to the language that sorts first. Rows that repeat get the same answer; an empty table gives an empty one.
     """
-    held = docs.sparkSession.sparkContext.broadcast(p)  # of a fixed size: the vocabulary times the languages
+    held = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: the vocabulary times the languages
     schema = extended(docs.schema, ("lang_pred", T.StringType()), ("score", T.DoubleType()))
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(vocabulary, held.value)
+        model = held.value
+        scorer = Scorer(vocabulary, model.p)
         for batch in batches:
             for block in blocks(batch, text):
                 texts = [t or "" for t in block.column(text).to_pylist()]
                 said, sure = ["und"] * len(texts), np.zeros(len(texts))
-                some = [i for i, t in enumerate(texts) if languages and any(map(str.isalpha, t))]
+                some = [i for i, t in enumerate(texts) if model.languages and any(map(str.isalpha, t))]
                 if some:
-                    score = scorer.of([texts[i] for i in some])
-                    score = np.exp(score - score.max(axis=1, keepdims=True))
-                    for i, k, s in zip(some, score.argmax(axis=1).tolist(), (1 / score.sum(axis=1)).tolist(), strict=True):
-                        said[i], sure[i] = languages[k], s
+                    best, certain = certainty(model, *scorer.of([texts[i] for i in some]))
+                    for i, k, s in zip(some, best.tolist(), certain.tolist(), strict=True):
+                        said[i], sure[i] = model.languages[k], s
                 values = {f: block.column(f) for f in names if f in block.schema.names} | {"lang_pred": pa.array(said), "score": pa.array(sure)}
                 yield pa.record_batch([values[f] for f in names], names)
 
