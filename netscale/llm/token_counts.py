@@ -1,6 +1,8 @@
 """Token counts through a cache keyed by digests of content and tokenizer version.
 
-Documents join stored counts by digest. Only distinct misses travel with their text and are encoded; their counts are appended.
+Documents join stored counts by digest. Only distinct misses travel with their text and are encoded; their counts are appended. Content is
+normalised as the tokenizer does before its digest is taken, where that is nothing to do; for any other tokenizer the digest is of the text
+itself, a finer key that never mixes texts up.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netscale.llm.common import blocks, text_of
+from netscale.llm.common import SEEN, blocks, text_of
 
 #: Words whose counts a worker remembers.
 CACHED = 200_000
@@ -77,6 +79,8 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for d in batch.column("digest").to_pylist():
             keep.append(d not in seen)
+            if len(seen) >= SEEN:
+                seen.clear()
             seen.add(d)
         yield batch.filter(pa.array(keep))
 
