@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The template's marks, and control strings of common chat templates, which never stand unescaped inside a turn.
+#: The template's marks.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-_CONTROL = r"\|[A-Za-z_]+\|>|/?s>|/?INST\]|<SYS>>|</SYS>>"
+#: What follows the first character of a control string of any chat template: up to 60 characters in angle or square brackets, as in
+#: <|im_end|>, <|reserved_special_token_12|>, <start_of_turn>, <eos>, </s>, [/INST], <<SYS>>. None stands unescaped inside a turn.
+_CONTROL = r"[^\\<>\[\] \t\n\r][^<>\[\]\n]{0,59}[>\]]"
 _ESCAPE = re.compile(rf"([<\[])(\\*)(?={_CONTROL})")
 _UNESCAPE = re.compile(rf"([<\[])\\(\\*)(?={_CONTROL})")
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)

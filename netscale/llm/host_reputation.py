@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from netscale.llm.common import written
 
-#: Suffixes of two labels.
-TWO_LABELS = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "co.in", "co.kr", "co.nz", "co.za", "com.cn", "com.mx", "com.tr")
+#: Labels that make a suffix of two together with a country's label of two letters, and other suffixes of two labels whose
+#: names belong to different owners.
+SECOND = ("ac", "co", "com", "edu", "go", "gob", "gov", "govt", "gouv", "id", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch")
+SHARED = ("blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "readthedocs.io", "tumblr.com", "vercel.app", "web.app", "weebly.com", "wordpress.com")
 #: Bounds of a level's correlation, from which the strength of its prior follows.
 LEAST, MOST = 0.001, 0.5
 
@@ -47,41 +49,45 @@ def levels(host: Column) -> tuple[Column, Column]:
     parts = F.split(host, r"\.")
     last = F.element_at(parts, -1)
     two = F.concat_ws(".", F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2))
-    suffix = F.when(two.isin(*TWO_LABELS), two).otherwise(last)
-    n = F.when(two.isin(*TWO_LABELS), 3).otherwise(2)
+    second = F.try_element_at(parts, F.lit(-2))
+    long = two.isin(*SHARED) | F.coalesce(last.rlike("^[a-z][a-z]$") & second.isin(*SECOND), F.lit(False))
+    suffix = F.when(long, two).otherwise(last)
+    n = F.when(long, 3).otherwise(2)
     domain = F.concat_ws(".", F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n))
     plain = host.rlike(r"^[0-9.]*$") | (F.size(parts) < 2)
     return F.when(plain, host).otherwise(domain), F.when(plain, host).otherwise(suffix)
 
 
-def _strength(rows: DataFrame) -> DataFrame:
-    """One row: the prior strength of a level, by moments of its children's rates (k of n) around their parents' means m."""
+def _strength(rows: DataFrame) -> float:
+    """The prior strength of a level, by moments of its children's rates (k of n) around their parents' means m."""
     spread = F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("m"), 2) - F.col("m") * (1 - F.col("m")))
     room = F.sum(F.col("m") * (1 - F.col("m")) * (F.col("n") - 1))
     rho = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.coalesce(F.try_divide(spread, room), F.lit(LEAST))))
-    return rows.agg((1 / rho - 1).alias("strength"))
+    return rows.agg((1 / rho - 1).alias("strength")).first().strength
 
 
 def _shrunk(rows: DataFrame, key: str) -> DataFrame:
-    """key, mean and weight (of the beta posterior) of each row (key, k, n, m)."""
-    weight = F.col("n") + F.col("strength")
-    mean = (F.col("m") * F.col("strength") + F.col("k")) / weight
-    return rows.crossJoin(F.broadcast(_strength(rows))).select(key, mean.alias("mean"), weight.alias("weight"))
+    """key, mean and weight (of the beta posterior) of each row (key, k, n, m), as a table."""
+    strength = F.lit(_strength(rows))
+    weight = F.col("n") + strength
+    mean = (F.col("m") * strength + F.col("k")) / weight
+    return written(rows.select(key, mean.alias("mean"), weight.cast("double").alias("weight")), key)
 
 
-def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Posteriors (mean, weight) of bad outcomes by host, domain and suffix, and of all (one row). outcomes: (host, bad)."""
+def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
+    """Posteriors (mean, weight) of bad outcomes by host, domain and suffix, and of all. outcomes: (host, bad). Each level is a table, so
+    that no level is worked out twice; of a level only its strength reaches the driver."""
     hosts = outcomes.groupBy("host").agg(F.sum("bad").alias("k"), F.count("*").alias("n"))
     domain, suffix = levels(F.col("host"))
     hosts = written(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n")), "domains")
+    suffixes = written(domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n")), "suffixes")
     k, n = F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
-    top = suffixes.agg(((k + 0.5) / (n + 1)).alias("m"), (n + 1).cast("double").alias("weight"))
-    of_suffix = _shrunk(suffixes.crossJoin(F.broadcast(top.select("m"))), "suffix")
+    top = suffixes.agg(((k + 0.5) / (n + 1)).alias("m"), (n + 1).cast("double").alias("weight")).first()
+    of_suffix = _shrunk(suffixes.withColumn("m", F.lit(top.m)), "suffix")
     of_domain = _shrunk(domains.join(of_suffix.select("suffix", F.col("mean").alias("m")), "suffix"), "domain")
     of_host = _shrunk(hosts.join(of_domain.select("domain", F.col("mean").alias("m")), "domain"), "host")
-    return of_host, of_domain, of_suffix, top.withColumnRenamed("m", "mean")
+    return of_host, of_domain, of_suffix, (top.m, top.weight)
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], most_bad: float = 0.3, z: float = 1.2816) -> DataFrame:
@@ -102,8 +108,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     domain, suffix = levels(F.col("host"))
     hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"))
     hosts = hosts.join(named(of_host, "host"), "host", "left").join(named(of_domain, "domain"), "domain", "left").join(named(of_suffix, "suffix"), "suffix", "left")
-    hosts = hosts.crossJoin(F.broadcast(top.select(F.struct("mean", "weight").alias("of_all"))))
-    hosts = hosts.select("host", F.coalesce("of_host", "of_domain", "of_suffix", "of_all").alias("p"))
+    of_all = F.struct(F.lit(top[0]).alias("mean"), F.lit(top[1]).alias("weight"))
+    hosts = hosts.select("host", F.coalesce("of_host", "of_domain", "of_suffix", of_all).alias("p"))
     low = F.col("p.mean") - z * F.sqrt(F.col("p.mean") * (1 - F.col("p.mean")) / (F.col("p.weight") + 1))
     hosts = hosts.select("host", F.col("p.mean").alias("bad_rate"), F.when(low > most_bad, "block").otherwise("allow").alias("by_rate"))
     rule, verdict = rule_of(rules, F.col("host"), F.col("path"))

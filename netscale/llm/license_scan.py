@@ -1,4 +1,8 @@
-"""License scans by diagonal voting: word k-grams of all texts join those of license templates, and hits vote for offset diagonals."""
+"""License scans by diagonal voting: word k-grams of all texts join those of license templates, and hits vote for offset diagonals.
+
+Neighbouring diagonals are merged to spans, and a span that has enough votes is verified: of all its words, from its first to its last, and of
+the template's there, most must agree.
+"""
 
 from __future__ import annotations
 
@@ -14,19 +18,32 @@ from netscale.llm.common import text_of, written
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 TEMPLATES = [
     ("licensed under the apache license version 2 0", "apache"),
+    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
+    ("to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "mit"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit"),
+    ("released under the mit license", "mit"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "gpl"),
+    ("you should have received a copy of the gnu general public license along with this program", "gpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
-    ("released under the mit license", "mit"),
     ("this work is licensed under a creative commons attribution", "cc"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "zlib"),
     ("all rights reserved", "proprietary"),
 ]
 #: Words that alone make no k-gram worth looking up, words of a k-gram, the widest step between neighbouring diagonals.
 COMMON, K, STEP = frozenset("a and any are by for in is it of on or that the this to under with you".split()), 2, 2
-#: The share of a template's k-grams that a span must hold.
-SHARE = 0.7
+#: The share of a template's k-grams that a span must hold, and of the words there, on either side, that must agree.
+SHARE, ALIKE = 0.7, 0.75
 
 _BREAK = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
@@ -48,7 +65,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
     A-Z are lower-cased and words are runs of 0-9, a-z and all that isn't ASCII. n_base counts the places of PHRASES, first_word and
     last_word are the smallest and largest word they start at (null without any). A template is found where neighbouring diagonals hold
-    SHARE of its k-grams; labels has those and the phrases'. score is the largest share found, 1.0 for a phrase, 0.0 for nothing. A null
+    SHARE of its k-grams, and ALIKE of the words from the first to the last of them agree; labels has those and the phrases'. score is the largest share found, 1.0 for a phrase, 0.0 for nothing. A null
     text has no words. Rows that repeat get a row each with the same answer; null ids stay. Other columns aren't read; an empty table
     gives no rows.
     """
@@ -66,19 +83,28 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     base = lines.where("base and bits = full")
     by = Window.partitionBy("doc_id", "th", "template").orderBy("diagonal")
     rest = lines.where("not base").withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > STEP, F.lit(True)).cast("int"))
-    rest = rest.withColumn("span", F.sum("new").over(by)).groupBy("doc_id", "th", "template", "label", "full", "span").agg(F.bit_or("bits").alias("bits"))
+    rest = rest.withColumn("span", F.sum("new").over(by)).groupBy("doc_id", "th", "template", "label", "full", "span")
+    rest = rest.agg(F.bit_or("bits").alias("bits"), F.collect_list(F.struct("diagonal", "bits")).alias("lines"))  # as many as a template has k-grams
     rest = rest.withColumn("share", F.bit_count("bits") / F.bit_count("full"))
+    # words of the span, and of the template there, that agree
+    places = lambda bits: f"filter(sequence(0, 62), p -> shiftright({bits}, p) & 1L = 1L)"
+    rest = rest.withColumn("here", F.expr(f"array_distinct(flatten(transform(lines, x -> flatten(transform({places('x.bits')}, p -> sequence(x.diagonal + p, x.diagonal + p + {K - 1}))))))"))
+    rest = rest.withColumn("there", F.expr(f"array_distinct(flatten(transform({places('bits')}, p -> sequence(p, p + {K - 1}))))"))
+    length = lambda x: f"(array_max({x}) - array_min({x}) + 1)"
+    rest = rest.withColumn("alike", F.expr(f"least(size(here), size(there)) / greatest({length('here')}, {length('there')})"))
+    nothing = F.lit(None).cast("int")
     nothing = F.lit(None).cast("int")
+    found_ = (F.col("share") >= SHARE) & (F.col("alike") >= ALIKE)
     spans = base.select("doc_id", "th", F.col("diagonal").alias("start"), F.col("label").alias("base_label"), "label", F.lit(1.0).alias("share")).unionByName(
-        rest.select("doc_id", "th", nothing.alias("start"), F.lit(None).cast("string").alias("base_label"), F.when(F.col("share") >= SHARE, F.col("label")).alias("label"), "share")
+        rest.select("doc_id", "th", nothing.alias("start"), F.lit(None).cast("string").alias("base_label"), F.when(found_, F.col("label")).alias("label"), "share")
     )
     found = spans.groupBy("doc_id", "th").agg(
         F.count("start").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"),
         F.array_join(F.sort_array(F.collect_set("base_label")), ",").alias("base_labels"), F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("share").alias("score"),
     )
     n = split.select("doc_id", "th", F.size("words").cast("long").alias("n_words"))
-    joined = n.withColumn("key", F.coalesce("doc_id", F.lit(0))).join(found.withColumn("key", F.coalesce("doc_id", F.lit(0))).drop("doc_id"), ["key", "th"], "left")
+    joined = n.join(found, n["doc_id"].eqNullSafe(found["doc_id"]) & (n["th"] == found["th"]), "left")
     return joined.select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long"), F.col("last_word").cast("long"),
+        n["doc_id"], "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long"), F.col("last_word").cast("long"),
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )

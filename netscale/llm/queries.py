@@ -65,13 +65,13 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document; a quarter of them is never learnt from."""
+    """The language of every document; a quarter of them is never learnt from. The fold of a null doc_id is that of an empty one."""
     docs = table(spark, sf_dir, "documents")
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
     path = public_tokenizers.path("piece_bpe_32k.model")
-    languages, p = language_id.fit(docs, path, fold != 2)
+    model = language_id.fit(docs, path, fold != 2)
     plain = docs.select("doc_id", (fold == 2).alias("held_out"), "text")
-    return language_id.identify(plain, path, languages, p).drop("text")
+    return language_id.identify(plain, path, model).drop("text")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ OP2_SQL = f"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_UPPER}) AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 parts AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM u),
 lv AS (SELECT host, CASE WHEN plain THEN host WHEN long THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain, CASE WHEN plain THEN host WHEN long THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix
-  FROM (SELECT *, regexp_matches(host, '^[0-9.]*$') OR len(p) < 2 AS plain, array_to_string(p[-2:], '.') IN ({", ".join(f"'{t}'" for t in host_reputation.TWO_LABELS)}) AS long FROM parts)),
+  FROM (SELECT *, regexp_matches(host, '^[0-9.]*$') OR len(p) < 2 AS plain, array_to_string(p[-2:], '.') IN ({", ".join(f"'{t}'" for t in host_reputation.SHARED)}) OR regexp_matches(p[-1], '^[a-z][a-z]$') AND p[-2] IN ({", ".join(f"'{t}'" for t in host_reputation.SECOND)}) AS long FROM parts)),
 o AS (SELECT host, greatest(1 - quality, toxic) AS bad FROM u JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL AND toxic IS NOT NULL),
 h AS (SELECT host, sum(bad)::DOUBLE AS k, count(*) AS n FROM o GROUP BY host),
 hl AS (SELECT h.*, domain, suffix FROM h JOIN lv USING (host)),
@@ -137,8 +137,12 @@ hit AS (SELECT DISTINCT doc_id, template, label, base, pos - place AS diagonal,
 line AS (SELECT doc_id, template, label, diagonal FROM hit JOIN full_of f USING (template) WHERE base GROUP BY 1, 2, 3, 4, f.n HAVING count(*) = f.n),
 step AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= 2 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT doc_id, template, diagonal FROM hit WHERE NOT base) WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 span AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM step),
-share AS (SELECT h.doc_id, h.template, h.label, span, count(DISTINCT place) / max(f.n)::DOUBLE AS share FROM hit h JOIN span s ON h.doc_id = s.doc_id AND h.template = s.template AND h.diagonal = s.diagonal JOIN full_of f ON f.template = h.template WHERE NOT h.base GROUP BY 1, 2, 3, 4),
-found AS (SELECT doc_id, diagonal AS start, label AS base_label, label, 1.0::DOUBLE AS share FROM line UNION ALL SELECT doc_id, NULL, NULL, CASE WHEN share >= {license_scan.SHARE}::DOUBLE THEN label END, share FROM share),
+placed AS (SELECT h.*, span FROM hit h JOIN span s ON h.doc_id = s.doc_id AND h.template = s.template AND h.diagonal = s.diagonal WHERE NOT h.base),
+agree AS (SELECT doc_id, template, span, count(DISTINCT diagonal + place + k) AS here, count(DISTINCT place + k) AS there, max(diagonal + place + k) - min(diagonal + place + k) + 1 AS len_here, max(place + k) - min(place + k) + 1 AS len_there
+  FROM placed, unnest(range(0, {license_scan.K})) AS r(k) GROUP BY 1, 2, 3),
+share AS (SELECT p.doc_id, p.template, p.label, p.span, count(DISTINCT place) / max(f.n)::DOUBLE AS share, least(max(here), max(there)) / greatest(max(len_here), max(len_there))::DOUBLE AS alike
+  FROM placed p JOIN full_of f ON f.template = p.template JOIN agree a ON a.doc_id = p.doc_id AND a.template = p.template AND a.span = p.span GROUP BY 1, 2, 3, 4),
+found AS (SELECT doc_id, diagonal AS start, label AS base_label, label, 1.0::DOUBLE AS share FROM line UNION ALL SELECT doc_id, NULL, NULL, CASE WHEN share >= {license_scan.SHARE}::DOUBLE AND alike >= {license_scan.ALIKE}::DOUBLE THEN label END, share FROM share),
 f AS (SELECT doc_id, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT base_label, ',' ORDER BY base_label) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY 1)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM w LEFT JOIN f USING (doc_id)"""
 
@@ -159,7 +163,7 @@ SQL = {
     "op6_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
-e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(\|[A-Za-z_]+\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\2\\\3', 'g') AS body FROM c),
+e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)([^\\<>\[\] \t\n\r][^<>\[\]\n]{0,59}[>\]])', '\1\2\\\3', 'g') AS body FROM c),
 s AS (SELECT *, sum(12 + length(role) + 1 + length(body) + 11) OVER w AS upto, row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS last
   FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
