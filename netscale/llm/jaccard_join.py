@@ -9,9 +9,11 @@ never used (-1), all other segments must agree wholly (0), and sets of up to six
 by its one-deletion neighbourhood (+1). A set that then has too few segments adds its prefix (its first s // 4 + 1 shingles, infrequent
 ones first), which finds partners in the same state; with any other partner, that partner's segments suffice.
 
-Signatures travel as packed arrays, equal sets of a task once. Of each signature's group all are compared with one member first, then only
-pairs that aren't connected yet. Parity sketches of one or two bits a shingle, which bound the difference of two sets from below, rule out
-most pairs that aren't similar; the others are verified on the whole sets.
+Signatures travel as packed arrays, equal sets of a task once. Of each signature's group all are compared with one member first. Then, in
+rounds, each component of a group but its largest asks for its most likely pairs with other components; these are verified, components
+join, and pairs that proved apart aren't asked for again, until no group has a pair left that is neither connected nor apart. So what
+leaves a group in a round grows with its components, never with its pairs. Parity sketches of 4 to 8 bits a shingle, which bound the
+difference of two sets from below, rule out nearly all pairs that aren't similar; the others are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netscale.llm.common import NO_ID, blocks, id_of, mix, text_of, words_of, written
+from netscale.llm.common import NO_ID, SEEN, blocks, id_of, mix, runs, text_of, words_of, written
 from netscale.llm.components import components
 
 #: Cells of the count sketch and the parts it is summed in; a shingle is frequent beyond this many times the mean count plus a constant.
@@ -32,8 +34,12 @@ CELLS, PARTS, FREQUENT, AT_LEAST = 1 << 20, 16, 4, 64
 SPARE = 1.15
 #: Signatures and sets that a task holds before it sends them.
 ROWS, SETS = 4_000_000, 60_000
-#: Bytes of the small sketches that sets have while they are compared within groups.
-SMALL = 128
+#: Logical partitions of signatures for each shuffle partition; one is held in memory at a time.
+FINER = 2
+#: Bytes at most of the sketches that sets have while they are compared within groups.
+SMALL = 2048
+#: Members of a group that are compared in one piece, and pairs that a component asks for in the first round (in each later one, MORE times as many).
+TOGETHER, TRIES, MORE = 4096, 16, 64
 #: The largest size of which a set is one segment.
 TINY = 6
 
@@ -73,8 +79,8 @@ def key_of(h: np.ndarray) -> int:
 
 
 def sketch_of(h: np.ndarray) -> bytes:
-    """For each of 2^b buckets of hashes, whether their number is odd; 2 to 4 bits a shingle."""
-    bits = 1 << max(6, int(2 * len(h) - 1).bit_length())
+    """For each of 2^b buckets of hashes, whether their number is odd; 4 to 8 bits a shingle."""
+    bits = 1 << max(6, int(4 * len(h) - 1).bit_length())
     return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -90,8 +96,11 @@ def least_difference(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _sets(k: int):
-    """A row for each document (id, key, n, sketch), and the parts of the task's count sketch (part, counts)."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+    """A row for each document (id, key, n, sketch, small), and the parts of the task's count sketch (part, counts).
+
+    small: the sketch folded to SMALL bytes, null if it has no more.
+    """
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("small", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(CELLS, np.int32), set()
@@ -103,15 +112,18 @@ def _sets(k: int):
                     sizes.append(len(h))
                     sketches.append(sketch_of(h) if len(h) else None)
                     if key not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(key)
                         held.append(h)
                 if held:
                     counts += np.bincount((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32)
                 n = len(keys)
-                yield pa.record_batch([block.column("id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                small = [folded(np.frombuffer(x, np.uint8), SMALL).tobytes() if x and len(x) > SMALL else None for x in sketches]
+                yield pa.record_batch([block.column("id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(small, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if seen:
             parts = counts.reshape(PARTS, -1)
-            none = [*[pa.nulls(PARTS, pa.int64())] * 3, pa.nulls(PARTS, pa.binary())]
+            none = [*[pa.nulls(PARTS, pa.int64())] * 3, *[pa.nulls(PARTS, pa.binary())] * 2]
             yield pa.record_batch([*none, pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
 
     return run
@@ -180,19 +192,25 @@ def _signed(k: int, cells, parts: int):
             order = np.argsort(p, kind="stable")
             sig, own = (sig // np.uint64(parts))[order], own[order]
             ends = np.cumsum(np.bincount(p, minlength=parts))
-            head = np.array(keys, np.int64).tobytes() + np.array(sizes, np.int32).tobytes()
-            blobs = []
-            for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
-                low, high = sig[a:b].astype(np.uint32), (sig[a:b] >> np.uint64(32)).astype(np.uint8)
-                blobs.append(np.array([len(keys), b - a], np.uint32).tobytes() + head + low.tobytes() + high.tobytes() + own[a:b].tobytes())
+            key, size = np.array(keys, np.int64), np.array(sizes, np.int32)
+            some, blobs = [], []
+            for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
+                if a < b:
+                    low, high = sig[a:b].astype(np.uint32), (sig[a:b] >> np.uint64(32)).astype(np.uint8)
+                    used, place = np.unique(own[a:b], return_inverse=True)  # only sets that this blob refers to
+                    head = np.array([len(used), b - a], np.uint32).tobytes() + key[used].tobytes() + size[used].tobytes()
+                    some.append(i)
+                    blobs.append(head + low.tobytes() + high.tobytes() + place.astype(np.uint16).tobytes())
             for x in (keys, sizes, held):
                 x.clear()
-            return pa.record_batch([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], ["p", "blob"])
+            return pa.record_batch([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["p", "blob"])
 
         for batch in batches:
             for block in blocks(batch, "text"):
                 for _, h in shingles(block, k):
                     if len(h) and (key := key_of(h)) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(key)
                         keys.append(key)
                         sizes.append(len(h))
@@ -201,14 +219,14 @@ def _signed(k: int, cells, parts: int):
                         if count >= ROWS or len(keys) >= SETS:
                             yield flush()
                             count = 0
-        if keys:
+        if count:
             yield flush()
 
     return run
 
 
 def _groups_of(blobs: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
-    """Keys and sizes of sets that share a signature, each such group once."""
+    """Keys and sizes of sets that share a signature and may be similar by their sizes, each such group once, one of middle size first."""
     keys, sizes, sigs, own, base = [], [], [], [], 0
     for raw in blobs:
         n, rows = (int(x) for x in np.frombuffer(raw, np.uint32, 2))
@@ -222,7 +240,10 @@ def _groups_of(blobs: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
         base += n
     blobs.clear()
     key, place, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    size, member, sig = np.concatenate(sizes)[place], number[np.concatenate(own)], np.concatenate(sigs)
+    size = np.concatenate(sizes)[place]
+    order = np.argsort(size, kind="stable")  # members of a group then go by size
+    key, size, rank = key[order], size[order].astype(np.int64), np.argsort(order)
+    member, sig = rank[number[np.concatenate(own)]], np.concatenate(sigs)
     del sigs, own
     if len(key) < 1 << 24:
         both = np.sort((sig << np.uint64(24)) | member.astype(np.uint64))
@@ -233,7 +254,7 @@ def _groups_of(blobs: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
         sig, member = sig[order], member[order]
         keep = np.r_[True, (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])]
         sig, member = sig[keep], member[keep]
-    at = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    at = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (3 * size[member[1:]] > 4 * size[member[:-1]])])
     n = np.diff(np.r_[at, len(sig)])
     two = at[n == 2]
     pairs = np.unique(member[two] * len(key) + member[two + 1])
@@ -243,7 +264,10 @@ def _groups_of(blobs: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
     for a, c in zip(at[n > 2].tolist(), n[n > 2].tolist(), strict=True):
         m = member[a : a + c]
         if (raw := m.tobytes()) not in seen:
+            if len(seen) >= SEEN:
+                seen.clear()
             seen.add(raw)
+            m = np.r_[m[c // 2], m[: c // 2], m[c // 2 + 1 :]]
             yield key[m].tolist(), size[m].tolist()
 
 
@@ -284,12 +308,12 @@ def _set_rows(k: int):
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
+        similar = []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= 75 * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            similar.append(100 * both >= 75 * (len(x) + len(y) - both))
+        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(similar, pa.bool_())], ["a", "b", "similar"])
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,49 +324,116 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verify(pairs: DataFrame, known: DataFrame, plain: DataFrame, k: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar. known: (key, id, n, sketch) of each set; plain: documents (id, text)."""
-    x = known.select(F.col("key").alias("a"), "n", F.col("sketch").alias("x"))
-    y = known.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-    close = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_close, "a long, b long"), "close")
-    # whole sets of what is left, each from one document
-    keys = close.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    holders = known.join(keys, "key").select("id").distinct()
-    sets = plain.join(holders, "id", "left_semi").mapInArrow(_set_rows(k), "key long, shingles binary")
-    sets = written(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "members")
-    x, y = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return written(close.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
+class Verifier:
+    """Verifies pairs on whole sets, which it keeps in the shared folder for later rounds."""
+
+    def __init__(self, known: DataFrame, plain: DataFrame, k: int):
+        self.known, self.plain, self.k = known, plain, k
+        self.sets: DataFrame | None = None
+
+    def check(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, similar) of those pairs (a, b) that sketches don't rule out. known: (key, id, n, sketch); plain: documents (id, text)."""
+        x = self.known.select(F.col("key").alias("a"), "n", F.col("sketch").alias("x"))
+        y = self.known.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+        close = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_close, "a long, b long"), "close")
+        # whole sets that weren't needed before, each from one document
+        keys = close.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        if self.sets is not None:
+            keys = written(keys.join(self.sets.select("key"), "key", "left_anti"), "keys")
+        if self.sets is None or not keys.isEmpty():
+            holders = self.known.join(keys, "key").select("id").distinct()
+            sets = self.plain.join(holders, "id", "left_semi").mapInArrow(_set_rows(self.k), "key long, shingles binary")
+            sets = written(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "members")
+            self.sets = sets if self.sets is None else self.sets.union(sets)
+        x, y = (self.sets.select(F.col("key").alias(c), F.col("shingles").alias(s)) for c, s in ("ax", "by"))
+        return written(close.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long, similar boolean"), "links")
+
+
+def likely_pairs(key: np.ndarray, size: np.ndarray, own: np.ndarray, sketches: list[bytes], asks: np.ndarray, answers: np.ndarray, apart: list, tries: int) -> tuple[list[tuple[int, int]], bool]:
+    """Of each component (own) that asks, the `tries` pairs of the most alike sketches with members of others that answer and may be similar;
+    and whether there are more."""
+    bits = [np.frombuffer(s, np.uint8) for s in sketches]
+    width = np.array([len(b) for b in bits])
+    stacked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of_width(w: int) -> tuple[np.ndarray, np.ndarray]:
+        if w not in stacked:
+            members = np.flatnonzero(answers & (width >= w))
+            stacked[w] = members, np.stack([folded(bits[j], w) for j in members]) if len(members) else np.zeros((0, w), np.uint8)
+        return stacked[w]
+
+    best: dict[int, list[tuple[int, int, int]]] = {}
+    count: dict[int, int] = {}
+    for i in np.flatnonzero(asks).tolist():
+        for w in (int(width[i]), int(width[i]) // 2):  # sizes of similar sets differ by a third, their widths by half at most
+            members, folds = of_width(w) if w >= 8 else (np.zeros(0, np.int64), None)
+            fits = (own[members] != own[i]) & (3 * np.maximum(size[i], size[members]) <= 4 * np.minimum(size[i], size[members]))
+            if w < width[i]:
+                fits &= width[members] == w
+            fits = np.flatnonzero(fits)
+            if not len(fits):
+                continue
+            slack = size[i] + size[members[fits]] - 7 * np.bitwise_count(folds[fits] ^ folded(bits[i], w)).sum(axis=1, dtype=np.int64)
+            keep = slack >= 0
+            slack, other = slack[keep], key[members[fits[keep]]]
+            if apart[i]:
+                keep = ~np.isin(other, apart[i])
+                slack, other = slack[keep], other[keep]
+            first = np.lexsort((other, -slack))[:tries]
+            count[int(own[i])] = count.get(int(own[i]), 0) + len(other)
+            best.setdefault(int(own[i]), []).extend(zip((-slack[first]).tolist(), other[first].tolist(), [int(key[i])] * len(first), strict=True))
+    return [(min(x, y), max(x, y)) for found in best.values() for _, x, y in sorted(found)[:tries]], max(count.values(), default=0) > tries
+
+
+def _searched(tries: int):
+    """(group, a, b, cut): pairs to verify, and whether their group has more of them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, int, bool]] = []
+
+        def made() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], ["group", "a", "b", "cut"])
+
+        for rows in runs(batches, ["group", "asking", "answering"]):
+            key, size, own, asks, answers = (rows.column(c).to_numpy() for c in ("key", "size", "component", "asks", "answers"))
+            pairs, cut = likely_pairs(key, size.astype(np.int64), own, rows.column("small").to_pylist(), asks, answers, rows.column("apart").to_pylist(), tries)
+            group = rows.column("group")[0].as_py()
+            held += [(group, a, b, cut) for a, b in pairs]
+            if len(held) > 100_000:
+                yield made()
+                held = []
+        if held:
+            yield made()
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        small = [folded(np.frombuffer(x.as_buffer(), np.uint8), SMALL).tobytes() for x in batch.column("sketch")]
-        yield pa.record_batch([batch.column("key"), pa.array(small, pa.binary())], ["key", "small"])
+    return run
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group that aren't connected yet, weren't compared with its first member and may be similar by their small sketches."""
-    for batch in batches:
-        a, b, n = [], [], 0
-        for members in batch.column("members"):
-            members = members.as_py()
-            members = sorted((m["key"], m["size"], m["component"], m["small"]) for m in members)[1:]
-            width = min(len(m[3]) for m in members)
-            key, size, own = (np.array([m[c] for m in members], np.int64) for c in range(3))
-            bits = np.stack([folded(np.frombuffer(m[3], np.uint8), width) for m in members])
-            for i in range(len(key) - 1):
-                fits = (own[i + 1 :] != own[i]) & (3 * np.maximum(size[i], size[i + 1 :]) <= 4 * np.minimum(size[i], size[i + 1 :]))
-                other = i + 1 + np.flatnonzero(fits)
-                other = other[7 * np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64) <= size[i] + size[other]]
-                if len(other):
-                    a.append(np.minimum(key[i], key[other]))
-                    b.append(np.maximum(key[i], key[other]))
-                    n += len(other)
-            if n > 100_000:
-                yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                a, b, n = [], [], 0
-        if n:
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+def _open_groups(wide: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """wide (group, key, ...) with components, and of each group with several: its members n, the largest component, and members outside it."""
+    wide = wide.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    sizes = wide.groupBy("group", "component").agg(F.count("*").alias("c")).groupBy("group")
+    sizes = sizes.agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("main"))
+    return wide, sizes.where("n > main.c").select("group", "n", F.col("main.component").alias("main"), F.expr("n - main.c").alias("rest"))
+
+
+def _likely(wide: DataFrame, known: DataFrame, found: DataFrame, apart: DataFrame, tries: int) -> DataFrame:
+    """(group, a, b, cut): pairs to verify next. A large group is compared in pieces of its asking by pieces of all its members.
+
+    wide: (group, key, size); sketches join last, and travel once.
+    """
+    wide, opened = _open_groups(wide, found)
+    asks = "component != main"
+    rows = wide.join(opened, "group").withColumns({"t": F.ceil(F.col("n") / TOGETHER), "q": F.ceil(F.col("rest") / TOGETHER)})
+    rows = rows.withColumns({"t_own": F.expr("pmod(key, t)"), "q_own": F.expr("pmod(key, q)")})
+    answer = f"transform(sequence(0L, q - 1), i -> struct(i as asking, t_own as answering, {asks} and i = q_own as asks, true as answers))"
+    ask = f"if({asks}, transform(filter(sequence(0L, t - 1), i -> i != t_own), i -> struct(q_own as asking, i as answering, true as asks, false as answers)), array())"
+    rows = rows.select("group", "key", "size", "component", F.explode(F.expr(f"concat({answer}, {ask})")).alias("x")).select("*", "x.*").drop("x")
+    both = apart.union(apart.select("b", "a")).groupBy(F.col("a").alias("key")).agg(F.collect_list("b").alias("apart"))
+    sketches = known.select("key", F.coalesce("small", "sketch").alias("small")).join(both, "key", "left")
+    rows = rows.join(sketches, "key").withColumn("apart", F.expr("if(asks, apart, null)"))
+    at = ["group", "asking", "answering"]
+    return rows.repartition(*at).sortWithinPartitions(*at).mapInArrow(_searched(tries), "group long, a long, b long, cut boolean")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -355,31 +446,33 @@ def jaccard_components(docs: DataFrame, k: int = 5, text: str = "text", doc_id:
     """
     spark = docs.sparkSession
     plain = docs.select(id_of(doc_id).alias("id"), text_of(text).alias("text"))
-    rows = written(plain.mapInArrow(_sets(k), "id long, key long, n long, sketch binary, part int, counts binary"), "sets")
+    rows = written(plain.mapInArrow(_sets(k), "id long, key long, n long, sketch binary, small binary, part int, counts binary"), "sets")
     cells = spark.sparkContext.broadcast(frequent(rows))  # CELLS flags
     owned = rows.where("part is null").drop("part", "counts")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blobs = plain.select("text").mapInArrow(_signed(k, cells, parts), "p int, blob binary")
-    groups = written(blobs.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_grouped, "keys array<long>, sizes array<int>"), "groups")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blobs = plain.select("text").mapInArrow(_signed(k, cells, min(FINER * tasks, 1 << 15)), "p int, blob binary")
+    groups = written(blobs.repartition(tasks, "p").sortWithinPartitions("p").mapInArrow(_grouped, "keys array<long>, sizes array<int>"), "groups")
     fits = F.expr("3 * greatest(sizes[0], x.s) <= 4 * least(sizes[0], x.s)")
     pairs = groups.select("keys", "sizes", F.explode(F.expr("slice(transform(keys, (k, i) -> struct(k as k, sizes[i] as s)), 2, size(keys) - 1)")).alias("x")).where(fits)
     pairs = written(pairs.select(F.expr("keys[0]").alias("a"), F.col("x.k").alias("b")).distinct(), "pairs")
-    known = owned.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    known = owned.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("small").alias("small"))
     known = written(known, "known")
-    links = _verify(pairs, known, plain, k)
-    found = components(links)
+    verifier = Verifier(known, plain, k)
+    checked = verifier.check(pairs)
+    found = components(checked.where("similar").select("a", "b"))
     wide = groups.where("size(keys) > 2").select(F.xxhash64("keys").alias("group"), "keys", "sizes").dropDuplicates(["group"])
     wide = wide.select("group", F.explode(F.expr("transform(keys, (k, i) -> struct(k as key, sizes[i] as size))")).alias("m")).select("group", "m.key", "m.size")
-    wide = wide.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    open_ = wide.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("group")
-    small = known.select("key", "sketch").mapInArrow(_fold, "key long, small binary")
-    wide = wide.join(open_, "group", "left_semi").join(small, "key")
-    wide = wide.groupBy("group").agg(F.collect_list(F.struct("key", "size", "component", "small")).alias("members"))
-    rest = written(wide.select("members").mapInArrow(_across, "a long, b long").distinct(), "rest")
-    if not rest.isEmpty():
-        more = _verify(rest, known, plain, k)
-        if not more.isEmpty():
-            found = components(links.union(more))
+    wide = written(wide, "wide")
+    tries, apart = TRIES, checked.where("not similar").select("a", "b")
+    while not (likely := written(_likely(wide, known, found, apart, tries), "likely")).isEmpty():
+        pairs = likely.select("a", "b").distinct()
+        checked = checked.union(verifier.check(pairs))
+        found = components(checked.where("similar").select("a", "b"))
+        cut = likely.where("cut").select("group").distinct()
+        if cut.isEmpty():
+            break
+        wide = wide.join(cut, "group", "left_semi")  # the others have asked for all their pairs
+        apart, tries = apart.union(pairs), MORE * tries
     keyed = known.select("key", F.col("id").alias("least")).join(found.withColumnRenamed("node", "key"), "key", "left")
     keyed = keyed.withColumn("component", F.coalesce("component", "key"))
     smallest = keyed.groupBy("component").agg(F.min("least").alias("smallest"))

@@ -4,15 +4,18 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from netscale.llm import jaccard_join, language_id, license_scan, packing, substring_dedup, syncmers, token_counts
+from netscale.llm import decontamination, jaccard_join, language_id, license_scan, packing, substring_dedup, syncmers, token_counts
 from netscale.llm.components import components
 from netscale.llm.decontamination import contaminated
 
@@ -121,6 +124,29 @@ def test_substring_dedup(docs, rows, hot):
     assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
 
 
+def test_passages_are_found_by_the_automaton_alone(monkeypatch):
+    texts = ["a b c d e f", "x b c d e f", "b c d e y z", "q q b c d", "p a b c d e f"]
+    table = pa.table([pa.array([1] * 5), pa.array(range(5)), pa.array(texts), pa.array([5, 6, 7, 8, 9]), pa.array([5, 6, 7, 8, 9])], ["shard", "seg", "text", "least", "most"])
+    got = substring_dedup._located(table, 3).to_pydict()
+    covered = {s: {k for a, b, low in zip(o, e, w, strict=True) for k in range(a, b - 2) if low < 5 + s} for s, o, e, w in zip(got["seg"], got["offs"], got["ends"], got["lows"], strict=True)}
+    first, want = {}, defaultdict(set)
+    for i, t in enumerate(texts):
+        w = t.split()
+        for k in range(len(w) - 2):
+            if first.setdefault(tuple(w[k : k + 3]), i) < i:
+                want[i].add(k)
+    assert {s: c for s, c in covered.items() if c} == want
+    # windows that always stand together are one passage
+    words_ = pc.split_pattern(table["text"].combine_chunks(), " ")
+    code, at = words_.flatten().dictionary_encode().indices.to_numpy().astype(np.int64), words_.offsets.to_numpy().astype(np.int64)
+    a, b, _ = substring_dedup.passages_of(code, at, np.arange(5), np.arange(5), 3)
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 2), (1, 3), (2, 4), (3, 5)]
+
+    blind = SimpleNamespace(add_word=lambda *_: True, make_automaton=lambda: None, iter=lambda _: [(2, 0)])
+    monkeypatch.setattr(substring_dedup, "ahocorasick", SimpleNamespace(Automaton=lambda *_: blind, STORE_INTS=0, KEY_SEQUENCE=0))
+    assert substring_dedup._located(table, 3).to_pydict() != got
+
+
 # --- Jaccard join --------------------------------------------------------------------------------------------------------------
 
 
@@ -180,41 +206,57 @@ def test_components_of_a_path(spark):
 # --- language ID ---------------------------------------------------------------------------------------------------------------
 
 
+def brute_word(pieces, p, word):
+    """Log of the sum over all segmentations of a marked word, by logarithms."""
+    number, word = {s: i for i, s in enumerate(pieces.names)}, f"▁{word}"
+    upto = [0.0] + [-np.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        for i in range(max(0, j - pieces.longest), j):
+            q = p[number[word[i:j]]] if word[i:j] in number else 0.0
+            if q := max(q, language_id.UNKNOWN) if j - i == 1 else q:
+                upto[j] = np.logaddexp(upto[j], upto[i] + np.log(q))
+    return upto[-1]
+
+
 def test_forward_sums_all_segmentations():
     pieces = language_id.pieces_of(PIECES)
+    vocabulary = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert pieces.longest == max(len(vocabulary.id_to_piece(i)) for i in range(vocabulary.get_piece_size()) if not vocabulary.is_control(i) and not vocabulary.is_byte(i))
     rng = np.random.default_rng(0)
-    p = np.r_[rng.random(pieces.size) / pieces.size, 0, 0][:, None]
-    number = {int(h): int(i) for h, i in zip(pieces.hashed, pieces.order, strict=True)}
-
-    def brute(word):
-        if not word:
-            return 1.0
-        total = 0.0
-        for n in range(1, min(len(word), language_id.LONGEST) + 1):
-            i = number.get(pieces._hash(word[:n]))
-            q = p[i, 0] if i is not None else 0.0
-            total += (max(q, language_id.UNKNOWN) if n == 1 else q) * brute(word[n:])
-        return total
-
-    for word in ("▁the", "▁maison", "▁Straße", "▁日x"):
-        at = pieces.at([word], len(word))
-        assert np.isclose(language_id._forward(at, p)[0, -1, 0], brute(word), rtol=1e-9)
+    p = np.c_[np.r_[rng.random(pieces.size) / pieces.size, 0], np.r_[rng.random(pieces.size) ** 9 / pieces.size, 0]]
+    words_ = ["the", "maison", "Straße", "日x", "International", "x", "responsibility" * 9, "日本語の文字" * 40, "é" * 3000, "internationalrepresentation", "", "\ud800"]
+    got = pieces.spots(words_).likelihoods(p)
+    for word, row in zip(words_, got, strict=True):
+        assert np.allclose(row, [brute_word(pieces, p[:, k], word) for k in range(2)], rtol=1e-9)
+    assert pieces.spots([]).likelihoods(p).shape == (0, 2)
+    for s in rng.choice(pieces.names, 300):
+        assert pieces.names[pieces.piece[pieces._find(np.array([pieces._hash(s)], np.uint64))[0]]] == s
 
 
 def test_language_id(spark):
     rng = random.Random(4)
     vocabulary = {"en": "the of and thing there water other about".split(), "fr": "le la eau être où très chez depuis".split(), "de": "der die und nicht straße über schön".split()}
     data = [(i, " ".join(rng.choices(vocabulary[k], k=20)), k) for i, k in enumerate(list(vocabulary) * 40)]
-    data += [(900, None, "en"), (901, "", None), (902, "123 !?", "fr"), (903, "x" * 5000, None), (904, "the water", None)]
+    data += [(900, None, "en"), (901, "", None), (902, "123 !?", "fr"), (903, "x" * 5000, None), (904, "the water", None), (905, "日本語" * 50, None), (906, "a\u0301b" * 9, None), (None, "der die", None)]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumn("score", F.lit("mine"))
-    languages, p = language_id.fit(df, PIECES, F.col("doc_id") % 4 != 2, rows=20)
-    assert languages == ["de", "en", "fr"] and np.allclose(p.sum(axis=0), 1)
-    got = {r.doc_id: r for r in language_id.identify(df, PIECES, languages, p).collect()}
-    assert all(got[i].lang_pred == k for i, _, k in data[:120]) and all(0 < got[i].score <= 1 for i in range(120))
-    assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[904].lang_pred == "en"
-    none, q = language_id.fit(df.limit(0), PIECES, F.lit(True))
-    assert none == [] and {r.lang_pred for r in language_id.identify(df, PIECES, none, q).collect()} == {"und"}
-    assert language_id.identify(df.limit(0), PIECES, languages, p).count() == 0
+    model = language_id.fit(df, PIECES, F.col("doc_id") % 4 != 2, rows=20)
+    assert model.languages == ["de", "en", "fr"] and np.allclose(model.p.sum(axis=0), 1)
+    got = {r.doc_id: r for r in language_id.identify(df, PIECES, model).collect()}
+    assert all(got[i].lang_pred == k for i, _, k in data[:120]) and all(0.5 < got[i].score <= 1 for i in range(120))
+    assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[904].lang_pred == "en" and got[904].score > 0.5
+    assert max(got[i].score for i in (900, 901, 902, 903, 905, 906)) < 0.5
+    # as by brute force
+    pieces = language_id.pieces_of(PIECES)
+    for i, t, _ in [*data[:9], *data[-5:]]:
+        each = [sum(brute_word(pieces, model.p[:, k], w) for w in t.split()) for k in range(3)]
+        n = sum(len(w) + 1 for w in t.split())
+        k = int(np.argmax(each))
+        none = n * (model.mean[k] - language_id.ATYPICAL * np.sqrt(model.between[k] + model.within[k] / n))
+        sure = 1 / sum(np.exp(min((x - each[k]) * min(1, language_id.STRETCH / n), 700)) for x in [*each, none])
+        assert got[i].lang_pred == model.languages[k] and np.isclose(got[i].score, sure, rtol=1e-6)
+    none = language_id.fit(df.limit(0), PIECES, F.lit(True))
+    assert none.languages == [] and {r.lang_pred for r in language_id.identify(df, PIECES, none).collect()} == {"und"}
+    assert language_id.identify(df.limit(0), PIECES, model).count() == 0
 
 
 # --- syncmers ------------------------------------------------------------------------------------------------------------------
@@ -242,16 +284,75 @@ def test_fingerprints(docs, rows):
     assert one.near_next == 1.0 and one.near_edited > 0.2
 
 
+def read_print(text):
+    """(hash, place) of a fingerprint, and the first place of each hash."""
+    pairs = [(h, int(i)) for h, i in (x.split(":") for x in text.split(",") if x)]
+    first = {}
+    for h, i in pairs:
+        first[h] = min(i, first.get(h, i))
+    return pairs, first
+
+
+def brute_likeness(a, b, positions=True):
+    a, b = read_print(a)[1], read_print(b)[1]
+    shared = sorted((a[h], b[h]) for h in a.keys() & b.keys())
+    offset = [y - x for x, y in shared]
+    agree = [any(0 <= j < len(offset) and abs(offset[i] - offset[j]) <= syncmers.STEP for j in (i - 1, i + 1)) for i in range(len(offset))]
+    n = sum(agree) if positions and min(len(a), len(b)) != 1 else len(shared)
+    return n / (len(a) + len(b) - n) if a or b else 1.0
+
+
+def test_likeness_is_positional(spark):
+    rng = random.Random(8)
+    base = [f"v{rng.randrange(500)}" for _ in range(400)]
+    shuffled = [base[i : i + 5] for i in range(0, 400, 5)]
+    rng.shuffle(shuffled)
+    texts = [" ".join(base), " ".join(["new"] * 50 + base[100:200] + ["old"] * 30), " ".join(w for x in shuffled for w in x), "", "one two", "one two", " ".join(base[:5]), "one two three four five", " ".join(base[:6] * 9)]
+    pairs = [(x, y) for x in texts for y in texts]
+    df = spark.createDataFrame(pairs, "x string, y string")
+    df = syncmers.with_likeness(syncmers.with_anchors(syncmers.with_anchors(df, "x", "a"), "y", "b"), "a", "b", "near")
+    rows = df.select("x", "y", "near", syncmers.fingerprint_of("a").alias("fa"), syncmers.fingerprint_of("b").alias("fb")).collect()
+    for r in rows:
+        assert abs(r.near - brute_likeness(r.fa, r.fb)) < 1e-12 and (r.x != r.y or r.near == 1.0)
+    by = {(r.x, r.y): r for r in rows}
+    inside = by[texts[0], texts[1]]
+    assert 0.15 < inside.near < 0.35 and abs(inside.near - by[texts[1], texts[0]].near) < 1e-12
+    # equal anchors at other places don't count: without positions the answer is another
+    loose = by[texts[0], texts[2]]
+    assert loose.near < brute_likeness(loose.fa, loose.fb, positions=False)
+    assert by[texts[0], ""].near == 0.0 and by["", ""].near == 1.0
+
+
+def test_texts_of_few_words_have_anchors(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(n)) for n in (1, 4, 5, 6, 7) for _ in range(40)]
+    out = syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), buckets=3).collect()
+    assert len(out) == 200 and all(r.fingerprint for r in out) and all(r.near_next == 0.0 for r in out)
+
+
+def test_near_columns(docs, rows):
+    out = syncmers.fingerprints(docs, buckets=5).collect()
+    ranked = sorted(rows, key=lambda r: (order(r[0]), r[1] or ""))
+    print_of = {(r.doc_id, r.n_chars): r.fingerprint for r in out if r.doc_id is not None}
+    for r in out:
+        assert abs(r.near_edited - brute_likeness(r.fingerprint, r.edited_fingerprint)) < 1e-12
+    once = [k for k, (i, _) in enumerate(ranked[:-1]) if i is not None and ranked[k + 1][0] is not None and sum(i == j for j, _ in ranked) == 1]
+    by = {r.doc_id: r for r in out}
+    for k in once:
+        (i, _), (j, t) = ranked[k], ranked[k + 1]
+        assert abs(by[i].near_next - brute_likeness(by[i].fingerprint, print_of[j, len(t or "")])) < 1e-12
+
+
 def test_anchors_are_closed_syncmers_and_context_free(spark):
     rng = random.Random(6)
-    text = " ".join(f"v{rng.randrange(10**6)}" for _ in range(100))
+    text = " ".join(f"v{rng.randrange(10**6)}" for _ in range(300))
     df = spark.createDataFrame([("a b c " + text,), (text + " z y",)], "text string")
     rows = syncmers.with_anchors(df, "text", "anchors").withColumn("h", F.expr("transform(filter(split(text, ' '), w -> w != ''), w -> xxhash64(w))")).collect()
     found = []
     for r in rows:
         at = [i for i in range(len(r.h) - 4) if min(r.h[i : i + 5]) in (r.h[i], r.h[i + 4])]
-        assert sorted(x & (2**20 - 1) for x in r.anchors) == at and len(r.anchors) <= 64
-        found.append({x >> 20 for x in r.anchors})
+        assert sorted(x & (2**20 - 1) for x in r.anchors) == at and len(r.anchors) > 64  # all of them
+        found.append({x >> 21 for x in r.anchors})
     assert len(found[0] & found[1]) >= len(found[1]) - 3
 
 
@@ -281,6 +382,19 @@ def test_license_scan(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_spans_are_verified_and_null_ids_kept_apart(spark):
+    wanted = next(t for t, label in license_scan.TEMPLATES if label == "bsd")
+    words_ = wanted.split()
+    scattered = " ".join(w + (" x y" if i % 4 == 3 else "") for i, w in enumerate(words_))  # votes on few diagonals, but with foreign words between
+    rows = [(1, wanted), (2, wanted.replace("source and", "source code and")), (3, scattered), (4, " ".join(reversed(words_))), (None, "mit license"), (0, "mit license"), (None, "mit license"), (5, " ".join(words_[:9]))]
+    out = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
+    by = {r.doc_id: r for r in out}
+    assert by[1].labels == by[2].labels == "bsd" and by[1].score == 1.0 and by[0].labels == by[None].labels == "mit" and by[0].n_base == 1
+    assert by[3].score >= license_scan.SHARE and by[3].labels == "" and by[4].labels == "" and by[5].labels == ""
+    assert all(len(t.split()) <= 62 for t, _ in license_scan.TEMPLATES)
+
+
 # --- decontamination -----------------------------------------------------------------------------------------------------------
 
 ITEM = "A train leaves Boston at 60 km and meets Alice after she has walked for 3 hours along the river, so how many km are left between Boston and them?"
@@ -295,9 +409,9 @@ def test_contaminated(spark):
     got = {(r.doc_id, r.item_id): r for r in contaminated(docs, bench).collect()}
     assert set(got) >= {(10, 1), (11, 1), (16, 4)} and {i for i, _ in got} <= {10, 11, 15, 16}
     assert got[10, 1].n_changed == 0 and got[11, 1].n_changed >= 3 and got[16, 4].coverage == 1
-    # slots that don't map one to one don't count
+    # windows whose slots contradict the others don't count: Boston is Denver in more windows than it is Paris
     mixed = contaminated(spark.createDataFrame([(20, MIXED)], "doc_id long, text string"), bench).collect()
-    assert mixed == []
+    assert [(r.doc_id, r.item_id) for r in mixed] == [(20, 1)] and mixed[0].coverage < got[11, 1].coverage == 1
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
@@ -312,12 +426,120 @@ def test_contaminated_by_items_without_template_windows(spark):
     assert all(got[k].coverage == 1 for k in [(10, 1), (11, 2), (12, 3), (13, 3), (14, 4)])
 
 
-def test_blocks_of_windows_give_the_same(spark, monkeypatch):
-    from netscale.llm import decontamination
-
-    bench, docs = spark.createDataFrame([(1, ITEM)], "item_id long, text string"), spark.createDataFrame([(10, ITEM)], "doc_id long, text string")
+def test_a_full_filter_gives_the_same(spark, monkeypatch):
+    bench, docs = spark.createDataFrame([(1, ITEM)], "item_id long, text string"), spark.createDataFrame([(10, ITEM), (11, "the river " * 30)], "doc_id long, text string")
     once = contaminated(docs, bench).collect()
-    monkeypatch.setattr(decontamination, "AT_A_TIME", 4)
+    monkeypatch.setattr(decontamination, "MOST_BITS", 128)
     assert contaminated(docs, bench).collect() == once and len(once) == 1
 
 
+def slot_kinds(text):
+    """(kind, word) of the ASCII template words of a text: runs of one type are one."""
+    out = []
+    for m in re.finditer(r"[A-Za-z]+|[0-9]+", text):
+        w = m.group()
+        before = text[: m.start()].rstrip(" \t")
+        if w.isdigit():
+            kind = decontamination.NUMBER
+        elif out and out[-1][0] == decontamination.NUMBER and w.lower() in decontamination.UNITS:
+            kind = decontamination.UNIT
+        elif w[0].isupper() and w[1:2].islower() and before and before[-1] not in ".!?:;\n\r":
+            kind = decontamination.NAME
+        else:
+            kind = 0
+        if kind and out and out[-1][0] == kind:
+            out[-1] = (kind, out[-1][1] + " " + w.lower(), out[-1][2] + [w.lower()])
+        else:
+            out.append((kind, w.lower(), [w.lower()]))
+    return out
+
+
+def brute_coverage(text, item, width=8):
+    """The largest share of the item that windows cover, of its template or plain words."""
+    best = 0.0
+    a, b = slot_kinds(item), slot_kinds(text)
+    for plain in (False, True):
+        x, y = ([(0, w) for t in s for w in t[2]] if plain else [(t[0], t[1]) for t in s] for s in (a, b))
+        n = min(width, len(x))
+        key = lambda t: t[1] if t[0] == 0 else t[0]
+        lines = defaultdict(list)
+        for i in range(len(x) - n + 1 if n else 0):
+            if plain or 2 * sum(t[0] == 0 for t in x[i : i + n]) >= n:
+                for j in range(len(y) - n + 1):
+                    if all(key(p) == key(q) and bool(p[0]) == bool(q[0]) for p, q in zip(x[i : i + n], y[j : j + n], strict=True)):
+                        lines[j - i].append((i, {(p[1], q[1]) for p, q in zip(x[i : i + n], y[j : j + n], strict=True) if p[0]}))
+        covered = set()
+        for windows in lines.values():
+            votes = Counter(p for _, own in windows for p in own)
+            top = lambda of: max(of, key=lambda p: (votes[p], p[0] == p[1]))  # noqa: E731, B023
+            for i, own in windows:
+                if all(p[0] == p[1] or (top([q for q in votes if q[0] == p[0]]) == p and top([q for q in votes if q[1] == p[1]]) == p) for p in own):
+                    covered.update(range(i, i + n))
+        best = max(best, len(covered) / len(x)) if x else best
+    return best
+
+
+def test_contaminated_as_by_brute_force(spark):
+    rng = random.Random(11)
+    fill = "the cow has a tree and so it runs to see what we know of rivers near home".split()
+    slots = [lambda: str(rng.randint(1, 99)), lambda: rng.choice(["Anna", "Bert", "Carl", "Dora"]), lambda: f"{rng.randint(1, 99)} {rng.choice(['km', 'kg', 'days'])}"]
+    say = lambda n: ["so", *(rng.choice(fill) if rng.random() < 0.75 else rng.choice(slots)() for _ in range(n))]
+    items = [(i, " ".join(say(rng.choice([2, 5, 9, 20, 30])))) for i in range(12)]
+    rows = []
+    for i in range(60):
+        words_ = rng.choice(items)[1].split()
+        swap = {w: rng.choice([w, w, str(rng.randint(100, 120)) if w.isdigit() else rng.choice(["Emil", "Fritz"])]) for w in words_ if w.isdigit() or w[0].isupper()}
+        new = [swap.get(w, w) for w in words_]
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(new))
+            new[k] = rng.choice(slots)() if new[k] in swap.values() else rng.choice([new[k], "other"])
+        rows.append((i, " ".join([*say(rng.randint(0, 12)), *new, *say(rng.randint(0, 12))])))
+    got = {(r.doc_id, r.item_id): r.coverage for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    every = {(i, j): brute_coverage(t, u) for i, t in rows for j, u in items}
+    # votes may tie, which either side breaks its own way
+    assert {k for k, c in every.items() if c >= 0.5} ^ set(got) == set() and sum(abs(every[k] - c) > 1e-9 for k, c in got.items()) <= 0.05 * len(got)
+
+
+def test_contaminated_without_ids(spark):
+    bench = spark.createDataFrame([(1, ITEM), (None, "the cat sat on the mat and looked at the dog for a while")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, ITEM), (None, "the cat sat on the mat and looked at the dog for a while"), (None, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench).collect()} == {(None, 1), (None, None)}
+
+
+def near_copies(n, rng, words=60, apart=12):
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for j in rng.sample(range(words), rng.randint(0, apart) // 4):
+            w[j] = f"{i}x{j}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize(("together", "tries"), [(4096, 4), (16, 1)])
+def test_many_near_copies(spark, monkeypatch, together, tries):
+    """Of copies that differ at 0 to 3 places, many pairs aren't similar: their group is searched in rounds, in pieces if it is large."""
+    rng = random.Random(9)
+    rows = near_copies(120 if together == 16 else 300, rng)
+    monkeypatch.setattr(jaccard_join, "TOGETHER", together)
+    monkeypatch.setattr(jaccard_join, "TRIES", tries)
+    monkeypatch.setattr(jaccard_join, "AT_LEAST", 10)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard_join.jaccard_components(df).collect())) == brute_components(rows)
+
+
+def test_likely_pairs_grow_with_components():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**64 - 1, 150, dtype=np.uint64)
+    for n in (200, 400):
+        sets = [np.unique(np.r_[rng.permutation(base)[rng.integers(0, 40) :], rng.integers(0, 2**64 - 1, 20, dtype=np.uint64)]) for _ in range(n)]
+        own = np.arange(n) // 2
+        args = [np.arange(n), np.array([len(s) for s in sets]), own, [jaccard_join.sketch_of(s) for s in sets]]
+        pairs, cut = jaccard_join.likely_pairs(*args, np.ones(n, bool), np.ones(n, bool), [None] * n, 3)
+        assert cut and 0 < len(pairs) <= 3 * (n // 2) and all(own[a] != own[b] for a, b in pairs)
+        # pairs that were refuted don't come again, and all come in the end
+        every = set(jaccard_join.likely_pairs(*args, np.ones(n, bool), np.ones(n, bool), [None] * n, n * n)[0])
+        less = jaccard_join.likely_pairs(*args, np.ones(n, bool), np.ones(n, bool), [[b for x, b in every if x == i] + [a for a, x in every if x == i] for i in range(n)], 3)
+        exact = {(a, b) for a in range(n) for b in range(a) if (both := len(np.intersect1d(sets[a], sets[b]))) and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and own[a] != own[b]}
+        assert less == ([], False) and {(b, a) for a, b in exact} <= every

@@ -62,6 +62,14 @@ def test_escape_round_trip():
         assert chat_format.unescape(chat_format.escape(text)) == text and not control.search(chat_format.escape(text))
 
 
+def test_every_control_string_is_escaped():
+    control = ["<|reserved_special_token_12|>", "<start_of_turn>", "<end_of_turn>", "<eos>", "<bos>", "<pad>", "<unk>", "<extra_id_0>", "<|endoftext|>", "<|im_end|>", "[TOOL_CALLS]", "[/INST]", "</s>", "<｜User｜>", "<|fim-hole|>"]
+    for c in control:
+        for text in (c, f"a{c}b", c * 3, f"<{c}>", f"[{c}]", f"\\{c}", c[0] + "\\" + c[1:], c[0] + "\\\\" + c[1:]):
+            out = chat_format.escape(text)
+            assert chat_format.unescape(out) == text and not any(x in out for x in control)
+
+
 def test_examples(spark):
     turns = [(1, 0, "system", "be nice"), (1, 1, "user", ODD[0]), (1, 2, "assistant", ODD[3]), (1, 3, "user", None), (1, 4, "assistant", "b"), (1, 5, "user", "tail")]
     turns += [(2, 1, "assistant", ""), (2, 0, None, "x"), (3, 0, "user", "hi"), (4, None, "to\nol%", ODD[8]), (4, 2, "assistant", "r"), (4, 2, "assistant", "r"), (None, 0, "assistant", "n")]
@@ -85,6 +93,38 @@ def test_examples(spark):
     assert chat_format.digests(chat_format.chat_examples(df.limit(0))).count() == 0
 
 
+def test_suffixes(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.y.gov.au", "me.github.io", "a.me.github.io", "x.com", "deep.x.com", "localhost", "10.0.0.1", "", "a.ab.de"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", *(c.alias(n) for c, n in zip(host_reputation.levels(host_reputation.F.col("host")), ("domain", "suffix"), strict=True))).collect()
+    got = {r.host: (r.domain, r.suffix) for r in rows}
+    assert got["a.b.co.uk"] == got["b.co.uk"] == ("b.co.uk", "co.uk") and got["x.y.gov.au"] == ("y.gov.au", "gov.au") and got["a.me.github.io"] == ("me.github.io", "github.io")
+    assert got["deep.x.com"] == ("x.com", "com") and got["localhost"] == ("localhost", "localhost") and got["10.0.0.1"] == ("10.0.0.1", "10.0.0.1") and got["a.ab.de"] == ("ab.de", "de")
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, clashing columns, empty tables."""
+    import corpus_pipeline
+
+    base, item = " ".join(f"the word {i} of it" for i in range(40)), "how many of the apples are there when she takes half of them away from him"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, base), (None, base), (None, base + " x"), (1, base + " y"), (1, base + " y"), (1, "another text of the same id that is long enough"), (2, None), (3, ""), (2, None), (4, f"here: {item}"), (None, f"there: {item}"), (None, "a text of no id at all")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.one_of_each_group(spark, df, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, base + " y"), *rows[5:7], (3, ""), (2, None), (4, f"here: {item}"), rows[11]])
+    kept = corpus_pipeline.no_benchmark(spark, df, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(r for r in rows if item not in (r[1] or ""))
+    kept = corpus_pipeline.recurring_passages(spark, df, str(tmp_path)).collect()
+    assert {(2, None), (3, ""), (1, base + " y")} <= {(r.doc_id, r.text) for r in kept} and all(r.n_chars == len(r.text or "") for r in kept)
+    kept = corpus_pipeline.known_language(spark, df, str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in kept} <= {r for r in rows if r[1]} and (None, base) in {(r.doc_id, r.text) for r in kept}
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df.limit(0), str(tmp_path))
+        assert out.count() == 0
+    packed = corpus_pipeline.packed(spark, df, str(tmp_path))
+    assert packed.groupBy("doc_id").count().count() == 5
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "substring_dedup", "decontamination", "packing"]
+
+
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_pipeline(spark):
     import corpus_pipeline
