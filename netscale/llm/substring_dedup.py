@@ -29,7 +29,7 @@ from netscale.llm.common import blocks, extended, id_of, mix, text_of, words_of,
 #: An anchor that more documents have is split to its windows.
 HOT_DOCS = 1000
 #: Segments that are compiled to an automaton at a time, unless one shard alone has more.
-SEGMENTS = 20_000
+SEGMENTS = 500
 #: Segments that a task gathers and merges before it sends them to their shards.
 MERGED = 100_000
 
@@ -210,12 +210,16 @@ def _located(table: pa.Table, window: int) -> pa.Table | None:
 
 
 def _automata(window: int):
-    def searched(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        if sum(t.num_rows for t in held) and (found := _located(pa.concat_tables(held), window)):
-            yield from found.combine_chunks().to_batches()
+    def searched(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        shard, i = table["shard"].to_numpy(), 0
+        while i < len(shard):  # whole shards; small automata, as a node's branches are searched one by one
+            j = int(np.searchsorted(shard, shard[min(i + SEGMENTS, len(shard)) - 1], "right"))
+            if found := _located(table.slice(i, j - i), window):
+                yield from found.combine_chunks().to_batches()
+            i = j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, held, rows = None, [], 0
+        rest = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 table = pa.Table.from_batches([batch])
@@ -233,11 +237,7 @@ def _automata(window: int):
                 shard = table["shard"].to_numpy()
                 first = np.r_[True, shard[1:] != shard[:-1]]
                 once = first & np.r_[first[1:], True] & (table["least"].to_numpy() == table["most"].to_numpy())
-                held.append(table.filter(pa.array(~once)))  # a shard of one segment in one document has nothing that recurs
-                rows += held[-1].num_rows
-            if rows >= SEGMENTS or batch is None:
-                yield from searched(held)
-                held, rows = [], 0
+                yield from searched(table.filter(pa.array(~once)))  # a shard of one segment in one document has nothing that recurs
 
     return run
 
