@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from netscale.functions import kernels
 from netscale.operators.corr import as_series, clean, correlation, edges_of, full_matrix
 from netscale.operators.series import SERIES, per_key
+from netscale.sources.shared import written
 
 
 def with_nodes(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -38,12 +39,36 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), str
     return per_key(with_nodes(nodes, edges, keys), keys, run, "node long, component long")
 
 
+def components_of_large(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) as components() gives them, of one graph of any size, dealt to all tasks: by alternating large and small stars.
+
+    Each round is a table in the shared folder, and only its count and checksum reach the driver.
+    """
+
+    def state(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    ends = edges.where("src != dst").select(F.greatest("src", "dst").cast("long").alias("a"), F.least("src", "dst").cast("long").alias("b")).distinct()
+    ends = written(ends, "stars")
+    was, now = None, state(ends)
+    while now[0] and now != was:
+        both = ends.union(ends.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        ends = written(small.union(least).distinct(), "stars")
+        was, now = now, state(ends)
+    own = nodes.select(F.col("node").cast("long").alias("node")).union(edges.select(F.explode(F.array(F.col("src").cast("long"), F.col("dst").cast("long"))))).distinct()
+    return own.join(ends.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 def giant_nodes(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), strongly: bool = False) -> DataFrame:
     """Nodes of the largest component of each key; of equal ones, that with the smallest node."""
     found = components(nodes, edges, keys, strongly)
     sizes = found.groupBy(*keys, "component").agg(F.count("*").alias("n"))
     best = sizes.groupBy(*keys).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))
-    return (found.join(F.broadcast(best), [*keys, "component"], "left_semi")).select(*keys, "node")
+    return found.join(best, [*keys, "component"], "left_semi").select(*keys, "node")
 
 
 def induced(edges: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -64,9 +89,26 @@ def without_loops(edges: DataFrame) -> DataFrame:
 
 
 def giant_and_left_off(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes and edges of the giant component after loops are dropped, and the nodes outside it."""
-    own, inner = giant_component(nodes, without_loops(edges), keys)
-    return own, inner, nodes.select(*keys, F.col("node").cast("long")).join(own, [*keys, "node"], "left_anti")
+    """Nodes and edges of the giant component after loops are dropped, and the nodes outside it.
+
+    All three are read off one table, for which nodes and edges are worked out once; a task holds the graph of a key.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        own, src, dst, weight = split(frame)
+        label = kernels.weak_labels(own, src, dst)
+        names, size = np.unique(label, return_counts=True)  # the smallest of equal ones comes first
+        inside = label == names[np.argmax(size)]
+        keep = inside[np.searchsorted(own, src)]
+        nothing = pd.array([None] * len(own), "Int64")
+        rows = pd.DataFrame({"src": own, "dst": nothing, "weight": np.nan, "inside": inside})
+        return pd.concat([rows, pd.DataFrame({"src": src[keep], "dst": pd.array(dst[keep], "Int64"), "weight": weight[keep], "inside": True})])
+
+    kinds = [edges.schema[c].dataType for c in ("src", "dst", "weight")]
+    whole = written(per_key(with_nodes(nodes, without_loops(edges), keys), keys, run, "src long, dst long, weight double, inside boolean"), "network")
+    inner = whole.where("dst is not null").select(*keys, *[F.col(c).cast(k).alias(c) for c, k in zip(("src", "dst", "weight"), kinds, strict=True)])
+    alone = whole.where("dst is null")
+    return alone.where("inside").select(*keys, F.col("src").alias("node")), inner, alone.where("not inside").select(*keys, F.col("src").alias("node"))
 
 
 def correlation_network(df: DataFrame, keys: Sequence[str] = (), threshold: float | None = None, remove_negative: bool = True, regularize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -76,7 +118,7 @@ def correlation_network(df: DataFrame, keys: Sequence[str] = (), threshold: floa
 
 
 def second_order_network(corr: DataFrame, ids: DataFrame, keys: Sequence[str] = (), threshold: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The network of correlations between the rows of a correlation matrix."""
+    """The network of correlations between the rows of a correlation matrix, which is read twice: best a table."""
     return correlation_network(as_series(full_matrix(corr, ids, keys), keys), keys, threshold)
 
 

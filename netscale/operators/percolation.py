@@ -23,9 +23,10 @@ def log_grid(low: float, high: float, steps: int) -> np.ndarray:
 
 
 def percolation_curve(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), steps: int = 400) -> DataFrame:
-    """Shares of edges and nodes in the giant component over a log grid from the smallest to the largest weight (which must be positive).
+    """Shares of edges and nodes in the giant component over a log grid from the smallest to the largest weight .
 
-    One sweep over the sorted edges of a key serves all thresholds. A key without edges gives no rows.
+    One sweep over the sorted edges of a key serves all thresholds. A key without edges gives no rows; one with a weight that isn't
+    positive has no grid, and its th, einf and pinf are null.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -33,7 +34,7 @@ def percolation_curve(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] =
         if not len(weight):
             return pd.DataFrame({"idx": np.zeros(0, np.int32), "th": [], "einf": [], "pinf": []})
         if weight.min() <= 0:
-            raise ValueError("weights must be positive")
+            return pd.DataFrame({"idx": np.arange(steps, dtype=np.int32), "th": None, "einf": None, "pinf": None})
         th = log_grid(weight.min(), weight.max(), steps)
         einf, pinf = kernels.percolation(len(own), np.searchsorted(own, src), np.searchsorted(own, dst), weight, th)
         return pd.DataFrame({"idx": np.arange(steps, dtype=np.int32), "th": th, "einf": einf, "pinf": pinf})
@@ -60,7 +61,7 @@ def elbow(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def by_fraction(curve: DataFrame, keys: Sequence[str] = (), fraction: float = 0.95) -> DataFrame:
     """The first threshold at which the giant component is below a share of its first size, else the last threshold."""
     first = curve.groupBy(*keys).agg(F.min_by("pinf", "idx").alias("p0"), F.max_by("th", "idx").alias("last"))
-    held = curve.join(F.broadcast(first), list(keys)) if keys else curve.crossJoin(F.broadcast(first))
+    held = curve.join(first, list(keys)) if keys else curve.crossJoin(F.broadcast(first))
     hit = F.when(F.col("pinf") < fraction * F.col("p0"), F.col("idx"))
     return held.groupBy(*keys).agg(F.coalesce(F.min_by(F.when(hit.isNotNull(), F.col("th")), hit), F.first("last")).alias("th"))
 
@@ -68,7 +69,7 @@ def by_fraction(curve: DataFrame, keys: Sequence[str] = (), fraction: float = 0.
 def by_plateau(curve: DataFrame, keys: Sequence[str] = (), tolerance: float = 0.01) -> DataFrame:
     """The last threshold at which the giant component is within a tolerance of its largest size, else the first."""
     top = curve.groupBy(*keys).agg(F.max("pinf").alias("top"), F.min_by("th", "idx").alias("first"))
-    held = curve.join(F.broadcast(top), list(keys)) if keys else curve.crossJoin(F.broadcast(top))
+    held = curve.join(top, list(keys)) if keys else curve.crossJoin(F.broadcast(top))
     hit = F.when(F.col("pinf") >= F.col("top") - tolerance, F.col("idx"))
     return held.groupBy(*keys).agg(F.coalesce(F.max_by(F.when(hit.isNotNull(), F.col("th")), hit), F.first("first")).alias("th"))
 

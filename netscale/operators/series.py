@@ -34,9 +34,9 @@ def per_key(df: DataFrame, keys: Sequence[str], run, columns: str) -> DataFrame:
 
 
 def densify(df: DataFrame, keys: Sequence[str] = (), fill: float = 0.0) -> DataFrame:
-    """Every series at every t of its key; what was missing (or null) is filled."""
+    """Every series at every t of its key; what was missing (or null) is filled. df is read three times: best a table."""
     ids, ts = df.select(*keys, SERIES).distinct(), df.select(*keys, "t").distinct()
-    full = ids.join(F.broadcast(ts), list(keys)) if keys else ids.crossJoin(F.broadcast(ts))
+    full = ids.join(ts, list(keys)) if keys else ids.crossJoin(ts)
     return full.join(df, [*keys, SERIES, "t"], "left").select(*keys, SERIES, "t", F.coalesce("value", F.lit(fill)).alias("value"))
 
 
@@ -133,11 +133,13 @@ def band_power(filtered: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def butterworth(df: DataFrame, low: float, high: float, rate: float = 1.0, order: int = 4, keys: Sequence[str] = (), kind: str = "bandpass") -> DataFrame:
-    """Zero-phase Butterworth filter of each series; a series must be longer than the padding (27 samples for a band of order 4)."""
+    """Zero-phase Butterworth filter of each series. Null where a series isn't longer than the padding (27 samples for a band of order 4)."""
+    pad = 3 * len(kernels.butter_bandpass(low, high, rate, order, kind)[0])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t")
-        return pd.DataFrame({"t": frame["t"], "value": kernels.band_filter(frame["value"].to_numpy(float), low, high, rate, order, kind)[0]})
+        x = frame["value"].to_numpy(float)
+        return pd.DataFrame({"t": frame["t"], "value": kernels.band_filter(x, low, high, rate, order, kind)[0] if len(x) > pad else None})
 
     return per_key(df, [*keys, SERIES], run, f"t {df.schema['t'].dataType.simpleString()}, value double")
 
@@ -189,6 +191,11 @@ def peak_period(df: DataFrame, rate: float = 1.0, keys: Sequence[str] = ()) -> D
     return gaps.groupBy(*keys, SERIES).agg(F.count("*").alias("n_peaks"), (F.avg("gap") / rate).alias("period"))
 
 
+def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """The first n rows by an order."""
+    return df.orderBy(*order).limit(n)
+
+
 def difference(df: DataFrame, value: str, order: str, keys: Sequence[str] = ()) -> DataFrame:
     """The step to the next row; null on the last."""
     return df.withColumn("diff", F.lead(value).over(Window.partitionBy(*keys).orderBy(order)) - F.col(value))

@@ -12,15 +12,36 @@ from pyspark.sql.window import Window
 def fdr(pairs: DataFrame, alpha: float, keys: Sequence[str] = ()) -> DataFrame:
     """Pairs with rank, threshold and accepted, by Benjamini and Hochberg over i < j. Ties go by (i, j).
 
-    threshold is the largest rank's alpha * rank / n that a p-value reaches; null, and nothing accepted, if none does.
+    threshold is the largest rank's alpha * rank / n that a p-value reaches; null, and nothing accepted, if none does. With keys, a task
+    ranks the pairs of a key. Without, ranges of p are ranked apart, and only the ranges' sizes and the threshold reach the driver.
     """
-    w = Window.partitionBy(*keys)
-    ranked = pairs.where("i < j").withColumns({"rank": F.row_number().over(w.orderBy("p", "i", "j")), "n": F.count("*").over(w)})
-    line = F.col("rank") * alpha / F.col("n")
-    held = ranked.withColumn("threshold", F.max(F.when(F.col("p") <= line, line)).over(w))
+    upper = pairs.where("i < j")
+    if keys:
+        w = Window.partitionBy(*keys)
+        ranked = upper.withColumns({"rank": F.row_number().over(w.orderBy("p", "i", "j")), "n": F.count("*").over(w)})
+        line = F.col("rank") * alpha / F.col("n")
+        held = ranked.withColumn("threshold", F.max(F.when(F.col("p") <= line, line)).over(w))
+    else:
+        ranked, n = _ranked(upper)
+        line = F.col("rank") * alpha / F.lit(n)
+        held = ranked.withColumn("threshold", F.lit(ranked.agg(F.max(F.when(F.col("p") <= line, line))).first()[0]).cast("double"))
     return held.withColumn("accepted", F.coalesce(F.col("p") <= F.col("threshold"), F.lit(False))).select(*keys, "i", "j", "p", "rank", "threshold", "accepted")
 
 
+def _ranked(pairs: DataFrame, ranges: int = 256) -> tuple[DataFrame, int]:
+    """pairs with `rank` by (p, i, j) among all, and their number."""
+    found = pairs.agg(F.percentile_approx("p", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
+    cuts = ", ".join(f"{c!r}D" for c in sorted(set(found or [])))
+    ranged = pairs.withColumn("range", F.expr(f"size(filter(cast(array({cuts}) as array<double>), c -> c < p))"))
+    sizes = dict(ranged.groupBy("range").count().collect())  # of at most `ranges` ranges
+    before, total = {}, 0
+    for k in sorted(sizes, key=lambda k: (k is not None, k)):
+        before[k], total = total, total + sizes[k]
+    start = F.coalesce(*[F.when(F.col("range").eqNullSafe(F.lit(k)), F.lit(n)) for k, n in before.items()]) if before else F.lit(0)
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("p", "i", "j")) + start
+    return ranged.withColumn("rank", rank.cast("int")).drop("range"), total
+
+
 def below(pairs: DataFrame, alpha: float) -> DataFrame:
     """Pairs with p strictly below alpha."""
     return pairs.where(F.col("p") < alpha)
@@ -34,11 +55,12 @@ def mask(pairs: DataFrame, accepted: DataFrame, keys: Sequence[str] = ()) -> Dat
 
 def histogram(values: DataFrame, column: str, bins: int = 10, keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., bin, low, high, density) of even bins from the smallest to the largest value, the last closed on both sides."""
-    w = Window.partitionBy(*keys)
-    held = values.withColumns({"a": F.min(column).over(w), "b": F.max(column).over(w), "n": F.count(column).over(w)}).where(F.col(column).isNotNull())
+    ends = values.where(F.col(column).isNotNull()).groupBy(*keys).agg(F.min(column).alias("a"), F.max(column).alias("b"), F.count(column).alias("n")).where("n > 0")
+    some = values.where(F.col(column).isNotNull())
+    held = some.join(ends, list(keys)) if keys else some.crossJoin(F.broadcast(ends))  # a row for each key, or one
     at = F.least(F.floor(F.coalesce(F.try_divide(F.col(column) - F.col("a"), F.col("b") - F.col("a")), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
     count = held.groupBy(*keys, at.alias("bin"), "a", "b", "n").agg(F.count("*").alias("count"))
-    every = held.select(*keys, "a", "b", "n").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     full = every.join(count, [*keys, "bin", "a", "b", "n"], "left")
     width = (F.col("b") - F.col("a")) / bins
     density = F.try_divide(F.coalesce("count", F.lit(0)), F.col("n") * width)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from netscale.operators.corr import correlation
 from netscale.operators.series import densify
+from netscale.sources.shared import written
 
 #: Event types in the order of their numbers.
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -26,7 +27,7 @@ def nation_month_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return densify(nation_month_sparse(spark, sf_dir))
+    return written(densify(written(nation_month_sparse(spark, sf_dir), "nation_month_sparse")), "nation_month")
 
 
 def event_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +42,9 @@ def event_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.join(rows, ["series_id", "t"], "left").select("series_id", "t", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def emb_signal(spark: SparkSession, sf_dir: str, most: int | None = 40) -> DataFrame:
+def emb_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as series over their dimensions, with their label."""
     rows = table(spark, sf_dir, "embeddings")
-    rows = rows.where(F.col("vec_id") < most) if most else rows
     return rows.select("label", F.col("vec_id").cast("int").alias("series_id"), F.posexplode("embedding").alias("t", "v")).select("label", "series_id", "t", F.col("v").cast("double").alias("value"))
 
 
@@ -60,7 +60,7 @@ def user_week(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlation(nation_month(spark, sf_dir))
+    return written(correlation(nation_month(spark, sf_dir)), "nation_corr")
 
 
 def pair_pvals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ nation_month AS (SELECT s.series_id, g.t, coalesce(value, 0) AS value FROM (SELE
 EVENTS = """kinds AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INT) AS series_id FROM (SELECT DISTINCT event_type FROM events)),
 eh AS (SELECT series_id, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS INT) AS t, sum(value) AS value FROM events JOIN kinds USING (event_type) GROUP BY 1, 2),
 event_hour AS (SELECT k.series_id, CAST(h.t AS INT) AS t, coalesce(value, 0) AS value FROM kinds k CROSS JOIN range(720) h(t) LEFT JOIN eh ON eh.series_id = k.series_id AND eh.t = h.t)"""
-EMB = """emb AS (SELECT label, CAST(vec_id AS INT) AS series_id, CAST(p - 1 AS INT) AS t, CAST(embedding[p] AS DOUBLE) AS value FROM embeddings, range(1, 65) r(p) WHERE vec_id < 40)"""
+EMB = """emb AS (SELECT label, CAST(vec_id AS INT) AS series_id, CAST(p - 1 AS INT) AS t, CAST(embedding[p] AS DOUBLE) AS value FROM embeddings, range(1, 65) r(p))"""
 CORR = f"""{NATION},
 corr AS (SELECT a.series_id AS i, b.series_id AS j, round(corr(a.value, b.value), 12) AS r FROM nation_month a JOIN nation_month b ON a.t = b.t AND a.series_id < b.series_id GROUP BY 1, 2)"""
 USERS = """uc AS (SELECT user_id AS node, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 604800) AS INT) AS stage, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3),
