@@ -19,9 +19,12 @@ LINKAGE = "step int, a int, b int, height double, size int"
 
 def _square(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ids = np.unique(np.r_[frame["i"].to_numpy(), frame["j"].to_numpy()])
-    m = np.zeros((len(ids), len(ids)))
+    m = np.full((len(ids), len(ids)), np.nan)
     a, b = np.searchsorted(ids, frame["i"]), np.searchsorted(ids, frame["j"])
     m[a, b] = m[b, a] = frame["d"].to_numpy(float)
+    np.fill_diagonal(m, 0)
+    known = m[np.isfinite(m)].max(initial=0.0)
+    m[~np.isfinite(m)] = 10 * known if known > 0 else 1.0
     return ids, m
 
 
@@ -35,7 +38,10 @@ def _back(frame: pd.DataFrame) -> np.ndarray:
 
 
 def linkage(distance: DataFrame, keys: Sequence[str] = (), method: str = "average") -> DataFrame:
-    """(keys..., step, a, b, height, size): leaves by ascending node are 0 .. n - 1, later clusters n + step."""
+    """(keys..., step, a, b, height, size): leaves by ascending node are 0 .. n - 1, later clusters n + step.
+
+    A pair that is missing, null or infinite is ten times as far as the farthest known one (1.0 if none is over 0), so it merges last.
+    """
     return per_key(distance.select(*keys, "i", "j", "d"), keys, lambda f: _rows(kernels.linkage(_square(f)[1], method)), LINKAGE)
 
 
@@ -107,8 +113,13 @@ def optimal_threshold_std(heights: DataFrame, keys: Sequence[str] = ()) -> DataF
 
 
 def cut_grid(links: DataFrame, keys: Sequence[str] = (), cuts: int = 8) -> DataFrame:
-    """(keys..., cut, height): log-spaced from the smallest to the last but one height, exponents cut off towards 0."""
-    ends = links.groupBy(*keys).agg(F.log10(F.min("height")).cast("int").alias("lo"), F.log10(F.element_at(F.sort_array(F.collect_list("height")), -2)).cast("int").alias("hi"))
+    """(keys..., cut, height): log-spaced from the smallest to the last but one height, exponents cut off towards 0.
+
+    Null heights where there are fewer than two heights, or one that counts isn't positive."""
+    down = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("height")))
+    log = lambda c: F.when(c > 0, F.log10(c)).cast("int")
+    ends = links.where("height is not null").withColumn("down", down).groupBy(*keys)
+    ends = ends.agg(log(F.min("height")).alias("lo"), log(F.max(F.when(F.col("down") == 2, F.col("height")))).alias("hi"))
     each = ends.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
     return each.select(*keys, "cut", F.pow(F.lit(10.0), F.col("lo") + F.col("cut") * (F.col("hi") - F.col("lo")) / (cuts - 1)).alias("height"))
 

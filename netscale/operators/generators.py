@@ -142,8 +142,9 @@ def _attached(base_size: int, levels: int, intra_p: float, inter_edges: int, see
         for one, two in zip(groups[::2], groups[1::2], strict=True):
             both = one + two
             first = (int(rng.choice(one)), int(rng.choice(two)))
-            snapshot = degree[both]
             new = {(min(first), max(first))}
+            degree[list(first)] += 1
+            snapshot = degree[both]  # with the sure edge, before all others
             chance = snapshot / snapshot.sum() if snapshot.sum() else None
             tries = 0
             while len(new) < 1 + inter_edges and tries < 10 * inter_edges:
@@ -152,7 +153,7 @@ def _attached(base_size: int, levels: int, intra_p: float, inter_edges: int, see
                 edge = (min(a, b), max(a, b))
                 if a != b and edge not in pairs:
                     new.add(edge)
-            for a, b in new - pairs:
+            for a, b in new - {(min(first), max(first))}:
                 degree[[a, b]] += 1
             pairs |= new
             merged.append(both)
@@ -199,12 +200,12 @@ def _recursive(num_top: int, size: int, inter_p: float, intra_p: float, depth: i
     return _as_edges(pairs) if want == "edges" else pd.DataFrame({"node": sorted(name), "module": [name[n] for n in sorted(name)]})
 
 
-def recursive_modular(spark: SparkSession, num_top: int, nodes_per_module: int, inter_p: float, intra_p: float, depth: int = 2, splitting: int = 3, multiplier: float = 0.5, seed: int | None = 0, dedupe_trials: bool = True) -> tuple[DataFrame, DataFrame]:
+def recursive_modular(spark: SparkSession, num_top: int, nodes_per_module: int, inter_p: float, intra_p: float, depth: int = 2, splitting: int = 3, multiplier: float = 0.5, seed: int | None = 0, dedupe_trials: bool = False) -> tuple[DataFrame, DataFrame]:
     """Modules of shuffled nodes that are split again and again; a node's module is its path, like 0-2-1.
 
     Every module at every level draws its pairs with intra_p, and those of its base modules with inter_p * multiplier^(level - 1).
-    dedupe_trials: one such draw for a pair of nodes. Else as many as the product of the modules' sizes, and pairs within a base module
-    (loops too) are drawn again likewise.
+    Between two modules a pair of nodes is drawn as often as the product of their sizes says, and pairs within a base module (loops too) are
+    drawn again likewise. dedupe_trials: one such draw for a pair of nodes instead.
     """
     args = {"num_top": num_top, "size": nodes_per_module, "inter_p": inter_p, "intra_p": intra_p, "depth": depth, "splitting": splitting, "multiplier": multiplier, "seed": 0 if seed is None else seed, "once": dedupe_trials}
     return _frame(spark, _recursive, "node long, module string", want="nodes", **args), _frame(spark, _recursive, EDGES, want="edges", **args)

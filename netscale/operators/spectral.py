@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -47,14 +47,14 @@ def random_matrix_density(values: DataFrame, n_series: int, n_samples: int) -> D
     return values.withColumns({"density": marchenko_pastur(F.col("x"), ratio), "beyond": F.col("x") > F.pow(1 + F.sqrt(ratio), 2)})
 
 
-def densities(nodes: DataFrame, edges: DataFrame, taus: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys..., tau, i, j, rho), both triangles: exp(-tau L) over its trace, all taus from one Laplacian."""
+def densities(nodes: DataFrame, edges: DataFrame, taus: Sequence[float], keys: Sequence[str] = (), density: Callable[[float, np.ndarray], np.ndarray] = kernels.density) -> DataFrame:
+    """(keys..., tau, i, j, rho), both triangles: exp(-tau L) over its trace, or density(tau, L), all taus from one Laplacian."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         own, src, dst, weight = split(frame)
         m, parts = kernels.dense_laplacian(own, src, dst, weight), []
         for tau in taus:
-            parts.append(pd.DataFrame({"tau": float(tau), "i": np.repeat(own, len(own)), "j": np.tile(own, len(own)), "rho": kernels.density(tau, m).reshape(-1)}))
+            parts.append(pd.DataFrame({"tau": float(tau), "i": np.repeat(own, len(own)), "j": np.tile(own, len(own)), "rho": density(tau, m).reshape(-1)}))
         return pd.concat(parts)
 
     return per_key(with_nodes(nodes, edges, keys), keys, run, "tau double, i long, j long, rho double")
