@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from netscale.functions import columns
 from netscale.operators import cluster, corr, generators, graph, partitions, percolation, series, spectral, stats
-from netscale.plans import views
+from netscale.plans import views, workflow
 from netscale.plans.views import CORR, EMB, EVENTS, NATION, PVALS, USERS
+from netscale.sources import readers
+from netscale.sources.shared import put_text, shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,9 +66,9 @@ def series_zscore(spark, d):
     return series.zscore(views.nation_month(spark, d)).select("series_id", "t", r("value"))
 
 
-@query(f"{EVENTS} SELECT series_id, t, round(value, 4) + 0.0 AS value FROM event_hour WHERE series_id IN (SELECT series_id FROM event_hour WHERE t < 24 GROUP BY 1 HAVING sum(value) <> 0) AND t < 24")
+@query(f"{EVENTS} SELECT series_id, t, round(value, 4) + 0.0 AS value FROM event_hour WHERE series_id IN (SELECT series_id FROM event_hour GROUP BY 1 HAVING sum(value) <> 0)")
 def drop_zero_series(spark, d):
-    return series.drop_zero_series(series.window_of(views.event_hour(spark, d), 0, 24)).select("series_id", "t", r("value", 4))
+    return series.drop_zero_series(views.event_hour(spark, d)).select("series_id", "t", r("value", 4))
 
 
 @query(f"{EVENTS} SELECT t AS time, " + ", ".join(f"round(max(value) FILTER (series_id = {i}), 4) AS Signal{i}" for i in range(5)) + " FROM event_hour GROUP BY t")
@@ -88,6 +92,11 @@ def first_difference(spark, d):
     return series.difference(views.nation_month(spark, d), "value", "t", ["series_id"]).select("series_id", "t", r("diff", 4))
 
 
+@query(f"{NATION} SELECT series_id, t, round(value, 4) + 0.0 AS value FROM nation_month ORDER BY series_id, t LIMIT 5")
+def series_head(spark, d):
+    return series.head(views.nation_month(spark, d), 5, ["series_id", "t"]).select("series_id", "t", r("value", 4))
+
+
 DFT = f"""{EVENTS},
 dft AS (SELECT e.series_id, CAST(f.k AS INT) AS k, CASE WHEN 2 * f.k < 720 THEN f.k ELSE f.k - 720 END / 720.0::DOUBLE AS freq,
   sum(value * cos(2 * pi() * ((f.k * t) % 720) / 720)) AS re, -sum(value * sin(2 * pi() * ((f.k * t) % 720) / 720)) AS im
@@ -99,9 +108,9 @@ def dft(spark, d):
     return series.dft(views.event_hour(spark, d)).select("series_id", "k", r("freq", 9), r("re", 4), r("im", 4))
 
 
-@query(f"{DFT} SELECT series_id, k, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM dft WHERE series_id = 0")
+@query(f"{DFT} SELECT series_id, k, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM dft")
 def dft_by_sums(spark, d):
-    return series.dft_by_sums(views.event_hour(spark, d).where("series_id = 0")).select("series_id", "k", r("re", 4), r("im", 4))
+    return series.dft_by_sums(views.event_hour(spark, d)).select("series_id", "k", r("re", 4), r("im", 4))
 
 
 @query(f"{DFT} SELECT k, round(avg(sqrt(re * re + im * im)), 4) AS amplitude FROM dft WHERE freq >= 0 GROUP BY k")
@@ -145,17 +154,17 @@ def butterworth_band(spark, d):
 
 @query()
 def hilbert_frequency(spark, d):
-    return series.hilbert(_filtered(spark, d).where("band = 'day'").drop("band")).select("series_id", "t", r("phase"), r("frequency"), r("amplitude"))
+    return series.hilbert(_filtered(spark, d), keys=["band"]).select("band", "series_id", "t", r("phase"), r("frequency"), r("amplitude"))
 
 
 @query()
 def empirical_modes(spark, d):
-    return series.modes(series.window_of(views.event_hour(spark, d), 0, 240), 5).select("series_id", "mode", "t", r("value"))
+    return series.modes(views.event_hour(spark, d), 5).select("series_id", "mode", "t", r("value"))
 
 
 @query()
 def same_mode(spark, d):
-    return series.same_mode(series.modes(series.window_of(views.event_hour(spark, d), 0, 240), 5), 1).select("series_id", "t", r("value"))
+    return series.same_mode(series.modes(views.event_hour(spark, d), 5), 1).select("series_id", "t", r("value"))
 
 
 @query(f"""{NATION}, g AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - row_number() OVER (PARTITION BY series_id, value ORDER BY t) AS grp FROM nation_month),
@@ -257,6 +266,11 @@ def graph_components(spark, d):
     return graph.components(_ids(spark, d), _edges(spark, d))
 
 
+@query(f"{EDGES} SELECT node::BIGINT AS node, component::BIGINT AS component FROM comp")
+def graph_components_distributed(spark, d):
+    return graph.components_of_large(_ids(spark, d), _edges(spark, d))
+
+
 @query(f"{EDGES}, s AS (SELECT component::BIGINT AS component, count(*) AS n FROM comp GROUP BY 1) SELECT component, n, CAST(row_number() OVER (ORDER BY n DESC, component) AS INT) AS rank FROM s")
 def components_by_size(spark, d):
     return graph.largest_first(graph.components(_ids(spark, d), _edges(spark, d)))
@@ -286,8 +300,9 @@ def induced_subgraph(spark, d):
 second AS (SELECT a.i AS src, b.i AS dst, round(corr(a.r, b.r), 12) AS weight FROM p a JOIN p b ON a.j = b.j AND a.i < b.i GROUP BY 1, 2),
 edges AS (SELECT * FROM second WHERE weight >= 0.1::DOUBLE), {REACH} SELECT src, dst, round(weight, 6) AS weight FROM inner_edges""")
 def second_order_network(spark, d):
-    ids = _ids(spark, d).select(F.col("node").alias("series_id"))
-    return graph.second_order_network(views.nation_corr(spark, d), ids, threshold=0.1)[1].select("src", "dst", r("weight"))
+    nation = views.nation_month(spark, d)
+    first = written(corr.correlation(nation), "nation_corr")
+    return graph.second_order_network(first, nation.select("series_id").distinct(), threshold=0.1)[1].select("src", "dst", r("weight"))
 
 
 @query(f"{EDGES} SELECT a AS node, count(*) AS degree, round(sum(weight), 6) AS strength FROM (SELECT src AS a, weight FROM edges UNION ALL SELECT dst, weight FROM edges) GROUP BY a")
@@ -396,6 +411,33 @@ def laplacian_spectrum(spark, d):
     return spectral.laplacian_spectrum(own, edges).select("k", r("lambda"))
 
 
+DENSE_EDGES = EDGES.replace(f"r >= {THRESHOLD}::DOUBLE", f"r >= {DENSE}::DOUBLE")
+
+
+@query(f"""{DENSE_EDGES}, s AS (SELECT node, sum(weight) AS s FROM (SELECT src AS node, weight FROM inner_edges UNION ALL SELECT dst, weight FROM inner_edges) GROUP BY 1)
+SELECT (SELECT count(*) FROM giant) AS n, round((SELECT sum(s) FROM s), 5) AS first, round((SELECT sum(s * s) FROM s) + 2 * (SELECT sum(weight * weight) FROM inner_edges), 5) AS second""")
+def laplacian_moments(spark, d):
+    """Of the Laplacian's eigenvalues: their number, sum (its trace) and sum of squares."""
+    own, edges, _ = _network(spark, d, DENSE)
+    lam = spectral.laplacian_spectrum(own, edges)
+    return lam.agg(F.count("*").alias("n"), F.sum("lambda").alias("first"), F.sum(F.col("lambda") ** 2).alias("second")).select("n", r("first", 5), r("second", 5))
+
+
+@query(f"""{CORR}, p AS (SELECT i, j, r FROM corr UNION ALL SELECT j, i, r FROM corr UNION ALL SELECT DISTINCT series_id, series_id, 1.0::DOUBLE FROM nation_month)
+SELECT (SELECT count(*) FROM p WHERE i = j) AS n, (SELECT round(sum(r * r), 5) FROM p) AS second, (SELECT round(sum(a.r * b.r * c.r), 5) FROM p a JOIN p b ON a.j = b.i JOIN p c ON b.j = c.i AND c.j = a.i) AS third""")
+def corr_spectrum_moments(spark, d):
+    """Of the correlation matrix's eigenvalues: their number (and sum), and sums of squares and cubes."""
+    lam = spectral.matrix_spectrum(views.nation_corr(spark, d))
+    return lam.agg(F.round(F.sum("lambda"), 6).cast("long").alias("n"), F.sum(F.col("lambda") ** 2).alias("second"), F.sum(F.col("lambda") ** 3).alias("third")).select("n", r("second", 5), r("third", 5))
+
+
+@query("SELECT * FROM (VALUES (0.1::DOUBLE, 1.0::DOUBLE, 1::BIGINT), (1.0::DOUBLE, 1.0::DOUBLE, 1::BIGINT)) v(tau, trace, row_sums)")
+def rho_trace(spark, d):
+    """A diffusion density has trace 1, and all its rows have one sum, as those of a Laplacian are 0."""
+    rows = _rho(spark, d).groupBy("tau", "i").agg(F.sum("rho").alias("row"), F.sum(F.when(F.col("i") == F.col("j"), F.col("rho"))).alias("own"))
+    return rows.groupBy("tau").agg(F.round(F.sum("own"), 9).alias("trace"), F.countDistinct(F.round("row", 9)).alias("row_sums"))
+
+
 @query()
 def network_entropy(spark, d):
     own, edges, _ = _network(spark, d, DENSE)
@@ -498,40 +540,41 @@ def diffusion_switching(spark, d):
 
 
 def _heights(spark, d):
-    """The 200 largest order prices as heights; a top list, to have many distinct heights."""
-    top = views.table(spark, d, "orders").select("o_totalprice", "o_orderkey").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(200)
-    from pyspark.sql.window import Window
+    """The prices of each month's orders as heights, from low to high."""
+    month = ((F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate") - 1).cast("int").alias("month")
+    orders = views.table(spark, d, "orders").select(month, "o_totalprice", "o_orderkey")
+    step = F.row_number().over(Window.partitionBy("month").orderBy("o_totalprice", "o_orderkey")) - 1
+    return orders.select("month", step.cast("int").alias("step"), F.col("o_totalprice").alias("height"))
 
-    return top.select((F.row_number().over(Window.orderBy("o_totalprice", "o_orderkey")) - 1).cast("int").alias("step"), F.col("o_totalprice").alias("height"))
 
+MONTH = ["month"]
+HEIGHTS = "o AS (SELECT CAST((year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 AS INT) AS month, o_totalprice, o_orderkey FROM orders), h AS (SELECT month, CAST(row_number() OVER (PARTITION BY month ORDER BY o_totalprice, o_orderkey) - 1 AS INT) AS step, o_totalprice AS height FROM o)"
+GAPS = f"{HEIGHTS}, g AS (SELECT month, CAST(row_number() OVER (PARTITION BY month ORDER BY step DESC) - 1 AS INT) AS idx, height, lead(height) OVER (PARTITION BY month ORDER BY step DESC) AS lower, max(height) OVER (PARTITION BY month) AS top, min(height) OVER (PARTITION BY month) AS low FROM h), s AS (SELECT month, idx, height AS upper, lower, (log10(height) - log10(lower)) / nullif(log10(top) - log10(low), 0) AS stability FROM g WHERE lower IS NOT NULL)"
 
-HEIGHTS = "top AS (SELECT o_totalprice, o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200), h AS (SELECT CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS INT) AS step, o_totalprice AS height FROM top)"
-GAPS = f"{HEIGHTS}, g AS (SELECT CAST(row_number() OVER (ORDER BY step DESC) - 1 AS INT) AS idx, height, lead(height) OVER (ORDER BY step DESC) AS lower, max(height) OVER () AS top, min(height) OVER () AS low FROM h), s AS (SELECT idx, height AS upper, lower, (log10(height) - log10(lower)) / (log10(top) - log10(low)) AS stability FROM g WHERE lower IS NOT NULL)"
 
-
-@query(f"{GAPS} SELECT idx, upper, lower, round(stability, 9) AS stability FROM s")
+@query(f"{GAPS} SELECT month, idx, upper, lower, round(stability, 9) AS stability FROM s")
 def gap_stability(spark, d):
-    return cluster.gap_stability(_heights(spark, d)).select("idx", "upper", "lower", r("stability", 9))
+    return cluster.gap_stability(_heights(spark, d), MONTH).select("month", "idx", "upper", "lower", r("stability", 9))
 
 
-@query(f"{GAPS} SELECT idx, lower AS threshold, round(lower * 0.9::DOUBLE, 6) AS flat_threshold, round(stability, 9) AS stability FROM s ORDER BY s.stability DESC, idx LIMIT 1")
+@query(f"{GAPS} SELECT month, idx, lower AS threshold, round(lower * 0.9::DOUBLE, 6) AS flat_threshold, round(stability, 9) AS stability FROM s WHERE stability IS NOT NULL QUALIFY row_number() OVER (PARTITION BY month ORDER BY s.stability DESC, idx) = 1")
 def optimal_threshold(spark, d):
-    return cluster.optimal_threshold(_heights(spark, d), scaling=0.9).select("idx", "threshold", r("flat_threshold"), r("stability", 9))
+    return cluster.optimal_threshold(_heights(spark, d), MONTH, scaling=0.9).select("month", "idx", "threshold", r("flat_threshold"), r("stability", 9))
 
 
-@query(f"{HEIGHTS} SELECT round((height + nxt) / 2, 6) AS threshold FROM (SELECT height, lead(height) OVER (ORDER BY height) AS nxt FROM h) WHERE nxt IS NOT NULL ORDER BY nxt - height DESC, height LIMIT 1")
+@query(f"{HEIGHTS} SELECT month, round((height + nxt) / 2, 6) AS threshold FROM (SELECT month, height, lead(height) OVER (PARTITION BY month ORDER BY height) AS nxt FROM h) WHERE nxt IS NOT NULL QUALIFY row_number() OVER (PARTITION BY month ORDER BY nxt - height DESC, height) = 1")
 def optimal_threshold_std(spark, d):
-    return cluster.optimal_threshold_std(_heights(spark, d)).select(r("threshold"))
+    return cluster.optimal_threshold_std(_heights(spark, d), MONTH).select("month", r("threshold"))
 
 
-@query(f"{HEIGHTS}, s AS (SELECT step, height / 1000000 AS height FROM h), e AS (SELECT CAST(trunc(log10(min(height))) AS INT) AS lo, CAST(trunc(log10(list_sort(list(height))[-2])) AS INT) AS hi FROM s) SELECT CAST(k AS INT) AS cut, round(power(10.0::DOUBLE, lo + k * (hi - lo) / 7.0::DOUBLE), 9) AS height FROM e, range(8) g(k)")
+@query(f"{HEIGHTS}, s AS (SELECT month, height / 1000000 AS height FROM h), e AS (SELECT month, CAST(trunc(log10(min(height))) AS INT) AS lo, CAST(trunc(log10(list_sort(list(height))[-2])) AS INT) AS hi FROM s GROUP BY month) SELECT month, CAST(k AS INT) AS cut, round(power(10.0::DOUBLE, lo + k * (hi - lo) / 7.0::DOUBLE), 9) AS height FROM e, range(8) g(k)")
 def cut_grid(spark, d):
-    return cluster.cut_grid(_heights(spark, d).withColumn("height", F.col("height") / 1000000)).select("cut", r("height", 9))
+    return cluster.cut_grid(_heights(spark, d).withColumn("height", F.col("height") / 1000000), MONTH).select("month", "cut", r("height", 9))
 
 
-@query(f"{HEIGHTS} SELECT 0.5::DOUBLE * (SELECT height FROM h WHERE step = 0) AS tmin")
+@query(f"{HEIGHTS} SELECT month, 0.5::DOUBLE * height AS tmin FROM h WHERE step = 0")
 def axis_lower_bound(spark, d):
-    return cluster.lower_bound(_heights(spark, d))
+    return cluster.lower_bound(_heights(spark, d), MONTH)
 
 
 # --- partition dynamics --------------------------------------------------------------------------------------------------------
@@ -693,6 +736,85 @@ def greeting(spark, d):
     return views.table(spark, d, "nation").select("n_name", columns.greeting(F.col("n_name")).alias("greeting"))
 
 
+# --- sources and the batch workflow -----------------------------------------------------------------------------------------------
+
+#: The recording that is left out, and the first band's workflow.
+ABSENT, WORKFLOW = ("sub-1", "BOLD_RS"), "comparison"
+
+
+def _folder(spark, d):
+    """Recordings of two subjects as text matrices (hours by event types), a file for each contrast but the absent one."""
+    path = f"{shared_dir(spark)}/recordings-{uuid.uuid4().hex}"
+    wide = series.pivot_wide(views.event_hour(spark, d), range(5)).orderBy("time")
+    cells = [[F.round(F.col(f"Signal{i}"), 4) for i in range(5)], [F.round(F.col(f"Signal{i}") * F.col(f"Signal{i}") / 100, 4) for i in range(5)]]
+    for subject, own in enumerate(cells):
+        lines = ["\t" + "\t".join(map(repr, row)) for row in wide.select(*own).collect()]  # 720 hours of 5 types, whatever the input is
+        for contrast, suffix, _ in readers.CONTRASTS:
+            if (f"sub-{subject}", contrast) != ABSENT:
+                put_text(spark, f"{path}/sub-{subject}/x_{suffix}", "\n".join(lines) + "\n")
+    return path
+
+
+def _recordings(spark, d):
+    return readers.subjects(readers.text_matrix(spark, f"{_folder(spark, d)}/sub-*/*.1D"), readers.contrasts(spark))
+
+
+RECORDED = f"""{EVENTS}, contr(contrast, fs) AS (VALUES {", ".join(f"('{c}', {fs!r}::DOUBLE)" for c, _, fs in readers.CONTRASTS)}),
+rec AS (SELECT 'sub-0' AS subject, series_id, t, round(value, 4) AS value FROM event_hour UNION ALL SELECT 'sub-1', series_id, t, round(value * value / 100, 4) FROM event_hour),
+have AS (SELECT subject, contrast, fs FROM (VALUES ('sub-0'), ('sub-1')) v(subject), contr WHERE NOT (subject = '{ABSENT[0]}' AND contrast = '{ABSENT[1]}'))"""
+HZ = "hz(band, lo, hi) AS (VALUES " + ", ".join(f"('{b}', {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for w, b, lo, hi in readers.BANDS if w == WORKFLOW) + ")"
+BATCH = f"""{RECORDED}, {HZ},
+dft AS (SELECT subject, series_id, CAST(f.k AS INT) AS k, CASE WHEN 2 * f.k < 720 THEN f.k ELSE f.k - 720 END / 720.0::DOUBLE AS freq,
+  sum(value * cos(2 * pi() * ((f.k * t) % 720) / 720)) AS re, -sum(value * sin(2 * pi() * ((f.k * t) % 720) / 720)) AS im FROM rec CROSS JOIN range(720) f(k) GROUP BY 1, 2, 3, 4),
+filt AS (SELECT subject, contrast, band, series_id, CAST(h.t AS INT) AS t, sum(re * cos(2 * pi() * ((k * h.t) % 720) / 720) - im * sin(2 * pi() * ((k * h.t) % 720) / 720)) / 720 AS value
+  FROM dft JOIN have USING (subject) JOIN hz ON abs(freq * fs) BETWEEN lo AND hi CROSS JOIN range(720) h(t) GROUP BY 1, 2, 3, 4, 5),
+each AS (SELECT a.subject, a.contrast, a.band, a.series_id AS i, b.series_id AS j, corr(a.value, b.value) AS r FROM filt a JOIN filt b ON a.subject = b.subject AND a.contrast = b.contrast AND a.band = b.band AND a.t = b.t AND a.series_id < b.series_id GROUP BY 1, 2, 3, 4, 5)"""
+
+
+@query(f"{RECORDED} SELECT subject, contrast, round(fs, 9) AS fs_hz, series_id, t, value FROM rec JOIN have USING (subject)")
+def source_recordings(spark, d):
+    return _recordings(spark, d).select("subject", "contrast", r("fs_hz", 9), "series_id", "t", "value")
+
+
+@query(f"SELECT '{ABSENT[0]}' AS subject, '{ABSENT[1]}' AS contrast")
+def source_missing(spark, d):
+    return readers.missing(_recordings(spark, d), readers.contrasts(spark))
+
+
+@query("SELECT 'Nations' AS atlas, n_nationkey AS idx, n_nationkey + 1 AS x, n_regionkey AS y, 2 * n_nationkey AS z, n_name AS label FROM nation")
+def source_atlas(spark, d):
+    path = f"{shared_dir(spark)}/atlas-{uuid.uuid4().hex}/Nations.xml"
+    rows = views.table(spark, d, "nation").collect()  # 25 rows
+    labels = "\n".join(f'<label index="{x.n_nationkey}" x="{x.n_nationkey + 1}" y="{x.n_regionkey}" z="{2 * x.n_nationkey}">{x.n_name}</label>' for x in rows)
+    put_text(spark, path, f"<atlas><data>\n{labels}\n</data></atlas>")
+    return readers.atlas(spark, path)
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey < 20 THEN 1000 + s_nationkey ELSE s_nationkey END AS region FROM supplier")
+def source_recode(spark, d):
+    path = f"{shared_dir(spark)}/codes-{uuid.uuid4().hex}"
+    put_text(spark, path, "\n".join(str(1000 + k) for k in range(20)) + "\n")
+    voxels = views.table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("region"))
+    return readers.recode(voxels, readers.codes(spark, path))
+
+
+@query(f"{RECORDED} SELECT subject, contrast FROM have WHERE subject = 'sub-1'")
+def store_resume(spark, d):
+    """What is left to do once the first subject is stored."""
+    found, store = written(_recordings(spark, d), "recordings"), f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    readers.save(found.where("subject = 'sub-0'"), store, workflow.KEYS)
+    return readers.not_done(found.select(*workflow.KEYS).distinct(), store, workflow.KEYS)
+
+
+@query(f"{BATCH} SELECT contrast, band, i, j, round(avg(CASE WHEN r < 0 THEN 0 ELSE r END), 5) + 0.0 AS r FROM each GROUP BY 1, 2, 3, 4")
+def batch_connectivity(spark, d):
+    """All recordings, the second subject in a second call that resumes."""
+    found, store = written(_recordings(spark, d), "recordings"), f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    args = readers.contrasts(spark), readers.bands(spark, WORKFLOW), store
+    workflow.connectivity(found.where("subject = 'sub-0'"), *args)
+    return workflow.group_mean(workflow.connectivity(found, *args)).select("contrast", "band", "i", "j", r("r", 5))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The correlation network of nations' monthly orders."""
     return corr_network(spark, sf_dir)

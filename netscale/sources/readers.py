@@ -84,3 +84,8 @@ def not_done(wanted: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
     if not p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
         return wanted
     return wanted.join(spark.read.parquet(path).select(*keys).distinct(), list(keys), "left_anti")
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A stored graph or matrix: a table that save() wrote. Pickles aren't read, as they may run code."""
+    return spark.read.parquet(path)
