@@ -176,3 +176,72 @@ def test_readers(spark, tmp_path):
     (tmp_path / "codes").write_text("2\n3\n")
     voxels = spark.createDataFrame([(0, 1), (1, 9)], "x int, region int")
     assert [r.region for r in readers.recode(voxels, readers.codes(spark, f"{tmp_path}/codes")).orderBy("x").collect()] == [3, 9]
+
+
+def test_linkage_by_definition(spark):
+    """Merges by brute force over all members, for average, complete and single; missing and null pairs come last."""
+    import random
+
+    import numpy as np
+
+    from netscale.operators import cluster
+
+    rng = random.Random(3)
+    n, d = 9, {}
+    for i in range(n):
+        for j in range(i + 1, n):
+            d[i, j] = rng.uniform(1, 5)
+    rows = spark.createDataFrame([(i, j, x) for (i, j), x in d.items()], "i int, j int, d double")
+    for method, of in (("average", np.mean), ("complete", max), ("single", min)):
+        groups, want = [{i} for i in range(n)], []
+        while len(groups) > 1:
+            best = min((float(of([d[min(x, y), max(x, y)] for x in a for y in b])), k, m) for k, a in enumerate(groups) for m, b in enumerate(groups) if k < m)
+            want.append(best[0])
+            groups = [g for k, g in enumerate(groups) if k not in best[1:]] + [groups[best[1]] | groups[best[2]]]
+        assert [x.height for x in cluster.linkage(rows, method=method).orderBy("step").collect()] == pytest.approx(want)
+    part = spark.createDataFrame([(0, 1, 1.0), (2, 3, 2.0), (0, 2, None)], "i int, j int, d double")
+    assert [x.height for x in cluster.linkage(part, method="single").orderBy("step").collect()] == [1.0, 2.0, 20.0]
+
+
+def test_one_odd_key_spoils_no_other(spark):
+    from netscale.operators import cluster, percolation, series
+
+    rows = spark.createDataFrame([("a", 0, t, float(t % 7)) for t in range(60)] + [("b", 0, t, 1.0) for t in range(5)], "k string, series_id int, t int, value double")
+    out = series.butterworth(rows, 0.1, 0.2, keys=["k"]).groupBy("k").agg({"value": "count"}).collect()
+    assert dict(map(tuple, out)) == {"a": 60, "b": 0}
+    nodes = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("b", 1)], "k string, node long")
+    edges = spark.createDataFrame([("a", 0, 1, 0.5), ("b", 0, 1, -0.5)], "k string, src long, dst long, weight double")
+    curve = percolation.percolation_curve(nodes, edges, ["k"], 4).collect()
+    assert all((x.th is None) == (x.k == "b") for x in curve) and len(curve) == 8
+    heights = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 10.0), ("a", 2, 100.0), ("b", 0, 5.0), ("c", 0, 0.0), ("c", 1, 1.0)], "k string, step int, height double")
+    grid = {k: [x.height for x in cluster.cut_grid(heights, ["k"], 2).where(f"k = '{k}'").orderBy("cut").collect()] for k in "abc"}
+    assert grid == {"a": [1.0, 10.0], "b": [None, None], "c": [None, None]}
+
+
+def test_ranks_without_keys_are_those_with_one(spark):
+    rows = [(i, j, ((i * 7 + j * 13) % 17) / 100) for i in range(30) for j in range(i + 1, 30)]
+    one = spark.createDataFrame(rows, "i int, j int, p double")
+    other = stats.fdr(one.withColumn("k", F.lit(1)), 0.05, ["k"]).drop("k")
+    assert sorted(map(tuple, stats.fdr(one, 0.05).collect())) == sorted(map(tuple, other.collect()))
+
+
+def test_components_of_a_large_graph(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(60) if i % 13 != 12] + [(5, 5), (0, 1)], "src int, dst int").withColumn("weight", F.lit(1.0))
+    nodes = spark.createDataFrame([(i,) for i in range(70)], "node int")
+    assert sorted(map(tuple, graph.components_of_large(nodes, edges).collect())) == sorted(map(tuple, graph.components(nodes, edges).collect()))
+    assert graph.components_of_large(nodes, edges.limit(0)).where("node != component").count() == 0
+
+
+def test_attachment_prefers_the_sure_edge(spark):
+    """Without edges inside modules, the first sure edge has all the degree, so all further targets are its ends."""
+    for seed in range(6):
+        nodes, edges = generators.preferential_modular(spark, 8, 1, 0.0, 3, seed=seed)
+        rows = [(x.src, x.dst) for x in edges.collect()]
+        ends = [v for v in range(16) if sum(v in x for x in rows) == len(rows)] or sorted({v for x in rows for v in x}, key=lambda v: -sum(v in x for x in rows))[:2]
+        assert all(set(x) & set(ends) for x in rows)
+
+
+def test_distance_of_another_density(spark):
+    nodes, edges = spark.createDataFrame([(0,), (1,), (2,)], "node int"), spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "src int, dst int, weight double")
+    own = spectral.densities(nodes, edges, [2.0], density=lambda tau, m: np.abs(m) / tau)
+    assert {(r.i, r.j): r.d for r in spectral.diffusion_distance(own).collect()} == {(0, 1): 2.0, (1, 2): 2.0, (0, 2): None}
