@@ -98,12 +98,12 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def blocks(batch: pa.RecordBatch, name: str):
-    """Slices of a batch that hold about BLOCK bytes of text each."""
+def blocks(batch: pa.RecordBatch, name: str, size: int = BLOCK):
+    """Slices of a batch that hold about `size` bytes of text each."""
     _, at = utf8(batch.column(batch.schema.get_field_index(name)))
     i = 0
     while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
 

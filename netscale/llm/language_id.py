@@ -20,12 +20,13 @@ from pyspark.sql.window import Window
 
 from netscale.llm.common import blocks, extended, text_of
 
-#: Probability of a character that isn't a piece; words whose likelihoods a worker remembers, and characters that are scored together.
-UNKNOWN, CACHED, TOGETHER = 1e-7, 200_000, 500_000
+#: Probability of a character that isn't a piece; words whose likelihoods a worker remembers, characters that are scored together, and bytes of
+#: texts that are split at a time.
+UNKNOWN, CACHED, TOGETHER, TEXTS = 1e-7, 100_000, 100_000, 500_000
 #: Positions after which forward sums are brought back to 1, and log2 of the slots of the piece table.
 SCALED, SLOTS = 16, 20
 #: A score tells of a stretch of so many characters; a text is atypical of its language this many deviations below the mean likelihood.
-STRETCH, ATYPICAL = 20, 6.0
+STRETCH, ATYPICAL = 20, 12.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -308,7 +309,7 @@ def identify(docs: DataFrame, vocabulary: str, model: Model, text: str = "text")
         model = held.value
         scorer = Scorer(vocabulary, model.p)
         for batch in batches:
-            for block in blocks(batch, text):
+            for block in blocks(batch, text, TEXTS):
                 texts = [t or "" for t in block.column(text).to_pylist()]
                 said, sure = ["und"] * len(texts), np.zeros(len(texts))
                 some = [i for i, t in enumerate(texts) if model.languages and any(map(str.isalpha, t))]
