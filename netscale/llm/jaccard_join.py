@@ -349,9 +349,9 @@ class Verifier:
         return written(close.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long, similar boolean"), "links")
 
 
-def likely_pairs(key: np.ndarray, size: np.ndarray, own: np.ndarray, sketches: list[bytes], asks: np.ndarray, answers: np.ndarray, apart: list, tries: int) -> tuple[list[tuple[int, int]], bool]:
-    """Of each component (own) that asks, the `tries` pairs of the most alike sketches with members of others that answer and may be similar;
-    and whether there are more."""
+def likely_pairs(key: np.ndarray, size: np.ndarray, own: np.ndarray, sketches: list[bytes], asks: np.ndarray, answers: np.ndarray, apart: list, tries: int) -> tuple[np.ndarray, bool]:
+    """Of each component (own) that asks, the `tries` pairs of the most alike sketches with members of others that answer and may be similar,
+    as rows (smaller key, larger key); and whether there are more."""
     bits = [np.frombuffer(s, np.uint8) for s in sketches]
     width = np.array([len(b) for b in bits])
     stacked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -362,47 +362,62 @@ def likely_pairs(key: np.ndarray, size: np.ndarray, own: np.ndarray, sketches: l
             stacked[w] = members, np.stack([folded(bits[j], w) for j in members]) if len(members) else np.zeros((0, w), np.uint8)
         return stacked[w]
 
-    best: dict[int, list[tuple[int, int, int]]] = {}
-    count: dict[int, int] = {}
-    for i in np.flatnonzero(asks).tolist():
+    def asked(i: int) -> tuple[np.ndarray, int]:
+        """Rows (less its slack, other key, own key) of member i, at most `tries`, the most alike first; and how many there are in all."""
+        found = [np.zeros((0, 2), np.int64)]
         for w in (int(width[i]), int(width[i]) // 2):  # sizes of similar sets differ by a third, their widths by half at most
-            members, folds = of_width(w) if w >= 8 else (np.zeros(0, np.int64), None)
+            if w < 8:
+                continue
+            members, folds = of_width(w)
             fits = (own[members] != own[i]) & (3 * np.maximum(size[i], size[members]) <= 4 * np.minimum(size[i], size[members]))
             if w < width[i]:
                 fits &= width[members] == w
             fits = np.flatnonzero(fits)
-            if not len(fits):
-                continue
             slack = size[i] + size[members[fits]] - 7 * np.bitwise_count(folds[fits] ^ folded(bits[i], w)).sum(axis=1, dtype=np.int64)
             keep = slack >= 0
             slack, other = slack[keep], key[members[fits[keep]]]
             if apart[i]:
                 keep = ~np.isin(other, apart[i])
                 slack, other = slack[keep], other[keep]
-            first = np.lexsort((other, -slack))[:tries]
-            count[int(own[i])] = count.get(int(own[i]), 0) + len(other)
-            best.setdefault(int(own[i]), []).extend(zip((-slack[first]).tolist(), other[first].tolist(), [int(key[i])] * len(first), strict=True))
-    return [(min(x, y), max(x, y)) for found in best.values() for _, x, y in sorted(found)[:tries]], max(count.values(), default=0) > tries
+            found.append(np.stack([-slack, other], axis=1))
+        rows = np.concatenate(found)
+        return np.c_[rows[np.lexsort((rows[:, 1], rows[:, 0]))[:tries]], np.full(min(len(rows), tries), key[i])], len(rows)
+
+    pairs, cut = [np.zeros((0, 2), np.int64)], False
+    ask = np.flatnonzero(asks)
+    ask = ask[np.argsort(own[ask], kind="stable")]
+    for members in np.split(ask, np.flatnonzero(np.diff(own[ask])) + 1) if len(ask) else []:
+        best, count = np.zeros((0, 3), np.int64), 0
+        for i in members.tolist():
+            rows, n = asked(i)
+            best, count = np.concatenate([best, rows]), count + n
+            if len(best) > 2 * tries or i == members[-1]:
+                best = best[np.lexsort((best[:, 2], best[:, 1], best[:, 0]))[:tries]]
+        pairs.append(np.sort(best[:, 1:], axis=1))
+        cut |= count > tries
+    return np.concatenate(pairs), cut
 
 
 def _searched(tries: int):
     """(group, a, b, cut): pairs to verify, and whether their group has more of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bool]] = []
+        held: list[tuple] = []
+        count = 0
 
         def made() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], ["group", "a", "b", "cut"])
+            columns = [np.concatenate([h[c] for h in held]) for c in range(4)]
+            return pa.record_batch([pa.array(c) for c in columns], ["group", "a", "b", "cut"])
 
         for rows in runs(batches, ["group", "asking", "answering"]):
             key, size, own, asks, answers = (rows.column(c).to_numpy() for c in ("key", "size", "component", "asks", "answers"))
             pairs, cut = likely_pairs(key, size.astype(np.int64), own, rows.column("small").to_pylist(), asks, answers, rows.column("apart").to_pylist(), tries)
-            group = rows.column("group")[0].as_py()
-            held += [(group, a, b, cut) for a, b in pairs]
-            if len(held) > 100_000:
+            if len(pairs):
+                held.append((np.full(len(pairs), rows.column("group")[0].as_py()), pairs[:, 0], pairs[:, 1], np.full(len(pairs), cut)))
+                count += len(pairs)
+            if count > 100_000:
                 yield made()
-                held = []
+                held, count = [], 0
         if held:
             yield made()
 
