@@ -38,17 +38,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     # texts are joined, not ids, which may be null or repeated
     docs = _by_text(docs)
     groups = jaccard_components(docs.select(F.col("__key").alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group")).distinct()
-    at = F.struct(id_of().alias("id"), F.col("__key").alias("key"))
-    rows = docs.select("__key", at.alias("at")).join(groups, "__key")
-    best = written(rows.groupBy("__group").agg(F.min("at").alias("at")).select("at.*"), "best")
-    wordless = docs.join(groups, "__key", "left_anti")
-    kept = docs.join(best, (id_of() == best["id"]) & (docs["__key"] == best["key"]), "left_semi")
-    # rows that repeat are few, and only these are compared as a whole
-    repeated = kept.select(id_of().alias("id"), "__key").groupBy("id", "__key").agg(F.count("*").alias("n")).where("n > 1").select("id", F.col("__key").alias("key"))
-    repeated = written(repeated, "repeated")
-    twice = (id_of() == repeated["id"]) & (kept["__key"] == repeated["key"])
-    once = kept.join(repeated, twice, "left_semi").dropDuplicates(["doc_id", "__key"])
-    return kept.join(repeated, twice, "left_anti").unionByName(once).unionByName(wordless).drop("__key")
+    rows = docs.select(id_of().alias("id"), "__key").join(groups, "__key", "left")
+    best = rows.where("__group is not null").groupBy("__group").agg(F.min(F.struct("id", "__key")).alias("at")).select("at.*", F.lit(True).alias("words"))
+    wordless = rows.where("__group is null").select("id", "__key").distinct().withColumn("words", F.lit(False))
+    winners = written(best.unionByName(wordless), "winners")  # no texts
+    kept = docs.join(winners, (id_of() == winners["id"]) & (docs["__key"] == winners["__key"]), "left_semi")
+    # of rows that repeat, which are few if any, one stays
+    counts = rows.join(winners.where("words"), ["id", "__key"], "left_semi").groupBy("id", "__key").count()
+    repeated = written(counts.where("count > 1").select(F.col("id").alias("__id"), F.col("__key").alias("__same")), "repeated")
+    if not repeated.isEmpty():
+        twice = (id_of() == repeated["__id"]) & (kept["__key"] == repeated["__same"])
+        kept = kept.join(repeated, twice, "left_anti").unionByName(kept.join(repeated, twice, "left_semi").dropDuplicates(["doc_id", "__key"]))
+    return kept.drop("__key")
 
 
 def recurring_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
