@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netscale.llm import host_reputation, language_id, license_scan, syncmers
+from netscale.llm import host_reputation, language_id, license_scan, syncmers, warc
 from netscale.llm.chat_format import chat_examples, digests
 from netscale.llm.common import shared_dir, table
 from netscale.llm.decontamination import contaminated
+from netscale.llm.divergence import divergence
+from netscale.llm.fill_in_middle import fill_in_middle, restore
 from netscale.llm.jaccard_join import jaccard_components
 from netscale.llm.packing import harmonic_pack
 from netscale.llm.substring_dedup import substring_dedup
@@ -86,7 +88,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), cache).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_substring_dedup, op4_syncmer_fingerprints, op5_license_scan, op6_chat_format, op7_jaccard_join, op8_language_id, op9_decontamination, op10_token_counts)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the vocabularies of the sources of each language diverge."""
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages say of each, read back and assembled into captures."""
+    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.pages_of(warc.captures(warc.read_archives(spark, path)))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in its middle, and its text rebuilt from that."""
+    made = restore(fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filter, op3_substring_dedup, op4_syncmer_fingerprints, op5_license_scan, op6_chat_format, op7_jaccard_join, op8_language_id, op9_decontamination, op10_token_counts, op11_divergence, op12_warc, op13_fill_in_middle)}
+
 
 def _rule_sql(part: str) -> str:
     """CASE over the rules, longest first: the rule or its verdict."""
@@ -156,7 +178,43 @@ ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
 SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reach.b) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id"""
 
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, {_UPPER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS nl FROM w GROUP BY 1, 2 HAVING count(DISTINCT rid) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY 1, 2, 3),
+x AS (SELECT g.lang, g.source, k.term, nl, coalesce(n, 0)::HUGEINT AS n, count(*) OVER s AS v, sum(coalesce(n, 0)) OVER s AS total, sum(nl) OVER s AS total_lang
+  FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term WINDOW s AS (PARTITION BY g.lang, g.source)),
+p AS (SELECT lang, source, term, n, (1 + (1000000000 * (n + 5)) // (total + 5 * v))::BIGINT AS p, (1 + (1000000000 * (nl::HUGEINT + 5)) // (total_lang + 5 * v))::BIGINT AS q FROM x),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum(abs(y.p - z.p)) FROM p y JOIN p z ON y.lang = z.lang AND y.term = z.term WHERE y.lang = a.lang AND y.source = a.source AND z.source = b.source), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+both_parts AS (SELECT * FROM pair UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM both_parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS holder FROM s),
+r AS (SELECT *, payload_bytes >= 1000 AND page_id IS DISTINCT FROM holder AS again FROM m)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN holder END AS refers_to FROM r"""
+
+_H = [f"('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT AS h{k + 1}" for k in range(4)]
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+t AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, {", ".join(_H)} FROM d),
+c AS (SELECT *, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM t),
+p AS (SELECT doc_id, text, n, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
 SQL = {
+    "op11_divergence": OP11_SQL,
+    "op12_warc": OP12_SQL,
+    "op13_fill_in_middle": OP13_SQL,
     "op2_url_filter": OP2_SQL,
     "op5_license_scan": OP5_SQL,
     "op7_jaccard_join": OP7_SQL,
