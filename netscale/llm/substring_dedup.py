@@ -85,7 +85,7 @@ def _places(window: int, gram: int):
 
 def _segments(window: int, gram: int):
     names = ["shard", "seg", "id", "th", "start", "text"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,19 +278,19 @@ def _cover(text_column: str, names: list[str]):
 
 
 def covered_spans(docs: DataFrame, window: int = 13, gram: int = 5, text: str = "text", doc_id: str = "doc_id", hot_docs: int = HOT_DOCS) -> DataFrame:
-    """(id, th, spans) of documents that hold windows which some document with a smaller id has too: th, a hash of the text; spans
+    """(id, th, spans) of documents that hold windows which some document with a smaller id has too: th, a 64-bit hash of the text; spans
     (start, end) of such windows, in words.
 
     A null id is the largest long and a null text is empty; rows of the same id and text, in any number, give one row. Other columns aren't
     read. An empty table gives no rows.
     """
-    plain = docs.select(id_of(doc_id).alias("id"), text_of(text).alias("text")).withColumn("th", F.hash("text"))
+    plain = docs.select(id_of(doc_id).alias("id"), text_of(text).alias("text")).withColumn("th", F.xxhash64("text"))
     recurring = plain.select("text").mapInArrow(_count(window, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     recurring = written(recurring, "anchors")  # so that Spark can split a frequent anchor's rows in the join
-    places = plain.mapInArrow(_places(window, gram), "h long, id long, th int, at int").join(recurring, "h")
+    places = plain.mapInArrow(_places(window, gram), "h long, id long, th long, at int").join(recurring, "h")
     places = places.select("id", "th", F.expr(f"if(n > {int(hot_docs)}, -at - 1, at)").alias("at")).groupBy("id", "th").agg(F.collect_set("at").alias("at"))
     held = plain.join(places, ["id", "th"])
-    held = written(held.mapInArrow(_segments(window, gram), "shard long, seg long, id long, th int, start int, text string"), "segments")
+    held = written(held.mapInArrow(_segments(window, gram), "shard long, seg long, id long, th long, start int, text string"), "segments")
     shards = held.select("shard", "seg", "text", "id").mapInArrow(_merge, "shard long, seg long, text string, least long, most long")
     shards = shards.repartition("shard").sortWithinPartitions("shard", "seg")
     found = shards.mapInArrow(_automata(window), "shard long, seg long, offs array<int>, ends array<int>, lows array<long>")
@@ -310,7 +310,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, text: str
     """
     spans = covered_spans(docs, window, gram, text, doc_id, hot_docs)
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    rows = docs.select(*names).withColumns({"__text": text_of(text), "__id": id_of(doc_id)}).withColumn("__th", F.hash("__text"))
+    rows = docs.select(*names).withColumns({"__text": text_of(text), "__id": id_of(doc_id)}).withColumn("__th", F.xxhash64("__text"))
     joined = rows.join(spans.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), ["__id", "__th"], "left")
     joined = joined.withColumn("__spans", F.coalesce("__spans", F.expr("cast(array() as array<struct<start: int, end: int>>)"))).withColumn("__null", F.isnull(text))
     plain = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema.fields if f.name in names])

@@ -434,12 +434,12 @@ def test_a_full_filter_gives_the_same(spark, monkeypatch):
 
 
 def slot_kinds(text):
-    """(kind, word) of the ASCII template words of a text: runs of one type are one."""
-    out = []
-    for m in re.finditer(r"[A-Za-z]+|[0-9]+", text):
+    """(kind, word, words) of the ASCII template words of a text without operators: a name of several words is one, and so is a number with decimals."""
+    out, last = [], 0
+    for m in re.finditer(r"[A-Za-z]+|[0-9]+(?:[.,][0-9]+)*", text):
         w = m.group()
         before = text[: m.start()].rstrip(" \t")
-        if w.isdigit():
+        if w[0].isdigit():
             kind = decontamination.NUMBER
         elif out and out[-1][0] == decontamination.NUMBER and w.lower() in decontamination.UNITS:
             kind = decontamination.UNIT
@@ -447,10 +447,11 @@ def slot_kinds(text):
             kind = decontamination.NAME
         else:
             kind = 0
-        if kind and out and out[-1][0] == kind:
+        if kind == decontamination.NAME and out and out[-1][0] == kind and not text[last : m.start()].strip(" \t"):
             out[-1] = (kind, out[-1][1] + " " + w.lower(), out[-1][2] + [w.lower()])
         else:
-            out.append((kind, w.lower(), [w.lower()]))
+            out.append((kind, w.lower(), re.findall("[a-z]+|[0-9]+", w.lower())))
+        last = m.end()
     return out
 
 
@@ -464,7 +465,8 @@ def brute_coverage(text, item, width=8):
         key = lambda t: t[1] if t[0] == 0 else t[0]
         lines = defaultdict(list)
         for i in range(len(x) - n + 1 if n else 0):
-            if plain or 2 * sum(t[0] == 0 for t in x[i : i + n]) >= n:
+            own = sum(t[0] == 0 for t in x[i : i + n])
+            if plain or (own == n or own >= decontamination.OWN_OF_SHORT if n < width else own >= decontamination.OWN):
                 for j in range(len(y) - n + 1):
                     if all(key(p) == key(q) and bool(p[0]) == bool(q[0]) for p, q in zip(x[i : i + n], y[j : j + n], strict=True)):
                         lines[j - i].append((i, {(p[1], q[1]) for p, q in zip(x[i : i + n], y[j : j + n], strict=True) if p[0]}))
@@ -500,6 +502,82 @@ def test_contaminated_as_by_brute_force(spark):
     assert {k for k, c in every.items() if c >= 0.5} ^ set(got) == set() and sum(abs(every[k] - c) > 1e-9 for k, c in got.items()) <= 0.05 * len(got)
 
 
+RUSSIAN = "В магазине у Марии было 12 яблок и 7 груш, потом Иван купил 5 яблок, а Ольга взяла 3 груши; сколько яблок осталось у Марии?"
+CHANGED = [  # item, and a text that asks the same otherwise
+    ("Anna Bell has 12 apples, Carl Dorn 30 pears, Eva Finn 7 plums and Gus Hale 9 figs; who has most?", "Rita Moss has 44 apples, Tom Vane 3 pears, Ulla Ross 15 plums and Max Zorn 2 figs; who has most?"),
+    ("Compute 17 km + 4 kg 3 h - 9 mi * 2 s and 5 lbs.", "Compute 3 km + 88 kg 41 h - 6 mi * 7 s and 12 lbs."),
+    ("What is 12 + 30 * 7 - 4 / 2 + 9 % 5", "Tell me: what is 5 + 77 * 3 - 14 / 6 + 21 % 4"),
+    (RUSSIAN, RUSSIAN.replace("Марии", "Елены").replace("12", "40").replace("7", "9").replace("Иван", "Пётр").replace("5", "8").replace("Ольга", "Анна").replace("3", "2")),
+    ("A shop sold 1,250.50 kg of rice to Peter and 300 kg to Mary Ann, so how much rice did both buy?", "A shop sold 75 kg of rice to Quentin and 1,020.25 kg to Rosa, so how much rice did both buy?"),
+]
+CLEAN = ["Nobody knows what is 42 in this novel, and nobody asks.", "She asked who is Bob and left.", "We compute 7 averages over all rows."]
+
+
+def test_reparameterised_items_are_found_and_clean_texts_kept(spark):
+    items = [(i, t) for i, (t, _) in enumerate(CHANGED)] + [(10, "Who is Ada Lovelace?"), (11, "Compute 3 + 4")]
+    rows = [(i, f"Some words before. {t} And some after.") for i, (_, t) in enumerate(CHANGED)] + [(100 + i, t) for i, t in enumerate(CLEAN)]
+    out = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in out) == [(i, i) for i in range(5)] and all(r.n_changed >= 3 for r in out)
+
+
+def test_recall_and_false_finds(spark):
+    """Items of each kind with all slots drawn anew are found; texts that are made of the same words in another order aren't."""
+    rng = random.Random(8)
+    names = "Anna Boris Clara David Elena Fritz Greta Hugo Irene Jonas".split()
+    frames = [
+        "{N} has {#} apples and {N} has {#} pears, so how many more has {N}?", "If {#} + {#} is the price of {#} tickets for {N}, what does one cost?", "The train from {N} to {N} takes {#} hours at {#} km and stops {#} times on its way",
+        "Compute {#} * {#} - {#} + {#} and then divide by {#}", "{N}, {N} and {N} share {#} euros so that {N} gets {#} more than {N} and {#} less than {N}", "A farmer sells {#} kg of corn, {#} kg of wheat and {#} kg of rye to {N}",
+    ]
+    say = lambda f: re.sub("{.}", lambda m: rng.choice(names) if m.group() == "{N}" else str(rng.randint(2, 999)), f)
+    fill = "so the old house by a river was sold and nobody in town could say why".split()
+    some = lambda n: " ".join(rng.choices(fill, k=n))
+    items = [(k, say(f)) for k, f in enumerate(frames)]
+    rows, want = [], set()
+    for i in range(300):
+        k = i % len(frames)
+        if i % 3:
+            rows.append((i, f"{some(rng.randint(3, 30))}: {say(frames[k])} {some(20)}"))
+            want.add((i, k))
+        else:
+            words_ = say(frames[k]).split()
+            rng.shuffle(words_)
+            rows.append((i, f"{some(20)} {' '.join(words_)} {some(20)}"))
+    out = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(out & want) >= 0.9 * len(want) and len(out - want) <= 0.01 * len(rows)
+
+
+def test_common_slot_tables_are_no_finds(spark, monkeypatch):
+    """A window of mostly slots that many documents fill differently is no find, unless the words agree."""
+    monkeypatch.setattr(decontamination, "COMMON_LEAST", 20)
+    rng = random.Random(9)
+    table = lambda: " ".join(f"{rng.randint(1, 999)} kg {rng.choice(['Oslo', 'Rome', 'Bern'])} at {rng.randint(1, 99)} km and" for _ in range(3))
+    item, rows = table(), [(i, "see " + table()) for i in range(200)]
+    out = contaminated(spark.createDataFrame([*rows, (900, "see " + item)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [r.doc_id for r in out] == [900]
+
+
+def test_common_openings(spark):
+    """Items of one opening cost no row for each document that has it, and are found where the rest is."""
+    opening = "read the text below with care and then answer the question that comes after it in your own words please"
+    rng = random.Random(10)
+    items = [(i, f"{opening} " + " ".join(f"k{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}x" for _ in range(30))) for i in range(60)]
+    rows = [(i, f"{opening} and nothing else") for i in range(300)] + [(1000 + i, t) for i, t in items]
+    out = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == {(1000 + i, i) for i, _ in items}
+
+
+def test_hash_twins_without_ids(spark):
+    """Two texts whose 32-bit hashes are the same, without ids."""
+    one, two = " ".join(f"w{i}" for i in range(13)) + " a12329", "b136003 q1 q2 q3 q4 " + " ".join(f"w{i}" for i in range(13))
+    data = [(1, " ".join(f"w{i}" for i in range(13))), (None, one), (None, two), *((None, f"n{i} " + (one if i % 2 else "q r s")) for i in range(48))]
+    out = substring_dedup.substring_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    removed = {r.text: r.n_removed for r in out}
+    assert len(out) == len(data) and removed["a12329"] == 13 and removed["b136003 q1 q2 q3 q4"] == 13
+    assert Counter(r.n_removed for r in out) == {0: 25, 13: 26}
+    found = contaminated(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(13)))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 7), (None, 7)}
+
+
 def test_contaminated_without_ids(spark):
     bench = spark.createDataFrame([(1, ITEM), (None, "the cat sat on the mat and looked at the dog for a while")], "item_id long, text string")
     docs = spark.createDataFrame([(None, ITEM), (None, "the cat sat on the mat and looked at the dog for a while"), (None, None)], "doc_id long, text string")
