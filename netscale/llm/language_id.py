@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,10 +129,11 @@ class Spots:
         ends = np.flatnonzero(np.diff(both[order])) + 1
         yield from (own for own in np.split(order, ends) if len(own))
 
-    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def forward(self, p: np.ndarray, shift: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """[place, language] sums over all segmentations up to each place, and the log of what they were divided by at the end of each word.
 
-        p: [piece, language], with a row of zeros for no piece.
+        p: [piece, language], with a row of zeros for no piece. shift: [place, language] zeros, which become the log of what the sum of each
+        place was divided by.
         """
         n, languages = len(self.width), p.shape[1]
         first = self.base[:-1] + np.arange(n)
@@ -145,15 +147,20 @@ class Spots:
         for own in self.groups(upto):
             j, k = int(upto[own[0]]), int(self.length[own[0]])
             if j > now and j > 1 and (j - 1) % SCALED == 0 and len(long):  # all sums up to j - 1 are whole
-                long = self._rescale(total, logs, first, long, j - 1)
+                long = self._rescale(total, logs, first, long, j - 1, shift)
             now = j
             step = p[self.piece[own]]
             if k == 1:
                 step = np.maximum(step, UNKNOWN)
             total[source[own] + k] += total[source[own]] * step
+        if shift is not None:  # what comes after the last division
+            place = np.arange(len(total)) - np.repeat(first, self.width + 1)
+            last = np.repeat(np.maximum(self.width - 1, 0) // SCALED * SCALED, self.width + 1)
+            late = place > last
+            shift[late] = np.repeat(logs, self.width + 1, axis=0)[late]
         return total, logs
 
-    def _rescale(self, total: np.ndarray, logs: np.ndarray, first: np.ndarray, long: np.ndarray, j: int) -> np.ndarray:
+    def _rescale(self, total: np.ndarray, logs: np.ndarray, first: np.ndarray, long: np.ndarray, j: int, shift: np.ndarray | None = None) -> np.ndarray:
         """Brings the sums of words that go on beyond position j back to 1; later steps reach back less than j places of these."""
         long = long[self.width[long] > j]
         if len(long):
@@ -163,7 +170,11 @@ class Spots:
             low = np.unique(at)
             owner = np.searchsorted(first[long], low, "right") - 1
             total[low] /= most[owner]
+            if shift is not None:
+                shift[first[long][:, None] + j - np.arange(SCALED)] = logs[long][:, None]
             logs[long] += np.log(most)
+            if shift is not None:
+                shift[low] = logs[long[owner]]
         return long
 
     def likelihoods(self, p: np.ndarray) -> np.ndarray:
@@ -172,25 +183,25 @@ class Spots:
         return np.log(total[self.base[1:] + np.arange(len(self.width))]) + logs
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """How often each piece is expected in words that are seen `counts` times. p: [piece, 1]. Words have at most SCALED characters."""
-        total, _ = self.forward(p)
+        """How often each piece is expected in words, of any length, that are seen `counts` times. p: [piece, 1]."""
+        shift = np.zeros((int(self.base[-1]) + len(self.width), 1))
+        total, _ = self.forward(p, shift)
         last = self.base[1:] + np.arange(len(self.width))
+        # sums from each place on, over the word's whole sum and times what the place's forward sum was divided by
         after = np.zeros_like(total)
-        after[last] = 1
+        after[last] = 1 / total[last]
         word = self.word[self.start]
         source = self.start + word
-        seen = np.zeros(len(p))
-        weight = counts / total[last, 0]
         for own in self.groups(self.width[word] - (self.start - self.base[word])):
             k = int(self.length[own[0]])
             step = p[self.piece[own]]
             if k == 1:
                 step = np.maximum(step, UNKNOWN)
-            ahead = after[source[own] + k] * step
-            after[source[own]] += ahead
-        whole = p[self.piece, 0] * total[source, 0] * after[source + self.length, 0] * weight[word]
-        seen += np.bincount(self.piece, whole, len(p))
-        return seen
+            a = source[own]
+            after[a] += after[a + k] * step * np.exp(shift[a] - shift[a + k])
+        b = source + self.length
+        whole = p[self.piece, 0] * total[source, 0] * after[b, 0] * np.exp(shift[source, 0] - shift[b, 0]) * counts[word]
+        return np.bincount(self.piece, whole, len(p))
 
 
 @lru_cache(2)
@@ -199,16 +210,24 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def fit_pieces(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = 2) -> np.ndarray:
-    """Piece probabilities of a language by expectation-maximisation from uniform ones; the last one, of no piece, is 0.
+def in_parts(words: list[str]) -> Iterator[list[int]]:
+    """Numbers of words of like lengths, about TOGETHER characters at a time."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    i = 0
+    while i < len(order):
+        j = i + max(1, TOGETHER // (len(words[order[i]]) + 1))
+        yield order[i:j]
+        i = j
 
-    Words over SCALED characters, which are few, are learnt from in parts of so many.
-    """
-    parts = [(w[i : i + SCALED - 1], n) for w, n in zip(words, counts, strict=True) for i in range(0, len(w), SCALED - 1)]
+
+def fit_pieces(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = 2) -> np.ndarray:
+    """Piece probabilities of a language by expectation-maximisation from uniform ones over whole words; the last one, of no piece, is 0."""
     p = np.r_[np.full(pieces.size, 1 / pieces.size), 0.0][:, None]
-    spots, seen_of = pieces.spots([w for w, _ in parts]), np.array([n for _, n in parts], float)
     for _ in range(rounds):
-        seen = spots.expected(p, seen_of)[: pieces.size]
+        seen = np.zeros(len(p))
+        for part in in_parts(words):
+            seen += pieces.spots([words[i] for i in part]).expected(p, counts[part].astype(float))
+        seen = seen[: pieces.size]
         p[: pieces.size, 0] = (seen + 0.05) / (seen.sum() + 0.05 * pieces.size)
     return p[:, 0]
 
@@ -234,12 +253,9 @@ class Scorer:
         self.scores = np.zeros((0, p.shape[1]))
 
     def of_words(self, words: list[str]) -> np.ndarray:
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        out, i = np.zeros((len(words), self.p.shape[1])), 0
-        while i < len(order):  # words of like lengths, a bounded number of characters at a time
-            j = i + max(1, TOGETHER // (len(words[order[i]]) + 1))
-            out[order[i:j]] = self.pieces.spots([words[k] for k in order[i:j]]).likelihoods(self.p)
-            i = j
+        out = np.zeros((len(words), self.p.shape[1]))
+        for part in in_parts(words):
+            out[part] = self.pieces.spots([words[i] for i in part]).likelihoods(self.p)
         return out
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -271,28 +287,38 @@ def fit(docs: DataFrame, vocabulary: str, held_in: Column, text: str = "text", l
     """What is learnt from at most `rows` labelled rows a language, those of the smallest text hashes among texts of at most `most_bytes`.
 
     held_in: a condition on rows that may be learnt from (null: not). Rows with a null language or text don't count; repeated rows count
-    each. Their texts are used whole. Only words of this sample, of a bounded size, reach the driver. An empty table gives a model without
-    languages.
+    each. Their texts and words are used whole, however long. A task fits one language, of at most rows * most_bytes; the driver gets its
+    piece probabilities and moments. An empty table gives a model without languages.
     """
     plain = docs.where(held_in & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text_of(text).alias("text"))
     plain = plain.where(F.octet_length("text") <= most_bytes)
     ranked = plain.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))).where(F.col("n") <= rows)
-    texts = sorted((r.lang, r.n, r.text) for r in ranked.collect())
-    languages, pieces = sorted({t[0] for t in texts if t[2].split()}), pieces_of(vocabulary)
-    p = np.zeros((pieces.size + 1, len(languages)))
-    mean, between, within = (np.zeros(len(languages)) for _ in range(3))
-    for k, name in enumerate(languages):
-        split = [t.split() for own, _, t in texts if own == name and t.split()]
+    learnt = ranked.groupBy("lang").applyInPandas(_fitted(vocabulary), "lang string, p binary, mean double, between double, within double")
+    found = sorted(learnt.collect())
+    p = np.stack([np.frombuffer(r.p) for r in found], 1) if found else np.zeros((pieces_of(vocabulary).size + 1, 0))
+    return Model([r.lang for r in found], p, *(np.array([r[c] for r in found], float) for c in ("mean", "between", "within")))
+
+
+def _fitted(vocabulary: str):
+    """What the rows of one language teach; no row without words."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        split = [words for text in frame.sort_values("n")["text"] if (words := text.split())]
+        if not split:
+            return pd.DataFrame({c: [] for c in ("lang", "p", "mean", "between", "within")})
+        pieces = pieces_of(vocabulary)
         words, number = np.unique(np.array([w for x in split for w in x], object), return_inverse=True)
-        p[:, k] = fit_pieces(pieces, words.tolist(), np.bincount(number))
-        score = Scorer(vocabulary, p[:, k : k + 1]).of_words(words.tolist())[number, 0]
+        p = fit_pieces(pieces, words.tolist(), np.bincount(number))
+        score = Scorer(vocabulary, p[:, None]).of_words(words.tolist())[number, 0]
         size = np.array([len(w) + 1 for x in split for w in x])
         of = np.repeat(np.arange(len(split)), [len(x) for x in split])
         total, n = np.bincount(of, score), np.bincount(of, size)
-        mean[k] = score.sum() / size.sum()
-        between[k] = np.average((total / n - mean[k]) ** 2, weights=n)
-        within[k] = ((score - mean[k] * size) ** 2).sum() / size.sum()
-    return Model(languages, p, mean, between, within)
+        mean = score.sum() / size.sum()
+        between = np.average((total / n - mean) ** 2, weights=n)
+        within = ((score - mean * size) ** 2).sum() / size.sum()
+        return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "p": [p.tobytes()], "mean": mean, "between": between, "within": within})
+
+    return run
 
 
 def identify(docs: DataFrame, vocabulary: str, model: Model, text: str = "text") -> DataFrame:

@@ -233,6 +233,42 @@ def test_forward_sums_all_segmentations():
         assert pieces.names[pieces.piece[pieces._find(np.array([pieces._hash(s)], np.uint64))[0]]] == s
 
 
+def test_expected_counts_of_words_of_any_length():
+    """Against sums over all segmentations by logarithms, forwards and backwards."""
+    pieces = language_id.pieces_of(PIECES)
+    number = {s: i for i, s in enumerate(pieces.names)}
+    rng = np.random.default_rng(1)
+    p = np.r_[rng.random(pieces.size) ** 9 / pieces.size, 0][:, None]
+    words_ = ["the", "Straße", "responsibilities", "x" * 15, "x" * 16, "x" * 17, "internationalrepresentation", "日本語の文字列" * 20, "naïveté" * 43, "\ud800", "é" * 300]
+    counts = np.arange(1, len(words_) + 1)
+    want = np.zeros(len(p))
+    for w, n in zip(words_, counts, strict=True):
+        w = f"▁{w}"
+        steps = []
+        for i in range(len(w)):
+            for j in range(i + 1, min(len(w), i + pieces.longest) + 1):
+                k = number.get(w[i:j], pieces.size)
+                q = max(p[k, 0], language_id.UNKNOWN) if j == i + 1 else p[k, 0]
+                if q:
+                    steps.append((i, j, k, np.log(q), p[k, 0] / q))
+        upto, after = np.full(len(w) + 1, -np.inf), np.full(len(w) + 1, -np.inf)
+        upto[0] = after[-1] = 0
+        for i, j, _, q, _ in sorted(steps, key=lambda s: s[1]):
+            upto[j] = np.logaddexp(upto[j], upto[i] + q)
+        for i, j, _, q, _ in sorted(steps, key=lambda s: -s[0]):
+            after[i] = np.logaddexp(after[i], after[j] + q)
+        for i, j, k, q, known in steps:
+            want[k] += n * np.exp(upto[i] + q + after[j] - upto[-1]) * known
+    got = pieces.spots(words_).expected(p, counts)
+    assert np.allclose(got, want, rtol=1e-8, atol=1e-12)
+    # one character after another: all pieces of a word add up to its characters and mark
+    size = np.array([len(s) for s in [*pieces.names, ""]])
+    uniform = np.r_[np.full(pieces.size, 1 / pieces.size), 0.0][:, None]
+    ascii_ = [(w, n) for w, n in zip(words_, counts, strict=True) if w.isascii()]
+    seen = pieces.spots([w for w, _ in ascii_]).expected(uniform, np.array([n for _, n in ascii_]))
+    assert np.isclose((seen * size).sum(), sum(n * (len(w) + 1) for w, n in ascii_))
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     vocabulary = {"en": "the of and thing there water other about".split(), "fr": "le la eau être où très chez depuis".split(), "de": "der die und nicht straße über schön".split()}
