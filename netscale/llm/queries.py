@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from netscale.llm import host_reputation, language_id, license_scan, syncmers, warc
 from netscale.llm.chat_format import chat_examples, digests
-from netscale.llm.common import shared_dir, table
+from netscale.llm.common import shared_dir, table, written
 from netscale.llm.decontamination import contaminated
 from netscale.llm.divergence import divergence
 from netscale.llm.fill_in_middle import fill_in_middle, restore
@@ -97,7 +97,8 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives of all pages say of each, read back and assembled into captures."""
     path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.pages_of(warc.captures(warc.read_archives(spark, path)))
+    records = written(warc.read_archives(spark, path, without=("response", "request")), "records")
+    return warc.pages_of(written(warc.captures(records), "captures"))
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,11 +70,14 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, date: str =
     rows = dealt.join(parts, ["digest", "part"], "left")
     again = F.coalesce((F.col("size") >= least) & F.col("holder_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")), F.lit(False))
 
-    safe = F.coalesce("url", F.lit(""))
+    plain = F.coalesce("url", F.lit(""))
+    escaped = plain
     for code in [*range(0x21), 0x7F]:
-        safe = F.replace(safe, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+        escaped = F.replace(escaped, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    rows = rows.withColumn("target", F.when(plain.rlike(r"[\x00-\x20\x7F]"), escaped).otherwise(plain))
+    safe = F.col("target")
     host = F.regexp_extract(safe, r"^.*?://([^/?#]*)", 1)
-    target = F.regexp_extract(safe, r"^.*?://[^/?#]*([^#]*)", 1)
+    asked = F.regexp_extract(safe, r"^.*?://[^/?#]*([^#]*)", 1)
     of = (F.col("page_id"), F.col("url"), F.col("digest"))
     main = F.when(again, _uuid("revisit", *of)).otherwise(_uuid("response", *of))
 
@@ -83,7 +86,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, date: str =
 
     beside = _lines("WARC-Concurrent-To: ", F.col("main"), BREAK)
     head = _lines("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", F.col("size").cast("string"), GAP)
-    request = record("request", _uuid("request", *of), beside, "application/http; msgtype=request", _lines("GET ", F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target)), " HTTP/1.1\r\nHost: ", host, GAP))
+    request = record("request", _uuid("request", *of), beside, "application/http; msgtype=request", _lines("GET ", F.when(asked.startswith("/"), asked).otherwise(F.concat(F.lit("/"), asked)), " HTTP/1.1\r\nHost: ", host, GAP))
     payload = _lines("WARC-Payload-Digest: sha1:", F.col("digest"), BREAK)
     first = F.when(F.col("again"), _lines(payload, f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: ", F.col("holder_id"), BREAK)).otherwise(payload)
     kind = F.when(F.col("again"), "revisit").otherwise("response")
@@ -128,11 +131,13 @@ class _Stream:
         self.held, self.size, self.need = [rest], len(rest), need
 
     def end(self) -> Iterator[dict]:
-        """A record that the archive's end cuts off."""
+        """A record that the archive's end cuts off, in its block or its head."""
         data = b"".join(self.held)
-        if self.head is not None:
-            cut = len(data) - 4 if len(data) - 4 >= self.need else len(data)
-            yield _record(self.head, data[: min(self.need, cut)], cut >= self.need)
+        if self.head is None and data.lstrip(b"\r\n").startswith(b"WARC/"):
+            head = _headers(data.lstrip(b"\r\n"))
+            yield _record(head, b"", head.get("content-length") == ["0"])
+        elif self.head is not None:
+            yield _record(self.head, data, False)
 
 
 def _headers(head: bytes) -> dict[str, list[str]]:
@@ -156,6 +161,7 @@ def _digest(value: str | None) -> str | None:
 
 
 def _record(head: dict[str, list[str]], block: bytes, complete: bool) -> dict:
+    """The columns of RECORD; a revisit has no payload."""
     one = lambda name: head.get(name, [None])[0]
     http, payload = None, block
     if (one("content-type") or "").startswith("application/http"):
@@ -170,9 +176,9 @@ def _record(head: dict[str, list[str]], block: bytes, complete: bool) -> dict:
     }
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], without: frozenset[str]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(f.name, pa.list_(pa.string()) if f.name == "concurrent_to" else {"binary": pa.binary(), "long": pa.int64(), "boolean": pa.bool_()}.get(f.dataType.typeName(), pa.string())) for f in RECORD.fields])
-    now, stream, held, size = None, _Stream(), [], 0
+    now, stream, held, size, gap = None, _Stream(), [], 0, b""
 
     def packed() -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(held, schema)
@@ -182,28 +188,35 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             if file != now:
                 found += stream.end()
-                now, stream = file, _Stream()
-            found += stream.add(chunk.as_py() + GAP.encode())
+                now, stream, gap = file, _Stream(), b""
+            found += stream.add(gap + chunk.as_py())
+            gap = GAP.encode()
+            for r in found:
+                if r["warc_type"] in without:
+                    r["payload"] = None
+                size += 1000 + len(r["payload"] or b"")
             held += found
-            size += sum(1000 + (r["payload_bytes"] or 0) for r in found)
             if size > 8_000_000:
                 yield packed()
                 held, size = [], 0
-    held += stream.end()
+    held += [r | {"payload": None} if r["warc_type"] in without else r for r in stream.end()]
     if held:
         yield packed()
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, without: Iterable[str] = ()) -> DataFrame:
     """Records of compressed archives (*.gz, of one gzip member or of many) under path, in the columns of RECORD.
 
+    without: types of records whose payloads aren't wanted, but only their sizes and digests.
+
     payload is what follows the HTTP head, or the whole block of a record without one; payload_digest is its SHA-1 in hex, declared_digest that
     of the header. A revisit has no payload, so these are null. Header lines may be folded and repeated; one that is missing gives null. A record
     that its archive's end cuts off isn't complete; a payload may hold anything, line breaks and WARC headers too. An archive that isn't
     compressed raises, as it could be read from its middle.
     """
     chunks = spark.read.option("lineSep", GAP).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("chunk"))
-    return chunks.mapInArrow(_parsed, RECORD)
+    without = frozenset(without)
+    return chunks.mapInArrow(lambda batches: _parsed(batches, without), RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:
@@ -217,37 +230,44 @@ def captures(records: DataFrame) -> DataFrame:
     """
     is_main = F.coalesce(F.col("warc_type").isin("response", "revisit", "resource"), F.lit(False))
     whole = F.struct(*[F.col(c) for c in records.columns])
-    mains = records.where(is_main).select(F.col("record_id").alias("capture_id"), whole.alias("response"))
-    rest = records.where(~is_main)
-    links = records.where("record_id is not null").select("record_id", is_main.alias("main"), F.explode("concurrent_to").alias("other"))
-    links = written(links.distinct(), "links")
-    known = written(records.where(is_main & F.col("record_id").isNotNull()).select("record_id").distinct(), "capture_ids")
-    ways = links.select(F.col("record_id").alias("a"), F.col("other").alias("b")).union(links.select(F.col("other").alias("a"), F.col("record_id").alias("b"))).distinct()
-    # each round takes the records one link further from a capture; two are enough for usual archives
-    loose = ways.join(known.withColumnRenamed("record_id", "a"), "a", "left_anti")
-    found = loose.join(known.withColumnRenamed("record_id", "b"), "b").groupBy("a").agg(F.min("b").alias("capture_id"))
-    found = last = written(found, "attached")
-    while True:
-        loose = loose.join(last.select("a"), "a", "left_anti")
-        more = loose.join(last.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("capture_id").alias("capture_id"))
-        more = written(more, "attached")
-        if more.isEmpty():
-            break
-        last, found, loose = more, found.union(more), written(loose, "loose")
+    mains, rest = records.where(is_main), records.where(~is_main)
+    found = _attached(mains.where("record_id is not null"), rest.where("record_id is not null"))
     attached = rest.join(found.withColumnRenamed("a", "record_id"), "record_id", "left").select(*records.columns, "capture_id")
+
+    def first(kind: str) -> Column:
+        own = F.col("warc_type") == kind
+        return F.min_by(F.when(own, whole), F.when(own, F.col("record_id"))).alias(kind)
+
     kinds = attached.where("capture_id is not null and warc_type in ('request', 'metadata')")
-    first = kinds.groupBy("capture_id", "warc_type").agg(F.min("record_id").alias("record_id"))
-    beside = {}
-    for kind in ("request", "metadata"):
-        own = kinds.where(F.col("warc_type") == kind).join(first, ["capture_id", "warc_type", "record_id"], "left_semi")
-        beside[kind] = own.groupBy("capture_id").agg(F.first(whole).alias(kind))
-    out = mains.join(beside["request"], "capture_id", "left").join(beside["metadata"], "capture_id", "left")
-    further = attached.join(first, ["capture_id", "warc_type", "record_id"], "left_anti").select("capture_id", whole.alias("other"))
-    return out.unionByName(further, allowMissingColumns=True)
+    beside = written(kinds.groupBy("capture_id").agg(first("request"), first("metadata")), "beside")
+    out = mains.select(F.col("record_id").alias("capture_id"), whole.alias("response")).join(beside, "capture_id", "left")
+    taken = beside.select("capture_id", F.col("request.record_id").alias("__request"), F.col("metadata.record_id").alias("__metadata"))
+    further = attached.join(taken, "capture_id", "left").where("not coalesce(record_id in (__request, __metadata), false)")
+    return out.unionByName(further.select("capture_id", whole.alias("other")), allowMissingColumns=True)
+
+
+def _attached(mains: DataFrame, rest: DataFrame) -> DataFrame:
+    """(a, capture_id) of the other records that belong to a capture: by a link in either direction, then through records that do."""
+    ids = mains.select(F.col("record_id").alias("capture_id")).distinct()
+    named = mains.select(F.explode("concurrent_to").alias("a"), F.col("record_id").alias("capture_id"))
+    names = rest.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("capture_id")).join(ids, "capture_id", "left_semi").select("a", "capture_id")
+    found = last = written(named.union(names).groupBy("a").agg(F.min("capture_id").alias("capture_id")), "attached")
+    # what is left is little in usual archives: records about the archive itself, and those that are linked through others
+    loose = written(rest.select(F.col("record_id").alias("a")).distinct().join(found, "a", "left_anti"), "loose")
+    if loose.isEmpty():
+        return found
+    links = rest.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
+    ways = written(links.union(links.select("b", "a")).distinct().join(loose, "a", "left_semi"), "links")
+    while True:
+        more = ways.join(last.select(F.col("a").alias("b"), "capture_id"), "b").join(found, "a", "left_anti")
+        more = written(more.groupBy("a").agg(F.min("capture_id").alias("capture_id")), "attached")
+        if more.isEmpty():
+            return found
+        last, found = more, found.union(more)
 
 
 def with_revisited(found: DataFrame) -> DataFrame:
-    """captures with `revisited`, the response (record_id, page_id, payload_bytes, payload_digest) that a revisit refers to.
+    """captures (read three times: best a table) with `revisited`, the response (record_id, page_id, payload_bytes, payload_digest) that a revisit refers to.
 
     A response that very many revisits name meets them in parts. Of responses of one id the one of the largest page_id counts. Null if
     there is none.

@@ -80,13 +80,15 @@ def test_other_writers(spark, tmp_path):
     ]
     (tmp_path / "one.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in first))  # a member for each record
     (tmp_path / "two.warc.gz").write_bytes(gzip.compress(record("response", "r2", b"x" * 50)[:-30]))  # cut off
+    (tmp_path / "three.warc.gz").write_bytes(gzip.compress(record("metadata", "n3", b"", "WARC-Concurrent-To: r2")))  # an empty block ends it
+    (tmp_path / "four.warc.gz").write_bytes(gzip.compress(record("response", "r4", b"y" * 50)[:60]))  # cut off in its head
     records = warc.read_archives(spark, str(tmp_path))
     got = {r.record_id: r for r in records.collect()}
-    assert len(got) == 12 and not got["r2"].complete and len(got["r2"].payload) == 24
+    assert len(got) == 14 and got["n3"].complete and not got["r4"].complete and not got["r2"].complete and len(got["r2"].payload) == 24
     assert bytes(got["r1"].payload) == b"\xff\x00\r\n" and got["r1"].payload_digest == got["r1"].declared_digest and got["r1"].concurrent_to == ["q1", "q9"]
     rows = warc.with_revisited(warc.captures(records)).collect()
     whole = {r.response.record_id: r for r in rows if r.response}
-    assert set(whole) == {"r1", "r2", "s1", "v1"} and whole["r1"].request.record_id == "q1" and whole["r1"].metadata.record_id == "m1"
+    assert set(whole) == {"r1", "r2", "r4", "s1", "v1"} and whole["r2"].metadata.record_id == "n3" and whole["r1"].request.record_id == "q1" and whole["r1"].metadata.record_id == "m1"
     assert whole["v1"].revisited.record_id == "r1" and whole["v1"].revisited.page_id == 8 and whole["v1"].revisited.payload_bytes == 4
     other = {r.other.record_id: r.capture_id for r in rows if r.other}
     assert other == {"i": None, "q2": "r1", "m6": "r1", "m7": "r1", "lost": None, None: None}
