@@ -2,48 +2,76 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def fdr(pairs: DataFrame, alpha: float, keys: Sequence[str] = ()) -> DataFrame:
+def correlation_pvalue(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation r of n samples: Student's distribution of n - 2 degrees, by its finite sum. Null for fewer than 3.
+
+    With sin t = |r|, the probability of less is, for even degrees, sin t times the sum of (2k)! / (2^k k!)^2 cos^2k t, and for odd ones 2 / pi
+    (t + sin t times the sum of (2^k k!)^2 / (2k + 1)! cos^(2k+1) t), k from 0 to half the degrees less 1 (and a half).
+    """
+    df, c = (n - 2).cast("int"), 1 - r * r
+    even = df % 2 == 0
+    terms = F.when(df >= 2, F.sequence(F.lit(1), F.greatest(F.floor(df / 2), F.lit(1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    grown = lambda s, k: F.struct((s["term"] * c * F.when(even, (2 * k - 1) / (2 * k)).otherwise(2 * k / (2 * k + 1))).alias("term"), (s["sum"] + s["term"]).alias("sum"))
+    start = F.struct(F.when(even, F.lit(1.0)).otherwise(F.sqrt(c)).alias("term"), F.lit(0.0).alias("sum"))
+    total = F.aggregate(terms, start, grown, lambda s: s["sum"])
+    less = F.when(even, F.abs(r) * total).otherwise((F.asin(F.abs(r)) + F.abs(r) * total) * 2 / F.pi())
+    return F.when(df >= 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - less)))
+
+
+def fdr(pairs: DataFrame, alpha: float, keys: Sequence[str] = (), total: int | None = None) -> DataFrame:
     """Pairs with rank, threshold and accepted, by Benjamini and Hochberg over i < j. Ties go by (i, j).
 
-    threshold is the largest rank's alpha * rank / n that a p-value reaches; null, and nothing accepted, if none does. With keys, a task
-    ranks the pairs of a key. Without, ranges of p are ranked apart, and only the ranges' sizes and the threshold reach the driver.
+    threshold is the largest rank's alpha * rank / n that a p-value reaches; null, and nothing accepted, if none does. n is total, if pairs are
+    only those with a small p, or else the number of pairs. With keys, a task ranks the pairs of a key. Without, ranges of (p, i, j) are
+    ranked apart, and only the ranges' bounds and sizes and the threshold reach the driver.
     """
     upper = pairs.where("i < j")
     if keys:
         w = Window.partitionBy(*keys)
-        ranked = upper.withColumns({"rank": F.row_number().over(w.orderBy("p", "i", "j")), "n": F.count("*").over(w)})
+        n = F.count("*").over(w) if total is None else F.lit(total)
+        ranked = upper.withColumns({"rank": F.row_number().over(w.orderBy("p", "i", "j")).cast("long"), "n": n})
         line = F.col("rank") * alpha / F.col("n")
         held = ranked.withColumn("threshold", F.max(F.when(F.col("p") <= line, line)).over(w))
     else:
-        ranked, n = _ranked(upper)
-        line = F.col("rank") * alpha / F.lit(n)
+        ranked, n = ranked_by(upper, ["p", "i", "j"])
+        line = F.col("rank") * alpha / F.lit(n if total is None else total)
         held = ranked.withColumn("threshold", F.lit(ranked.agg(F.max(F.when(F.col("p") <= line, line))).first()[0]).cast("double"))
     return held.withColumn("accepted", F.coalesce(F.col("p") <= F.col("threshold"), F.lit(False))).select(*keys, "i", "j", "p", "rank", "threshold", "accepted")
 
 
-def _ranked(pairs: DataFrame, ranges: int = 256) -> tuple[DataFrame, int]:
-    """pairs with `rank` by (p, i, j) among all, and their number."""
-    found = pairs.agg(F.percentile_approx("p", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
-    cuts = ", ".join(f"{c!r}D" for c in sorted(set(found or [])))
-    ranged = pairs.withColumn("range", F.expr(f"size(filter(cast(array({cuts}) as array<double>), c -> c < p))"))
-    sizes = dict(ranged.groupBy("range").count().collect())  # of at most `ranges` ranges
-    before, total = {}, 0
-    for k in sorted(sizes, key=lambda k: (k is not None, k)):
-        before[k], total = total, total + sizes[k]
-    start = F.coalesce(*[F.when(F.col("range").eqNullSafe(F.lit(k)), F.lit(n)) for k, n in before.items()]) if before else F.lit(0)
-    rank = F.row_number().over(Window.partitionBy("range").orderBy("p", "i", "j")) + start
-    return ranged.withColumn("rank", rank.cast("int")).drop("range"), total
+def ranked_by(rows: DataFrame, order: Sequence[str], ranges: int = 256, sample: int = 20_000) -> tuple[DataFrame, int]:
+    """rows with `rank` (long, from 1) by the columns of `order` among all, and their number; read three times: best a table.
+
+    Bounds of ranges come from a sample, of whose size the ranks don't depend; they are of all columns, so that ties in the first one
+    are dealt out too.
+    """
+    key = F.struct(*order)
+    n = rows.count()
+    some = rows.select(key.alias("k")).where(F.rand(1) <= sample / n) if n > sample else rows.select(key.alias("k"))
+    found = sorted((r.k for r in some.collect()), key=lambda k: [(v is not None, v) for v in k])
+    step = max(1, len(found) // ranges)
+    bounds = rows.sparkSession.createDataFrame([(tuple(k),) for k in found[step::step]], some.schema).distinct() if len(found) > step else None
+    if bounds is None:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long")), n
+    bounds = bounds.agg(F.sort_array(F.collect_list("k")).alias("__bounds"))  # at most `ranges` of them
+    ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < key))).drop("__bounds")
+    sizes = sorted(ranged.groupBy("__range").count().collect())
+    before = dict(zip([k for k, _ in sizes], [0, *itertools.accumulate(c for _, c in sizes)], strict=False))
+    start = F.element_at(F.create_map(*[F.lit(x) for k, c in before.items() for x in (k, c)]), F.col("__range")).cast("long")
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + start
+    return ranged.withColumn("rank", rank).drop("__range"), n
 
 
 def below(pairs: DataFrame, alpha: float) -> DataFrame:
-    """Pairs with p strictly below alpha."""
+    """Pairs with p strictly below alpha; of a full matrix, both triangles."""
     return pairs.where(F.col("p") < alpha)
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from netscale.functions import columns
-from netscale.operators import cluster, corr, generators, graph, partitions, percolation, series, spectral, stats
+from netscale.operators import bipartite, cluster, corr, generators, graph, partitions, percolation, series, spectral, stats
 from netscale.plans import views, workflow
-from netscale.plans.views import CORR, EMB, EVENTS, NATION, PVALS, USERS
+from netscale.plans.views import CORR, EMB, EVENTS, LINKS, NATION, PVALS, USERS
 from netscale.sources import readers
 from netscale.sources.shared import put_text, shared_dir, written
 
@@ -644,7 +644,7 @@ def canonical_labels(spark, d):
 
 # --- validation ----------------------------------------------------------------------------------------------------------------
 
-BH = f"{PVALS}, k AS (SELECT *, CAST(row_number() OVER (ORDER BY p, i, j) AS INT) AS rank, count(*) OVER () AS n FROM pvals), x AS (SELECT max(rank * 0.3::DOUBLE / n) AS threshold FROM k WHERE p <= rank * 0.3::DOUBLE / n)"
+BH = f"{PVALS}, k AS (SELECT *, row_number() OVER (ORDER BY p, i, j) AS rank, count(*) OVER () AS n FROM pvals), x AS (SELECT max(rank * 0.3::DOUBLE / n) AS threshold FROM k WHERE p <= rank * 0.3::DOUBLE / n)"
 
 
 @query(f"{BH} SELECT i, j, p, rank, round(threshold, 9) AS threshold, coalesce(p <= threshold, false) AS accepted FROM k, x")
@@ -652,9 +652,11 @@ def bh_fdr(spark, d):
     return stats.fdr(views.pair_pvals(spark, d), 0.3).select("i", "j", "p", "rank", r("threshold", 9), "accepted")
 
 
-@query(f"{PVALS} SELECT i, j, p FROM pvals WHERE p < 0.01::DOUBLE")
+@query(f"{PVALS} SELECT i, j, p FROM pvals WHERE p < 0.01::DOUBLE UNION ALL SELECT j, i, p FROM pvals WHERE p < 0.01::DOUBLE")
 def pvalue_pairs(spark, d):
-    return stats.below(views.pair_pvals(spark, d), 0.01)
+    """Of the full matrix, both triangles."""
+    upper = views.pair_pvals(spark, d)
+    return stats.below(upper.union(upper.select(F.col("j").alias("i"), F.col("i").alias("j"), "p")), 0.01)
 
 
 @query(f"{BH} SELECT i, j, p, CASE WHEN p <= threshold THEN 1 ELSE 0 END AS valid FROM k, x")
@@ -663,6 +665,44 @@ def validation_mask(spark, d):
     return stats.mask(p, stats.fdr(p, 0.3).where("accepted"))
 
 
+def _model(spark, d):
+    return bipartite.configuration_model(views.user_kind_hours(spark, d))
+
+
+@query(f"{LINKS} SELECT 'a' AS side, a AS node, count(*) AS degree, count(*)::DOUBLE AS expected FROM links GROUP BY a UNION ALL SELECT 'b', b, count(*), count(*)::DOUBLE FROM links GROUP BY b")
+def bicm_degrees(spark, d):
+    """Expected degrees of the fitted model, which are those observed."""
+    model = _model(spark, d)
+    both = [bipartite.expected_degrees(model, of).select(F.lit(of).alias("side"), "node", "degree", r("expected")) for of in "ab"]
+    return both[0].unionByName(both[1])
+
+
+@query()
+def bicm_pvalues(spark, d):
+    """Pairs of users by the (event type, hour) that they share; SQL can't fit the model, and tests do it by brute force."""
+    return bipartite.pair_pvalues(_model(spark, d)).select("i", "j", "common", r("p", 9))
+
+
+SPARSE = f"""{LINKS}, da AS (SELECT a, count(*) AS d FROM links GROUP BY a), tot AS (SELECT sum(k * (k - 1.0::DOUBLE)) AS twice, sum(k)::DOUBLE AS e FROM (SELECT count(*) AS k FROM links GROUP BY b)),
+co AS (SELECT x.a AS i, y.a AS j, count(*) AS common FROM links x JOIN links y ON x.b = y.b AND x.a < y.a GROUP BY 1, 2),
+me AS (SELECT i, j, common, p.d * q.d * twice / (e * e) AS mean FROM co JOIN da p ON p.a = i JOIN da q ON q.a = j, tot),
+sp AS (SELECT i, j, common, round(greatest(0, 1 - (SELECT sum(exp(k * ln(mean) - mean - lgamma(k + 1))) FROM range(0, common) g(k))), 9) + 0.0 AS p FROM me)"""
+
+
+@query(f"{SPARSE} SELECT i, j, common, p FROM sp")
+def sparse_pvalues(spark, d):
+    return bipartite.sparse_pvalues(views.user_kind_hours(spark, d)).select("i", "j", "common", r("p", 9))
+
+
+@query(f"{SPARSE}, n AS (SELECT count(*) * (count(*) - 1) / 2 AS n FROM da), k AS (SELECT *, row_number() OVER (ORDER BY p, i, j) AS rank FROM sp) SELECT i, j, p, rank, round(max(rank * 0.9::DOUBLE / n) FILTER (p <= rank * 0.9::DOUBLE / n) OVER (), 9) AS threshold, coalesce(p <= max(rank * 0.9::DOUBLE / n) FILTER (p <= rank * 0.9::DOUBLE / n) OVER (), false) AS accepted FROM k, n")
+def sparse_fdr(spark, d):
+    """Validated pairs among all pairs of users, of which those without a common neighbour aren't listed."""
+    links = written(views.user_kind_hours(spark, d), "links")
+    n = links.select("a").distinct().count()
+    pairs = written(bipartite.sparse_pvalues(links).select("i", "j", r("p", 9)), "pairs")
+    return stats.fdr(pairs, 0.9, total=n * (n - 1) // 2).select("i", "j", "p", "rank", r("threshold", 9), "accepted")
+
+
 # --- generators ----------------------------------------------------------------------------------------------------------------
 
 SPEC = ([5, 3, 2, 7, 1], [10, 7, 10, 10, 5])
