@@ -48,20 +48,20 @@ def fdr(pairs: DataFrame, alpha: float, keys: Sequence[str] = (), total: int | N
 
 
 def ranked_by(rows: DataFrame, order: Sequence[str], ranges: int = 256, sample: int = 20_000) -> tuple[DataFrame, int]:
-    """rows with `rank` (long, from 1) by the columns of `order` among all, and their number; read three times: best a table.
+    """rows with `rank` (long, from 1) by the columns of `order` among all, and their number; read up to four times: best a table.
 
-    Bounds of ranges come from a sample, of whose size the ranks don't depend; they are of all columns, so that ties in the first one
-    are dealt out too.
+    Up to `sample` rows are ranked by one task. Of more, bounds of ranges come from a sample, whose size doesn't change the ranks; they are of all
+    columns, so that ties in the first one are dealt out too.
     """
-    key = F.struct(*order)
     n = rows.count()
-    some = rows.select(key.alias("k")).where(F.rand(1) <= sample / n) if n > sample else rows.select(key.alias("k"))
+    if n <= sample:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long")), n
+    key = F.struct(*order)
+    some = rows.select(key.alias("k")).where(F.rand(1) <= sample / n)
     found = sorted((r.k for r in some.collect()), key=lambda k: [(v is not None, v) for v in k])
     step = max(1, len(found) // ranges)
-    bounds = rows.sparkSession.createDataFrame([(tuple(k),) for k in found[step::step]], some.schema).distinct() if len(found) > step else None
-    if bounds is None:
-        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long")), n
-    bounds = bounds.agg(F.sort_array(F.collect_list("k")).alias("__bounds"))  # at most `ranges` of them
+    bounds = rows.sparkSession.createDataFrame([(tuple(k),) for k in found[step::step]], some.schema)
+    bounds = bounds.agg(F.sort_array(F.collect_set("k")).alias("__bounds"))  # about `ranges` of them
     ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < key))).drop("__bounds")
     sizes = sorted(ranged.groupBy("__range").count().collect())
     before = dict(zip([k for k, _ in sizes], [0, *itertools.accumulate(c for _, c in sizes)], strict=False))
