@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netscale.functions import kernels
 from netscale.operators.corr import as_series, clean, correlation, edges_of, full_matrix
 from netscale.operators.series import SERIES, per_key
 from netscale.sources.shared import written
@@ -30,45 +29,108 @@ def split(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), strongly: bool = False) -> DataFrame:
-    """(keys..., node, component), a component being its smallest node. A task holds the graph of a key."""
+    """(keys..., node, component), a component being its smallest node; graphs are tables of any size.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own, src, dst, _ = split(frame)
-        return pd.DataFrame({"node": own, "component": (kernels.strong_labels if strongly else kernels.weak_labels)(own, src, dst)})
-
-    return per_key(with_nodes(nodes, edges, keys), keys, run, "node long, component long")
+    Weak ones by alternating large and small stars: each round is a table in the shared folder, and only its count and checksum reach the driver.
+    Strong ones by trimming, and colouring forwards and backwards. Null nodes and edges with a null end don't count.
+    """
+    k = list(keys)
+    edges = edges.where("src is not null and dst is not null").select(*k, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    own = nodes.select(*k, F.col("node").cast("long").alias("node")).where("node is not null").union(edges.select(*k, F.explode(F.array("src", "dst")))).distinct()
+    found = _strong(edges, k) if strongly else _weak(edges, k)
+    return own.join(found, [*k, "node"], "left").select(*k, "node", F.coalesce("component", "node").alias("component"))
 
 
 def components_of_large(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component) as components() gives them, of one graph of any size, dealt to all tasks: by alternating large and small stars.
+    """(node, component) of one graph, as components() gives them."""
+    return components(nodes, edges)
 
-    Each round is a table in the shared folder, and only its count and checksum reach the driver.
-    """
+
+def _weak(edges: DataFrame, k: list[str]) -> DataFrame:
+    """(keys..., node, component) of the nodes that aren't the smallest of their component."""
 
     def state(table: DataFrame) -> tuple:
-        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64(*k, "a", "b").cast("decimal(38,0)"))).first())
 
-    ends = edges.where("src != dst").select(F.greatest("src", "dst").cast("long").alias("a"), F.least("src", "dst").cast("long").alias("b")).distinct()
+    ends = edges.where("src != dst").select(*k, F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
     ends = written(ends, "stars")
     was, now = None, state(ends)
     while now[0] and now != was:
-        both = ends.union(ends.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        both = ends.union(ends.select(*k, F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(*k, "a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.join(least, [*k, "a"]).where("b > a and b != m").select(*k, F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy(*k, "a").agg(F.min("b").alias("m"))
+        small = large.join(least, [*k, "a"]).where("b != m").select(*k, F.col("b").alias("a"), F.col("m").alias("b"))
         ends = written(small.union(least).distinct(), "stars")
         was, now = now, state(ends)
-    own = nodes.select(F.col("node").cast("long").alias("node")).union(edges.select(F.explode(F.array(F.col("src").cast("long"), F.col("dst").cast("long"))))).distinct()
-    return own.join(ends.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return ends.select(*k, F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def _strong(edges: DataFrame, k: list[str]) -> DataFrame:
+    """(keys..., node, component) of the nodes in strong components of more than one node.
+
+    In each round nodes that no edge enters, or none leaves, are trimmed: each is a component of its own. Then the smallest node that reaches a
+    node colours it, and what its colour's node is reached from within the colour is that node's component. What's left goes on, only along
+    edges within a colour; each round finds a component in each colour.
+    """
+    left = written(edges.where("src != dst").distinct(), "edges")
+    found = left.limit(0).select(*k, F.col("src").alias("node"), F.col("dst").alias("component"))
+    while not left.isEmpty():
+        left = _trimmed(left, k)
+        if left.isEmpty():
+            break
+        colour = _spread(left, left.select(*k, F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")), k)
+        tail, head = (colour.select(*k, F.col("node").alias(end), F.col("colour").alias(f"__{end}")) for end in ("src", "dst"))
+        inner = left.join(tail, [*k, "src"]).join(head, [*k, "dst"]).where("__src = __dst").select(*k, "src", "dst", F.col("__src").alias("colour"))
+        inner = written(inner, "edges")
+        # backwards from each colour's node, edges within the colour only
+        reached = written(colour.where("node = colour"), "reached")
+        new = reached
+        while True:
+            step = inner.join(new.select(*k, F.col("node").alias("dst"), "colour"), [*k, "dst", "colour"]).select(*k, F.col("src").alias("node"), "colour").distinct()
+            new = written(step.join(reached, [*k, "node", "colour"], "left_anti"), "reached")
+            if new.isEmpty():
+                break
+            reached = reached.union(new)
+        reached = written(reached.select(*k, "node", F.col("colour").alias("component")), "components")
+        found = found.union(reached)
+        for end in ("src", "dst"):
+            inner = inner.join(reached.select(*k, F.col("node").alias(end)), [*k, end], "left_anti")
+        left = written(inner.select(*k, "src", "dst"), "edges")
+    return found
+
+
+def _trimmed(edges: DataFrame, k: list[str], rounds: int = 3) -> DataFrame:
+    """Edges without those at nodes that no edge enters or none leaves; a few rounds at a time, as a long path takes many."""
+    for _ in range(rounds):
+        edges = edges.join(edges.select(*k, F.col("dst").alias("src")).distinct(), [*k, "src"], "left_semi")
+        edges = edges.join(edges.select(*k, F.col("src").alias("dst")).distinct(), [*k, "dst"], "left_semi")
+        edges = written(edges, "trimmed")
+    return edges
+
+
+def _spread(edges: DataFrame, colours: DataFrame, k: list[str]) -> DataFrame:
+    """The smallest colour that reaches each node along directed edges; only nodes whose colour changed spread it on."""
+    colours = written(colours, "colours")
+    new = colours
+    while True:
+        told = edges.join(new.select(*k, F.col("node").alias("src"), "colour"), [*k, "src"]).groupBy(*k, F.col("dst").alias("node")).agg(F.min("colour").alias("__new"))
+        both = colours.join(told, [*k, "node"], "left")
+        colours = written(both.select(*k, "node", F.least("colour", "__new").alias("colour"), (F.coalesce(F.col("__new") < F.col("colour"), F.lit(False))).alias("__changed")), "colours")
+        new, colours = colours.where("__changed").select(*k, "node", "colour"), colours.drop("__changed")
+        if new.isEmpty():
+            return colours
 
 
 def giant_nodes(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), strongly: bool = False) -> DataFrame:
     """Nodes of the largest component of each key; of equal ones, that with the smallest node."""
-    found = components(nodes, edges, keys, strongly)
+    found = written(components(nodes, edges, keys, strongly), "components")
+    return found.join(_largest(found, keys), [*keys, "component"], "left_semi").select(*keys, "node")
+
+
+def _largest(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     sizes = found.groupBy(*keys, "component").agg(F.count("*").alias("n"))
-    best = sizes.groupBy(*keys).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))
-    return found.join(best, [*keys, "component"], "left_semi").select(*keys, "node")
+    return sizes.groupBy(*keys).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))
 
 
 def induced(edges: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -89,26 +151,12 @@ def without_loops(edges: DataFrame) -> DataFrame:
 
 
 def giant_and_left_off(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes and edges of the giant component after loops are dropped, and the nodes outside it.
-
-    All three are read off one table, for which nodes and edges are worked out once; a task holds the graph of a key.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own, src, dst, weight = split(frame)
-        label = kernels.weak_labels(own, src, dst)
-        names, size = np.unique(label, return_counts=True)  # the smallest of equal ones comes first
-        inside = label == names[np.argmax(size)]
-        keep = inside[np.searchsorted(own, src)]
-        nothing = pd.array([None] * len(own), "Int64")
-        rows = pd.DataFrame({"src": own, "dst": nothing, "weight": np.nan, "inside": inside})
-        return pd.concat([rows, pd.DataFrame({"src": src[keep], "dst": pd.array(dst[keep], "Int64"), "weight": weight[keep], "inside": True})])
-
-    kinds = [edges.schema[c].dataType for c in ("src", "dst", "weight")]
-    whole = written(per_key(with_nodes(nodes, without_loops(edges), keys), keys, run, "src long, dst long, weight double, inside boolean"), "network")
-    inner = whole.where("dst is not null").select(*keys, *[F.col(c).cast(k).alias(c) for c, k in zip(("src", "dst", "weight"), kinds, strict=True)])
-    alone = whole.where("dst is null")
-    return alone.where("inside").select(*keys, F.col("src").alias("node")), inner, alone.where("not inside").select(*keys, F.col("src").alias("node"))
+    """Nodes and edges of the giant component after loops are dropped, and the nodes outside it. Components are worked out once, as a table."""
+    edges = written(without_loops(edges).select(*keys, "src", "dst", "weight"), "edges")
+    found = written(components(nodes, edges, keys), "components")
+    best = _largest(found, keys)
+    inside = found.join(best, [*keys, "component"], "left_semi").select(*keys, "node")
+    return inside, induced(edges, inside, keys), found.join(best, [*keys, "component"], "left_anti").select(*keys, "node")
 
 
 def correlation_network(df: DataFrame, keys: Sequence[str] = (), threshold: float | None = None, remove_negative: bool = True, regularize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:

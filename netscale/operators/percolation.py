@@ -13,8 +13,9 @@ from netscale.sources.shared import written
 
 
 def threshold_at(idx: Column, low: Column, high: Column, steps: int) -> Column:
-    """Point idx of a log grid of `steps` points, with both ends exact."""
+    """Point idx of a log grid of `steps` points, with both ends exact, and none beyond them by rounding."""
     inner = F.pow(F.lit(10.0), F.log10(low) + idx * ((F.log10(high) - F.log10(low)) / (steps - 1)))
+    inner = F.least(high, F.greatest(low, inner))
     return F.when(idx <= 0, low).when(idx >= steps - 1, high).otherwise(inner)
 
 

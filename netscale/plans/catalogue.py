@@ -431,11 +431,24 @@ def corr_spectrum_moments(spark, d):
     return lam.agg(F.round(F.sum("lambda"), 6).cast("long").alias("n"), F.sum(F.col("lambda") ** 2).alias("second"), F.sum(F.col("lambda") ** 3).alias("third")).select("n", r("second", 5), r("third", 5))
 
 
-@query("SELECT * FROM (VALUES (0.1::DOUBLE, 1.0::DOUBLE, 1::BIGINT), (1.0::DOUBLE, 1.0::DOUBLE, 1::BIGINT)) v(tau, trace, row_sums)")
+def _times(a: str, b: str, scale: str = "1") -> str:
+    return f"SELECT p.tau, p.i, q.j, sum(p.x * q.x) / {scale} AS x FROM {a} p JOIN {b} q ON p.tau = q.tau AND p.j = q.i GROUP BY 1, 2, 3"
+
+
+# exp(-tau L) in SQL: a sum of powers at tau / 4096, squared 12 times
+RHO = f"""{DENSE_EDGES}, lap AS (SELECT i, j, sum(v) AS v FROM (SELECT src AS i, dst AS j, -weight AS v FROM inner_edges UNION ALL SELECT dst, src, -weight FROM inner_edges UNION ALL SELECT src, src, weight FROM inner_edges UNION ALL SELECT dst, dst, weight FROM inner_edges) GROUP BY 1, 2),
+taus(tau) AS (VALUES (0.1::DOUBLE), (1.0::DOUBLE)), l1 AS MATERIALIZED (SELECT tau, i, j, -tau / 4096 * v AS x FROM taus, lap),
+l2 AS MATERIALIZED ({_times("l1", "l1", "2")}), l3 AS MATERIALIZED ({_times("l2", "l1", "3")}), l4 AS MATERIALIZED ({_times("l3", "l1", "4")}),
+s0 AS MATERIALIZED (SELECT tau, i, j, sum(x) AS x FROM (SELECT tau, node AS i, node AS j, 1.0::DOUBLE AS x FROM taus, giant UNION ALL FROM l1 UNION ALL FROM l2 UNION ALL FROM l3 UNION ALL FROM l4) GROUP BY 1, 2, 3),
+{", ".join(f"s{k + 1} AS MATERIALIZED ({_times(f's{k}', f's{k}')})" for k in range(12))},
+z AS (SELECT tau, sum(x) AS z FROM s12 WHERE i = j GROUP BY tau), rho AS (SELECT tau, i, j, x / z AS rho FROM s12 JOIN z USING (tau))"""
+
+
+@query(f"{RHO} SELECT tau, round(sum(rho) FILTER (i = j), 9) AS trace, round(sum(rho * rho), 9) AS purity, round(min(rho), 9) + 0.0 AS least FROM rho GROUP BY tau")
 def rho_trace(spark, d):
-    """A diffusion density has trace 1, and all its rows have one sum, as those of a Laplacian are 0."""
-    rows = _rho(spark, d).groupBy("tau", "i").agg(F.sum("rho").alias("row"), F.sum(F.when(F.col("i") == F.col("j"), F.col("rho"))).alias("own"))
-    return rows.groupBy("tau").agg(F.round(F.sum("own"), 9).alias("trace"), F.countDistinct(F.round("row", 9)).alias("row_sums"))
+    """Of each diffusion density its trace, the sum of its squares and its smallest cell."""
+    rho = _rho(spark, d).groupBy("tau").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("rho"))).alias("trace"), F.sum(F.col("rho") * F.col("rho")).alias("purity"), F.min("rho").alias("least"))
+    return rho.select("tau", F.round("trace", 9).alias("trace"), r("purity", 9), r("least", 9))
 
 
 @query()
@@ -471,12 +484,12 @@ def _rho(spark, d):
     return spectral.densities(own, edges, [0.1, 1.0])
 
 
-@query()
+@query(f"{RHO} SELECT tau, i, j, round(rho, 9) + 0.0 AS rho FROM rho")
 def rho_kernel(spark, d):
     return _rho(spark, d).select("tau", "i", "j", r("rho", 9))
 
 
-@query()
+@query(f"{RHO} SELECT tau, i, j, round(1 / rho, 4) AS d FROM rho WHERE i < j")
 def diffusion_distance(spark, d):
     return spectral.diffusion_distance(_rho(spark, d)).select("tau", "i", "j", r("d", 4))
 
@@ -521,6 +534,46 @@ def dendrogram(spark, d):
     return cluster.dendrogram(cluster.normalized_linkage(_distance(spark, d), method="ward"), 0.5)
 
 
+# single linkage in SQL: in each step the nearest two clusters merge; l has each node's cluster
+SINGLE = f"""{CORR}, dist AS (SELECT i, j, round(1 - r, 12) AS d FROM corr), leaf AS (SELECT series_id AS node, row_number() OVER (ORDER BY series_id) - 1 AS leaf FROM (SELECT DISTINCT series_id FROM nation_month)),
+pr AS (SELECT x.leaf AS i, y.leaf AS j, d FROM dist JOIN leaf x ON x.node = i JOIN leaf y ON y.node = j), size AS (SELECT count(*) AS n FROM leaf),
+state(step, l, a, b, height) AS (SELECT -1, (SELECT list(leaf ORDER BY leaf) FROM leaf), NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE
+  UNION ALL SELECT step + 1, list_transform(l, lambda c: CASE WHEN c = p.x OR c = p.y THEN len(l) + step + 1 ELSE c END), least(p.x, p.y), greatest(p.x, p.y), p.d
+  FROM (SELECT s.step, s.l, arg_min({{'x': s.l[i + 1], 'y': s.l[j + 1], 'd': d}}, d) AS p FROM state s, pr WHERE s.l[i + 1] <> s.l[j + 1] GROUP BY 1, 2)),
+links AS (SELECT step, a, b, height, len(list_filter(l, lambda c: c = len(l) + step)) AS size FROM state WHERE step >= 0),
+part AS (SELECT a AS id, step AS parent, 0 AS side FROM links UNION ALL SELECT b, step, 1 FROM links),
+one AS (SELECT p.id, parent, side, coalesce(k.height, -1) AS height, coalesce(k.size, 1) AS size FROM part p LEFT JOIN links k ON k.step = p.id - (SELECT n FROM size)),
+tree(id, height, size, first) AS (SELECT (SELECT n FROM size) + step, height, size, 0::BIGINT FROM links WHERE step = (SELECT max(step) FROM links)
+  UNION ALL SELECT o.id, o.height, o.size, t.first + CASE o.side WHEN 1 THEN (SELECT q.size FROM one q WHERE q.parent = o.parent AND q.side = 0) ELSE 0 END FROM tree t JOIN one o ON o.parent = t.id - (SELECT n FROM size)),
+cutat AS (SELECT quantile_cont(height, 0.6) AS h FROM links),
+roots AS (SELECT t.* FROM tree t LEFT JOIN one o USING (id) LEFT JOIN links up ON up.step = o.parent, cutat WHERE t.height <= h AND (up.height IS NULL OR up.height > h)),
+counted AS (SELECT t.id, o.parent, t.size = 1 AS leaf, (SELECT count(*) FROM roots r WHERE r.first >= t.first AND r.first < t.first + t.size) AS n FROM tree t LEFT JOIN one o USING (id), cutat WHERE t.height > h OR t.id IN (SELECT id FROM roots)),
+before AS (SELECT id, parent, coalesce((SELECT n FROM counted q WHERE q.parent = c.parent AND q.id <> c.id AND (q.leaf, q.id) < (c.leaf, c.id)), 0) AS ahead FROM counted c),
+named(id, label) AS (SELECT id, 1::BIGINT FROM before WHERE parent IS NULL UNION ALL SELECT b.id, n.label + b.ahead FROM named n JOIN before b ON b.parent = n.id - (SELECT n FROM size)),
+flat AS (SELECT t.id AS leaf, t.first AS position, label AS cluster, r.size AS members FROM tree t JOIN roots r ON t.size = 1 AND t.first >= r.first AND t.first < r.first + r.size JOIN named m ON m.id = r.id)"""
+
+
+def _single(spark, d):
+    dist = views.nation_corr(spark, d).select("i", "j", F.round(1 - F.col("r"), 12).alias("d"))
+    links = written(cluster.linkage(dist, method="single"), "links")
+    return links, links.agg(F.percentile("height", 0.6)).first()[0]
+
+
+@query(f"{SINGLE} SELECT step::INT AS step, a::INT AS a, b::INT AS b, round(height, 9) AS height, size::INT AS size FROM links")
+def linkage_single_tree(spark, d):
+    return _single(spark, d)[0].select("step", "a", "b", r("height", 9), "size")
+
+
+@query(f"{SINGLE} SELECT leaf::INT AS leaf, cluster::INT AS cluster FROM flat")
+def fclusters_single(spark, d):
+    return cluster.flat_clusters(*_single(spark, d))
+
+
+@query(f"{SINGLE} SELECT position::INT AS position, leaf::INT AS leaf, CASE WHEN members > 1 THEN cluster ELSE 0 END::INT AS cluster FROM flat")
+def dendrogram_single(spark, d):
+    return cluster.dendrogram(*_single(spark, d))
+
+
 @query()
 def leaf_labels(spark, d):
     return cluster.leaf_labels(_distance(spark, d))
