@@ -2,35 +2,96 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netscale.functions.columns import no_nan
 from netscale.operators.series import SERIES, transpose
+from netscale.sources.shared import written
 
 
-def correlation(df: DataFrame, keys: Sequence[str] = (), blocks: int = 4, digits: int | None = 12) -> DataFrame:
-    """(keys..., i, j, r) of all pairs of series of a key; null where one is constant.
+#: Series in a block, and doubles in it.
+ROWS, DOUBLES = 1024, 2_000_000
 
-    Each series becomes one unit vector (samples by t, all series of a key at the same times), so a pair costs one row, not one for
-    each t. Series fall in blocks, and an equi-join on pairs of blocks deals the pairs of even a single key to blocks * (blocks + 1) / 2
-    tasks. digits: r is rounded, so that thresholds don't depend on the order of sums.
+
+def correlation(df: DataFrame, keys: Sequence[str] = (), digits: int | None = 12, least: float | None = None, rows: int = ROWS) -> DataFrame:
+    """(keys..., i, j, r) of all pairs of series of a key; null where one is constant, or has null or too few samples.
+
+    Series (samples by t, all of a key at the same times) are packed into blocks of unit vectors: matrices of at most `rows` series and DOUBLES
+    numbers, as many as a key has series for. Each two blocks meet in a join, and their product is one matrix multiplication; so a key of n
+    series is dealt to about (n / rows)^2 / 2 tasks. least: smaller values of r (nulls too) don't leave the task. digits: r is rounded, so that
+    thresholds don't depend on the order of sums.
     """
-    vector = F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"].cast("double"))
-    packed = df.groupBy(*keys, SERIES).agg(vector.alias("v"), F.avg("value").alias("mean"))
-    centred = packed.withColumn("v", F.expr("transform(v, x -> x - mean)"))
-    norm = F.sqrt(F.expr("aggregate(v, 0D, (s, x) -> s + x * x)"))
-    unit = centred.withColumn("norm", norm).withColumn("v", F.expr("if(norm > 0, transform(v, x -> x / norm), null)"))
-    unit = unit.withColumn("block", F.expr(f"pmod(xxhash64({SERIES}), {blocks})").cast("int"))
-    all_blocks = F.sequence(F.lit(0), F.lit(blocks - 1))
-    a = unit.select(*keys, F.col(SERIES).alias("i"), F.col("v").alias("a"), F.col("block").alias("p"), F.explode(all_blocks).alias("q"))
-    b = unit.select(*keys, F.col(SERIES).alias("j"), F.col("v").alias("b"), F.explode(all_blocks).alias("p"), F.col("block").alias("q"))
-    r = F.expr("aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)")
-    pairs = a.join(b, [*keys, "p", "q"]).where("i < j").withColumn("r", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
-    pairs = pairs.withColumn("r", F.when(F.expr("a is not null and b is not null"), pairs.r if digits is None else F.round("r", digits)))
-    return pairs.select(*keys, "i", "j", "r")
+    k = list(keys)
+    vector = F.transform(F.array_sort(F.collect_list(F.struct("t", F.col("value").cast("double").alias("value")))), lambda x: x["value"])
+    packed = written(df.groupBy(*k, SERIES).agg(vector.alias("v")), "packed")
+    size = packed.groupBy(*k).agg(F.count("*").alias("__n"), F.max(F.size("v")).alias("__t"))
+    packed = packed.join(size, k) if k else packed.crossJoin(F.broadcast(size))
+    fit = F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(DOUBLES / F.greatest("__t", F.lit(1)))))
+    packed = packed.withColumn("__blocks", F.ceil(F.col("__n") / fit).cast("int")).withColumn("__block", F.pmod(F.xxhash64(SERIES), F.col("__blocks")).cast("int"))
+    kind = df.schema[SERIES].dataType
+    fields = [df.schema[c] for c in k]
+    schema = T.StructType([*fields, T.StructField("__block", T.IntegerType()), T.StructField("__blocks", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("m", T.BinaryType())])
+    blocks = written(packed.groupBy(*k, "__block", "__blocks").applyInArrow(_block(k), schema), "blocks")
+    a = blocks.where("__block < __blocks - 1").select(*k, F.col("__block").alias("p"), F.explode(F.sequence(F.col("__block") + 1, F.col("__blocks") - 1)).alias("q"), F.col("ids").alias("a"), F.col("m").alias("ma"))
+    b = blocks.where("__block > 0").select(*k, F.col("__block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("__block") - 1)).alias("p"), F.col("ids").alias("b"), F.col("m").alias("mb"))
+    pairs = a.join(b, [*k, "p", "q"]).select(*k, "a", "ma", "b", "mb")
+    own = blocks.select(*k, F.col("ids").alias("a"), F.col("m").alias("ma"), F.lit(None).cast(T.ArrayType(kind)).alias("b"), F.lit(None).cast("binary").alias("mb"))
+    out = T.StructType([*fields, T.StructField("i", kind), T.StructField("j", kind), T.StructField("r", T.DoubleType())])
+    return pairs.unionByName(own).mapInArrow(_products(k, digits, least), out)
+
+
+def _block(k: list[str]):
+    """The series of a block as one matrix of unit vectors; NaN where a series has no direction."""
+
+    def run(table: pa.Table) -> pa.Table:
+        length = table["__t"][0].as_py()
+        m = np.full((table.num_rows, length), np.nan)
+        for row, v in enumerate(table["v"].combine_chunks()):
+            x = v.values.to_numpy(zero_copy_only=False)
+            if len(x) == length and length and x.min() < x.max():  # a null is NaN here
+                x = x - x.mean()
+                m[row] = x / np.sqrt(x @ x)
+        columns = [*(table[c].slice(0, 1) for c in [*k, "__block", "__blocks"]), pa.array([table[SERIES].to_pylist()], pa.list_(table.schema.field(SERIES).type)), pa.array([m.tobytes()], pa.binary())]
+        return pa.table(columns, [*k, "__block", "__blocks", "ids", "m"])
+
+    return run
+
+
+def _products(k: list[str], digits: int | None, least: float | None):
+    """The correlations of each two blocks, or within one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                a, b = (batch.column(batch.schema.get_field_index(c))[row] for c in "ab")
+                ids_a = a.values
+                ids_b = ids_a if b.values is None else b.values
+                x, y = (np.frombuffer(c.as_buffer()) if c.is_valid else None for c in (batch.column(batch.schema.get_field_index(c))[row] for c in ("ma", "mb")))
+                x = x.reshape(len(ids_a), -1)
+                y = x if y is None else y.reshape(len(ids_b), -1)
+                step = max(1, DOUBLES // max(1, len(ids_b)))
+                for at in range(0, len(ids_a), step):
+                    r = np.clip(x[at : at + step] @ y.T, -1, 1)
+                    if digits is not None:
+                        r = np.round(r, digits)
+                    keep = np.ones(r.shape, bool) if least is None else r >= least
+                    if b.values is None:
+                        keep &= np.arange(r.shape[1]) > np.arange(at, at + len(r))[:, None]
+                    p, q = np.nonzero(keep)
+                    i, j = ids_a.take(pa.array(p + at)), ids_b.take(pa.array(q))
+                    swap = pc.greater(i, j)
+                    r = r[p, q]
+                    columns = [pa.repeat(batch.column(batch.schema.get_field_index(c))[row], len(r)) for c in k]
+                    yield pa.record_batch([*columns, pc.if_else(swap, j, i), pc.if_else(swap, i, j), pa.array(r, mask=np.isnan(r))], [*k, "i", "j", "r"])
+
+    return run
 
 
 def correlation_by_sums(df: DataFrame, keys: Sequence[str] = (), digits: int = 12) -> DataFrame:

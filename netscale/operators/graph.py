@@ -161,7 +161,8 @@ def giant_and_left_off(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] =
 
 def correlation_network(df: DataFrame, keys: Sequence[str] = (), threshold: float | None = None, remove_negative: bool = True, regularize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes and edges of the giant component of a correlation network of series, and the nodes left off."""
-    edges = edges_of(clean(correlation(df, keys), remove_negative, regularize, threshold), keys)
+    least = threshold if threshold is not None and threshold > 0 else None  # what is below becomes 0, which is no edge
+    edges = edges_of(clean(correlation(df, keys, least=least), remove_negative, regularize, threshold), keys)
     return giant_and_left_off(df.select(*keys, F.col(SERIES).alias("node")).distinct(), edges, keys)
 
 
