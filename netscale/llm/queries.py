@@ -158,13 +158,13 @@ full_of AS (SELECT template, count(*) AS n FROM grams GROUP BY 1),
 g AS (SELECT doc_id, i - 1 AS pos, words[i] || ' ' || words[i + 1] AS gram FROM w, unnest(range(1, len(words))) AS r(i)),
 hit AS (SELECT DISTINCT doc_id, template, label, base, pos - place AS diagonal, place FROM g JOIN grams USING (gram)),
 line AS (SELECT doc_id, template, label, diagonal FROM hit JOIN full_of f USING (template) WHERE base GROUP BY 1, 2, 3, 4, f.n HAVING count(*) = f.n),
-step AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= 2 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT doc_id, template, diagonal FROM hit WHERE NOT base) WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-span AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM step),
-placed AS (SELECT h.*, span FROM hit h JOIN span s ON h.doc_id = s.doc_id AND h.template = s.template AND h.diagonal = s.diagonal WHERE NOT h.base),
-agree AS (SELECT doc_id, template, span, count(DISTINCT diagonal + place + k) AS here, count(DISTINCT place + k) AS there, max(diagonal + place + k) - min(diagonal + place + k) + 1 AS len_here, max(place + k) - min(place + k) + 1 AS len_there
+middle AS (SELECT DISTINCT doc_id, template, diagonal AS middle FROM hit WHERE NOT base),
+placed AS (SELECT h.doc_id, h.template, h.label, m.middle, h.place, arg_min(h.diagonal, (abs(h.diagonal - m.middle), h.diagonal)) AS diagonal
+  FROM middle m JOIN hit h ON h.doc_id = m.doc_id AND h.template = m.template AND NOT h.base AND h.diagonal BETWEEN m.middle - {license_scan.WIDE} AND m.middle + {license_scan.WIDE} GROUP BY 1, 2, 3, 4, 5),
+agree AS (SELECT doc_id, template, middle, count(DISTINCT diagonal + place + k) AS here, count(DISTINCT place + k) AS there, max(diagonal + place + k) - min(diagonal + place + k) + 1 AS len_here, max(place + k) - min(place + k) + 1 AS len_there
   FROM placed, unnest(range(0, {license_scan.K})) AS r(k) GROUP BY 1, 2, 3),
-share AS (SELECT p.doc_id, p.template, p.label, p.span, count(DISTINCT place) / max(f.n)::DOUBLE AS share, least(max(here), max(there)) / greatest(max(len_here), max(len_there))::DOUBLE AS alike
-  FROM placed p JOIN full_of f ON f.template = p.template JOIN agree a ON a.doc_id = p.doc_id AND a.template = p.template AND a.span = p.span GROUP BY 1, 2, 3, 4),
+share AS (SELECT p.doc_id, p.template, p.label, p.middle, count(DISTINCT place) / max(f.n)::DOUBLE AS share, least(max(here), max(there)) / greatest(max(len_here), max(len_there))::DOUBLE AS alike
+  FROM placed p JOIN full_of f ON f.template = p.template JOIN agree a ON a.doc_id = p.doc_id AND a.template = p.template AND a.middle = p.middle GROUP BY 1, 2, 3, 4),
 found AS (SELECT doc_id, diagonal AS start, label AS base_label, label, 1.0::DOUBLE AS share FROM line UNION ALL SELECT doc_id, NULL, NULL, CASE WHEN share >= {license_scan.SHARE}::DOUBLE AND alike >= {license_scan.ALIKE}::DOUBLE THEN label END, share FROM share),
 f AS (SELECT doc_id, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT base_label, ',' ORDER BY base_label) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY 1)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM w LEFT JOIN f USING (doc_id)"""

@@ -428,7 +428,62 @@ def test_spans_are_verified_and_null_ids_kept_apart(spark):
     by = {r.doc_id: r for r in out}
     assert by[1].labels == by[2].labels == "bsd" and by[1].score == 1.0 and by[0].labels == by[None].labels == "mit" and by[0].n_base == 1
     assert by[3].score >= license_scan.SHARE and by[3].labels == "" and by[4].labels == "" and by[5].labels == ""
-    assert all(len(t.split()) <= 62 for t, _ in license_scan.TEMPLATES)
+
+
+def brute_spans(text):
+    """Labels and score of templates, word by word."""
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.translate(LOW))
+    labels, score = set(), 0.0
+    for phrase, label in license_scan.PHRASES:
+        n = len(phrase.split())
+        if any(w[k : k + n] == phrase.split() for k in range(len(w))):
+            labels.add(label)
+            score = 1.0
+    at = defaultdict(list)
+    for k in range(len(w) - 1):
+        at[w[k], w[k + 1]].append(k)
+    for text_, label in license_scan.TEMPLATES:
+        t = text_.split()
+        grams = [p for p in range(len(t) - 1) if not license_scan.COMMON.issuperset(t[p : p + 2])]
+        hits = [(k - p, p) for p in grams for k in at[t[p], t[p + 1]]]
+        for middle in {d for d, _ in hits}:
+            best = {}
+            for d, p in hits:
+                if abs(d - middle) <= license_scan.WIDE:
+                    best[p] = min(best.get(p, (99, 0)), (abs(d - middle), d))
+            share = len(best) / len(grams)
+            here = {d + p + k for p, (_, d) in best.items() for k in range(2)}
+            there = {p + k for p in best for k in range(2)}
+            alike = min(len(here), len(there)) / max(max(here) - min(here) + 1, max(there) - min(there) + 1)
+            score = max(score, share)
+            if share >= license_scan.SHARE and alike >= license_scan.ALIKE:
+                labels.add(label)
+    return ",".join(sorted(labels)), score
+
+
+def test_templates_among_repeats_and_edits(spark):
+    """A verbatim template is found whatever repeats stand around it, whole licenses too; all as by brute force."""
+    rng = random.Random(12)
+    rows, own = [], {}
+    for i, (text, label) in enumerate(license_scan.TEMPLATES):
+        w = text.split()
+        part = " ".join(w[:2])
+        for j, (before, after) in enumerate([(f"{part} " * 12, ""), (f"{part} " * 2, ""), ("", f" {' '.join(w[-3:])}" * 9), (f"{' '.join(w[:3])} x " * 5, f" {part}" * 7)]):
+            own[10 * i + j] = label
+            rows.append((10 * i + j, f"{before}{text}{after}"))
+        edited = list(w)
+        for _ in range(max(1, len(w) // 25)):  # a word more, fewer, or another
+            k = rng.randrange(1, len(edited) - 1)
+            edited[k : k + rng.choice([0, 1])] = rng.choice([["other"], []])
+        rows.append((10 * i + 5, " ".join(edited)))
+        shuffled = list(w)
+        rng.shuffle(shuffled)
+        rows.append((10 * i + 6, " ".join(shuffled)))
+    out = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert (out[i].labels, round(out[i].score, 12)) == (lambda x: (x[0], round(x[1], 12)))(brute_spans(text))
+    assert all(label in out[i].labels.split(",") and out[i].score == 1.0 for i, label in own.items())
+    assert max(len(t.split()) for t, _ in license_scan.TEMPLATES) > 150
 
 
 # --- decontamination -----------------------------------------------------------------------------------------------------------
