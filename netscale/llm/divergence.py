@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netscale.llm.common import Words, blocks, mix, utf8, written
+from netscale.llm.common import Words, blocks, frugal, mix, utf8, written
 
 #: The bytes of [\x00-\x40\x5B-\x60\x7B-\x7F], which lie between terms.
 GAP = np.ones(256, bool)
@@ -75,6 +75,8 @@ def _cells(lang: np.ndarray, term: np.ndarray, depth: int, width: int) -> Iterat
 def _sketched(depth: int, width: int):
     """Chunks of the sketch of a task's documents."""
 
+    @frugal
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(depth * width, np.int32)
         for batch in batches:
@@ -100,6 +102,9 @@ def _chunks(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([k // CHUNK], pa.int32()), pa.array([cells[k : k + CHUNK].astype(np.uint8).tobytes()], pa.binary())], ["chunk", "cells"])
 
 
+@frugal
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the chunks of a task; a task holds one array for each number."""
     held: dict[int, np.ndarray] = {}
@@ -125,6 +130,8 @@ def _counted(sketch, depth: int, width: int, least: int):
     """(lang, source, term, n_docs, n) of each block for the terms that may be in enough documents."""
     names = ["lang", "source", "term", "n_docs", "n"]
 
+    @frugal
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = sketch.value
         for batch in batches:

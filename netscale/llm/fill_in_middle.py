@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netscale.llm.common import blocks, extended, text_of, utf8
+from netscale.llm.common import blocks, extended, frugal, text_of, utf8
 
 #: Fixed: what stands before prefix, suffix and middle.
 MARKS = b"<P><S><M>"
@@ -140,6 +140,8 @@ def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", see
     schema = extended(docs.schema, *more)
     held = docs.withColumn("__text", text_of(text)).select("*", *draws(F.col(key), seed))
 
+    @frugal
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "__text"):
@@ -154,6 +156,8 @@ def restore(outputs: DataFrame, output: str = "output", form: str = "form", text
     """fill_in_middle's rows with the text each was made of, from output and form alone. A null output is an empty one."""
     schema = extended(outputs.schema, (text, T.StringType()))
 
+    @frugal
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, output):

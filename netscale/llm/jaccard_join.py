@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netscale.llm.common import NO_ID, SEEN, blocks, id_of, mix, runs, text_of, words_of, written
+from netscale.llm.common import NO_ID, SEEN, blocks, frugal, id_of, mix, runs, text_of, words_of, written
 from netscale.llm.components import components
 
 #: Cells of the count sketch and the parts it is summed in; a shingle is frequent beyond this many times the mean count plus a constant.
@@ -102,6 +102,8 @@ def _sets(k: int):
     """
     schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("small", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
+    @frugal
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(CELLS, np.int32), set()
         for batch in batches:
@@ -129,6 +131,9 @@ def _sets(k: int):
     return run
 
 
+@frugal
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the parts of the sketch, as 64-bit counts."""
     total: dict[int, np.ndarray] = {}
@@ -178,6 +183,7 @@ def signatures(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def _signed(k: int, cells, parts: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, seen = cells.value, set()
         keys: list[int] = []
@@ -271,6 +277,9 @@ def _groups_of(blobs: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
             yield key[m].tolist(), size[m].tolist()
 
 
+@frugal
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -296,6 +305,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(k: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text"):
@@ -306,6 +316,9 @@ def _set_rows(k: int):
     return run
 
 
+@frugal
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         similar = []
@@ -316,6 +329,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(similar, pa.bool_())], ["a", "b", "similar"])
 
 
+@frugal
+
+
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -401,6 +417,8 @@ def likely_pairs(key: np.ndarray, size: np.ndarray, own: np.ndarray, sketches: l
 def _searched(tries: int):
     """(group, a, b, cut): pairs to verify, and whether their group has more of them."""
 
+    @frugal
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         count = 0

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from netscale.llm.common import blocks, extended, text_of
+from netscale.llm.common import blocks, extended, frugal, text_of
 
 #: Probability of a character that isn't a piece; words whose likelihoods a worker remembers, characters that are scored together, and bytes of
 #: texts that are split at a time.
@@ -331,6 +331,8 @@ def identify(docs: DataFrame, vocabulary: str, model: Model, text: str = "text")
     schema = extended(docs.schema, ("lang_pred", T.StringType()), ("score", T.DoubleType()))
     names = schema.names
 
+    @frugal
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         scorer = Scorer(vocabulary, model.p)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from netscale.llm.common import blocks, text_of
+from netscale.llm.common import blocks, frugal, text_of
 
 #: Pieces below this length aren't cut any more.
 SHORTEST = 64
@@ -204,6 +204,7 @@ _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(
 
 
 def _pack(path: str, capacity: int, end_id: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, bins = encoder(path), np.array([end_id], "<u4").tobytes(), Bins(capacity, TaskContext.get().partitionId())
 

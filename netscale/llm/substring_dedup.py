@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netscale.llm.common import blocks, extended, id_of, mix, text_of, words_of, written
+from netscale.llm.common import blocks, extended, frugal, id_of, mix, text_of, words_of, written
 
 #: An anchor that more documents have is split to its windows.
 HOT_DOCS = 1000
@@ -50,6 +50,7 @@ def _anchors(words, window: int, gram: int):
 
 
 def _count(window: int, gram: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -70,6 +71,7 @@ def _count(window: int, gram: int):
 
 
 def _places(window: int, gram: int):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text"):
@@ -87,6 +89,8 @@ def _segments(window: int, gram: int):
     names = ["shard", "seg", "id", "th", "start", "text"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
 
+    @frugal
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text"):
@@ -137,6 +141,9 @@ def _grouped(table: pa.Table) -> pa.Table:
     return table.group_by(["shard", "seg"], use_threads=False).aggregate([("text", "min"), ("least", "min"), ("most", "max")]).rename_columns(["shard", "seg", "text", "least", "most"])
 
 
+@frugal
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each segment once for many documents, with its smallest and largest id: what a task sends of a hot one is bounded."""
     held, rows = [], 0
@@ -218,6 +225,8 @@ def _automata(window: int):
                 yield from found.combine_chunks().to_batches()
             i = j
 
+    @frugal
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in itertools.chain(batches, [None]):
@@ -245,6 +254,8 @@ def _automata(window: int):
 def _cover(text_column: str, names: list[str]):
     """Words outside all covered spans stay, each with the white space before it, or joined by one space."""
 
+    @frugal
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "__text"):

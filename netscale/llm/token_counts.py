@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netscale.llm.common import SEEN, blocks, text_of
+from netscale.llm.common import SEEN, blocks, frugal, text_of
 
 #: Words whose counts a worker remembers.
 CACHED = 200_000
@@ -72,6 +72,9 @@ def counter_of(path: str) -> Counter:
     return Counter(path)
 
 
+@frugal
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each digest of this task once, so that a text of very many documents doesn't meet in one task."""
     seen: set[str] = set()
@@ -86,6 +89,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encode(path: str, version: str):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path)
         for batch in _once(batches):
