@@ -24,8 +24,6 @@ SEEN = 1_000_000
 #: At most this many bytes of text are hashed at a time (a longer single text is one block).
 BLOCK = 2_000_000
 
-_LIBC = ctypes.CDLL(None)
-
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
 
@@ -68,13 +66,19 @@ def frugal(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if hasattr(_LIBC, "malloc_trim"):
-                _LIBC.malloc_trim(0)
+            give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """What the allocators hold without need goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
