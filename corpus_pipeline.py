@@ -41,11 +41,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = docs.select(id_of().alias("id"), "__key").join(groups, "__key", "left")
     best = rows.where("__group is not null").groupBy("__group").agg(F.min(F.struct("id", "__key")).alias("at")).select("at.*", F.lit(True).alias("words"))
     wordless = rows.where("__group is null").select("id", "__key").distinct().withColumn("words", F.lit(False))
-    winners = written(best.unionByName(wordless), "winners")  # no texts
+    winners = written(best.unionByName(wordless), "winners", narrow=True)  # no texts
     kept = docs.join(winners, (id_of() == winners["id"]) & (docs["__key"] == winners["__key"]), "left_semi")
     # of rows that repeat, which are few if any, one stays
     counts = rows.join(winners.where("words"), ["id", "__key"], "left_semi").groupBy("id", "__key").count()
-    repeated = written(counts.where("count > 1").select(F.col("id").alias("__id"), F.col("__key").alias("__same")), "repeated")
+    repeated = written(counts.where("count > 1").select(F.col("id").alias("__id"), F.col("__key").alias("__same")), "repeated", narrow=True)
     if not repeated.isEmpty():
         twice = (id_of() == repeated["__id"]) & (kept["__key"] == repeated["__same"])
         kept = kept.join(repeated, twice, "left_anti").unionByName(kept.join(repeated, twice, "left_semi").dropDuplicates(["doc_id", "__key"]))

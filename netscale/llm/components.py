@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a long, b long); a component is its smallest node. Each round is a table in the
     shared folder, and only a count and a checksum reach the driver. Loops and repeated edges don't matter; no edges give no rows."""
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, "edges")
+    edges = written(edges, "edges", narrow=True)
     was = _state(edges)
     while was[0]:
         both = edges.union(edges.select("b", "a"))
@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(small.union(least).distinct(), "edges")
+        edges = written(small.union(least).distinct(), "edges", narrow=True)
         now = _state(edges)
         if now == was:
             break

@@ -76,7 +76,6 @@ def _sketched(depth: int, width: int):
     """Chunks of the sketch of a task's documents."""
 
     @frugal
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(depth * width, np.int32)
         for batch in batches:
@@ -103,8 +102,6 @@ def _chunks(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 @frugal
-
-
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the chunks of a task; a task holds one array for each number."""
     held: dict[int, np.ndarray] = {}
@@ -131,7 +128,6 @@ def _counted(sketch, depth: int, width: int, least: int):
     names = ["lang", "source", "term", "n_docs", "n"]
 
     @frugal
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = sketch.value
         for batch in batches:

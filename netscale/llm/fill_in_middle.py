@@ -141,7 +141,6 @@ def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", see
     held = docs.withColumn("__text", text_of(text)).select("*", *draws(F.col(key), seed))
 
     @frugal
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "__text"):
@@ -157,7 +156,6 @@ def restore(outputs: DataFrame, output: str = "output", form: str = "form", text
     schema = extended(outputs.schema, (text, T.StringType()))
 
     @frugal
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, output):

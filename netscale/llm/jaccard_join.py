@@ -103,7 +103,6 @@ def _sets(k: int):
     schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("small", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
     @frugal
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(CELLS, np.int32), set()
         for batch in batches:
@@ -132,8 +131,6 @@ def _sets(k: int):
 
 
 @frugal
-
-
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the parts of the sketch, as 64-bit counts."""
     total: dict[int, np.ndarray] = {}
@@ -278,8 +275,6 @@ def _groups_of(blobs: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
 
 
 @frugal
-
-
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -317,8 +312,6 @@ def _set_rows(k: int):
 
 
 @frugal
-
-
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         similar = []
@@ -330,8 +323,6 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @frugal
-
-
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -351,18 +342,18 @@ class Verifier:
         """(a, b, similar) of those pairs (a, b) that sketches don't rule out. known: (key, id, n, sketch); plain: documents (id, text)."""
         x = self.known.select(F.col("key").alias("a"), "n", F.col("sketch").alias("x"))
         y = self.known.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-        close = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_close, "a long, b long"), "close")
+        close = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_close, "a long, b long"), "close", narrow=True)
         # whole sets that weren't needed before, each from one document
         keys = close.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         if self.sets is not None:
-            keys = written(keys.join(self.sets.select("key"), "key", "left_anti"), "keys")
+            keys = written(keys.join(self.sets.select("key"), "key", "left_anti"), "keys", narrow=True)
         if self.sets is None or not keys.isEmpty():
             holders = self.known.join(keys, "key").select("id").distinct()
             sets = self.plain.join(holders, "id", "left_semi").mapInArrow(_set_rows(self.k), "key long, shingles binary")
             sets = written(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "members")
             self.sets = sets if self.sets is None else self.sets.union(sets)
         x, y = (self.sets.select(F.col("key").alias(c), F.col("shingles").alias(s)) for c, s in ("ax", "by"))
-        return written(close.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long, similar boolean"), "links")
+        return written(close.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long, similar boolean"), "links", narrow=True)
 
 
 def likely_pairs(key: np.ndarray, size: np.ndarray, own: np.ndarray, sketches: list[bytes], asks: np.ndarray, answers: np.ndarray, apart: list, tries: int) -> tuple[np.ndarray, bool]:
@@ -418,7 +409,6 @@ def _searched(tries: int):
     """(group, a, b, cut): pairs to verify, and whether their group has more of them."""
 
     @frugal
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         count = 0
@@ -484,20 +474,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, text: str = "text", doc_id:
     owned = rows.where("part is null").drop("part", "counts")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = plain.select("text").mapInArrow(_signed(k, cells, min(FINER * tasks, 1 << 15)), "p int, blob binary")
-    groups = written(blobs.repartition(tasks, "p").sortWithinPartitions("p").mapInArrow(_grouped, "keys array<long>, sizes array<int>"), "groups")
+    groups = written(blobs.repartition(tasks, "p").sortWithinPartitions("p").mapInArrow(_grouped, "keys array<long>, sizes array<int>"), "groups", narrow=True)
     fits = F.expr("3 * greatest(sizes[0], x.s) <= 4 * least(sizes[0], x.s)")
     pairs = groups.select("keys", "sizes", F.explode(F.expr("slice(transform(keys, (k, i) -> struct(k as k, sizes[i] as s)), 2, size(keys) - 1)")).alias("x")).where(fits)
-    pairs = written(pairs.select(F.expr("keys[0]").alias("a"), F.col("x.k").alias("b")).distinct(), "pairs")
+    pairs = written(pairs.select(F.expr("keys[0]").alias("a"), F.col("x.k").alias("b")).distinct(), "pairs", narrow=True)
     known = owned.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("small").alias("small"))
-    known = written(known, "known")
+    known = written(known, "known", narrow=True)
     verifier = Verifier(known, plain, k)
     checked = verifier.check(pairs)
     found = components(checked.where("similar").select("a", "b"))
     wide = groups.where("size(keys) > 2").select(F.xxhash64("keys").alias("group"), "keys", "sizes").dropDuplicates(["group"])
     wide = wide.select("group", F.explode(F.expr("transform(keys, (k, i) -> struct(k as key, sizes[i] as size))")).alias("m")).select("group", "m.key", "m.size")
-    wide = written(wide, "wide")
+    wide = written(wide, "wide", narrow=True)
     tries, apart = TRIES, checked.where("not similar").select("a", "b")
-    while not (likely := written(_likely(wide, known, found, apart, tries), "likely")).isEmpty():
+    while not (likely := written(_likely(wide, known, found, apart, tries), "likely", narrow=True)).isEmpty():
         pairs = likely.select("a", "b").distinct()
         checked = checked.union(verifier.check(pairs))
         found = components(checked.where("similar").select("a", "b"))

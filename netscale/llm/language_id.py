@@ -332,7 +332,6 @@ def identify(docs: DataFrame, vocabulary: str, model: Model, text: str = "text")
     names = schema.names
 
     @frugal
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         scorer = Scorer(vocabulary, model.p)

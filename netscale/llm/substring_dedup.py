@@ -90,7 +90,6 @@ def _segments(window: int, gram: int):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
 
     @frugal
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "text"):
@@ -142,8 +141,6 @@ def _grouped(table: pa.Table) -> pa.Table:
 
 
 @frugal
-
-
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each segment once for many documents, with its smallest and largest id: what a task sends of a hot one is bounded."""
     held, rows = [], 0
@@ -226,7 +223,6 @@ def _automata(window: int):
             i = j
 
     @frugal
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in itertools.chain(batches, [None]):
@@ -255,7 +251,6 @@ def _cover(text_column: str, names: list[str]):
     """Words outside all covered spans stay, each with the white space before it, or joined by one space."""
 
     @frugal
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, "__text"):
@@ -297,7 +292,7 @@ def covered_spans(docs: DataFrame, window: int = 13, gram: int = 5, text: str =
     """
     plain = docs.select(id_of(doc_id).alias("id"), text_of(text).alias("text")).withColumn("th", F.xxhash64("text"))
     recurring = plain.select("text").mapInArrow(_count(window, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    recurring = written(recurring, "anchors")  # so that Spark can split a frequent anchor's rows in the join
+    recurring = written(recurring, "anchors", narrow=True)  # so that Spark can split a frequent anchor's rows in the join
     places = plain.mapInArrow(_places(window, gram), "h long, id long, th long, at int").join(recurring, "h")
     places = places.select("id", "th", F.expr(f"if(n > {int(hot_docs)}, -at - 1, at)").alias("at")).groupBy("id", "th").agg(F.collect_set("at").alias("at"))
     held = plain.join(places, ["id", "th"])
@@ -308,7 +303,7 @@ def covered_spans(docs: DataFrame, window: int = 13, gram: int = 5, text: str =
     hits = held.select("shard", "seg", "id", "th", "start").join(found, ["shard", "seg"])
     spans = F.expr("transform(filter(arrays_zip(offs, ends, lows), x -> x.lows < id), x -> struct(start + x.offs as start, start + x.ends as end))")
     hits = hits.select("id", "th", F.explode(spans).alias("span"))
-    return written(hits.groupBy("id", "th").agg(F.collect_set("span").alias("spans")), "spans")
+    return written(hits.groupBy("id", "th").agg(F.collect_set("span").alias("spans")), "spans", narrow=True)
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, text: str = "text", doc_id: str = "doc_id", hot_docs: int = HOT_DOCS) -> DataFrame:

@@ -73,8 +73,6 @@ def counter_of(path: str) -> Counter:
 
 
 @frugal
-
-
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each digest of this task once, so that a text of very many documents doesn't meet in one task."""
     seen: set[str] = set()
