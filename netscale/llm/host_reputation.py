@@ -45,7 +45,8 @@ def rule_of(rules: Sequence[tuple[str, str]], host: Column, path: Column) -> tup
 
 
 def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix; a bare address or name is both."""
+    """Registered domain and suffix; a bare address or name is both. What stands before an @, a port and a final dot don't count."""
+    host = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"(:[0-9]*)?\.?$|\.(:[0-9]*)?$", "")
     parts = F.split(host, r"\.")
     last = F.element_at(parts, -1)
     two = F.concat_ws(".", F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2))

@@ -127,9 +127,9 @@ _STRENGTH = """(SELECT 1 / greatest(0.001::DOUBLE, least(0.5::DOUBLE, coalesce(s
 
 OP2_SQL = f"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {_UPPER}) AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-parts AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM u),
-lv AS (SELECT host, CASE WHEN plain THEN host WHEN long THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain, CASE WHEN plain THEN host WHEN long THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix
-  FROM (SELECT *, regexp_matches(host, '^[0-9.]*$') OR len(p) < 2 AS plain, array_to_string(p[-2:], '.') IN ({", ".join(f"'{t}'" for t in host_reputation.SHARED)}) OR regexp_matches(p[-1], '^[a-z][a-z]$') AND p[-2] IN ({", ".join(f"'{t}'" for t in host_reputation.SECOND)}) AS long FROM parts)),
+bare AS (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*)?\\.?$|\\.(:[0-9]*)?$', '') AS own FROM u), parts AS (SELECT host, own, string_split(own, '.') AS p FROM bare),
+lv AS (SELECT host, CASE WHEN plain THEN own WHEN long THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain, CASE WHEN plain THEN own WHEN long THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix
+  FROM (SELECT *, regexp_matches(own, '^[0-9.]*$') OR len(p) < 2 AS plain, array_to_string(p[-2:], '.') IN ({", ".join(f"'{t}'" for t in host_reputation.SHARED)}) OR regexp_matches(p[-1], '^[a-z][a-z]$') AND p[-2] IN ({", ".join(f"'{t}'" for t in host_reputation.SECOND)}) AS long FROM parts)),
 o AS (SELECT host, greatest(1 - quality, toxic) AS bad FROM u JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL AND toxic IS NOT NULL),
 h AS (SELECT host, sum(bad)::DOUBLE AS k, count(*) AS n FROM o GROUP BY host),
 hl AS (SELECT h.*, domain, suffix FROM h JOIN lv USING (host)),

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from netscale.llm import chat_format, host_reputation
 from netscale.llm.queries import RULES
@@ -138,3 +139,11 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.run(spark, d)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
     assert Counter(corpus_pipeline.STAGES[i][0] for i in range(5)).total() == 5
+
+
+def test_levels_without_ports(spark):
+    hosts = ["example.com:8080", "1.2.3.4:80", "a.com.", "user@b.com", "u:p@x.b.co.uk.:81", "localhost:1", "", "a.b.c.org", "c.com:"]
+    want = [("example.com", "com"), ("1.2.3.4", "1.2.3.4"), ("a.com", "com"), ("b.com", "com"), ("b.co.uk", "co.uk"), ("localhost", "localhost"), ("", ""), ("c.org", "org"), ("c.com", "com")]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, host string")
+    domain, suffix = host_reputation.levels(F.col("host"))
+    assert [(r.d, r.s) for r in df.select("i", domain.alias("d"), suffix.alias("s")).orderBy("i").collect()] == want
