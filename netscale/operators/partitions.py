@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from netscale.operators.forest import to_roots, with_row
+from netscale.operators.stats import ranked_by
+from netscale.sources.shared import written
+
 
 def histories(partition: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., node, history): its (stage, tau, community) by stage."""
@@ -89,3 +93,42 @@ def ribbons(partition: DataFrame, keys: Sequence[str] = (), height: float = 1.0,
 def canonical(partition: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Communities renamed to their smallest node, so that labels of different stages can be compared."""
     return partition.withColumn("community", F.min("node").over(Window.partitionBy(*keys, "stage", "community")))
+
+
+def carried(partition: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., stage, node, community, colour): a node keeps the colour that it had in the stage before; one that wasn't there takes its
+    community's. So colour is the community in which the node's present run of stages began."""
+    order = _numbered_stages(partition, keys)
+    rows = partition.select(*keys, "stage", "node", "community").join(order, [*keys, "stage"])
+    own = Window.partitionBy(*keys, "node").orderBy("stage")
+    rows = rows.withColumn("__new", F.coalesce(F.col("__order") - F.lag("__order").over(own) > 1, F.lit(True)))
+    start = F.last(F.when(F.col("__new"), F.col("community")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("colour", start).select(*keys, "stage", "node", "community", "colour")
+
+
+def _numbered_stages(partition: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., stage, __order) of the few stages of a key."""
+    stages = partition.select(*keys, "stage").distinct()
+    return stages.withColumn("__order", F.row_number().over(Window.partitionBy(*keys).orderBy("stage")))
+
+
+def lineages(partition: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., stage, community, lineage) of communities over stages: one goes on in the next stage's community with which it shares most nodes,
+    if that shares most nodes with it too (of equal ones the smaller label counts); others begin, and get the next number from 1, by stage and
+    community. Chains of stages are followed by pointer doubling."""
+    k = list(keys)
+    rows = partition.select(*k, "stage", "node", "community").join(_numbered_stages(partition, keys), [*k, "stage"])
+    after = rows.select(*k, "node", (F.col("__order") - 1).alias("__order"), F.col("community").alias("target"))
+    shared = written(rows.join(after, [*k, "node", "__order"]).groupBy(*k, "__order", F.col("community").alias("source"), "target").agg(F.count("*").alias("n")), "shared")
+    best = lambda by, of: shared.groupBy(*k, "__order", by).agg(F.min_by(of, F.struct(-F.col("n"), of)).alias(of))
+    pairs = best("target", "source").join(best("source", "target"), [*k, "__order", "source", "target"])
+    place = lambda order, name: F.struct(order.alias("order"), F.col(name).alias("community"))
+    up = pairs.select(*k, place(F.col("__order") + 1, "target").alias("c"), place(F.col("__order"), "source").alias("top"))
+    ends = to_roots(up, k)
+    own = written(rows.select(*k, "stage", place(F.col("__order"), "community").alias("c")).distinct(), "communities")
+    whose = written(own.join(ends, [*k, "c"], "left").withColumn("top", F.coalesce("top", "c")), "lineages")
+    begun = written(whose.select(*k, "top").distinct(), "begun")
+    ranked, _ = ranked_by(begun, [*k, "top"])
+    first = ranked.groupBy(*k).agg(F.min("rank").alias("__first"))
+    number = with_row(written(ranked, "ranked"), first, k).select(*k, "top", (F.col("rank") - F.col("__first") + 1).alias("lineage"))
+    return whose.join(number, [*k, "top"]).select(*k, "stage", F.col("c.community").alias("community"), "lineage")

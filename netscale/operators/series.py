@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from netscale.functions import kernels
 from netscale.functions.columns import fft_frequency, in_band
+from netscale.operators import longseries
 
 SERIES = "series_id"
 
@@ -74,14 +75,22 @@ def window_of(df: DataFrame, low: int, high: int, ids: Sequence[int] | None = No
     return out.where(F.col(SERIES).isin(*ids)) if ids else out
 
 
-def dft(df: DataFrame, keys: Sequence[str] = (), rate: float = 1.0) -> DataFrame:
-    """(keys..., series_id, k, n, freq, re, im) of each series, whose samples go by t. One fast transform a series."""
+#: Samples of a series that one task may hold.
+WHOLE = 1_000_000
+
+
+def dft(df: DataFrame, keys: Sequence[str] = (), rate: float = 1.0, whole: int = WHOLE) -> DataFrame:
+    """(keys..., series_id, k, n, freq, re, im) of each series, whose samples go by t. One fast transform a series of at most `whole` samples; longer
+    ones in four steps over two shuffles, of which a task holds about the root of their length."""
+    df, long = longseries.is_long(df, keys, whole)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         z = np.fft.fft(frame.sort_values("t")["value"].to_numpy(float))
         return pd.DataFrame({"k": np.arange(len(z), dtype=np.int32), "n": np.int32(len(z)), "re": z.real, "im": z.imag})
 
     out = per_key(df, [*keys, SERIES], run, "k int, n int, re double, im double")
+    if not long.isEmpty():
+        out = out.unionByName(longseries.transformed(long, keys))
     return out.withColumn("freq", fft_frequency(F.col("k"), F.col("n"), F.lit(rate)))
 
 
@@ -132,16 +141,21 @@ def band_power(filtered: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return each.groupBy(*keys, "band").agg(F.avg("power").alias("power"))
 
 
-def butterworth(df: DataFrame, low: float, high: float, rate: float = 1.0, order: int = 4, keys: Sequence[str] = (), kind: str = "bandpass") -> DataFrame:
-    """Zero-phase Butterworth filter of each series. Null where a series isn't longer than the padding (27 samples for a band of order 4)."""
-    pad = 3 * len(kernels.butter_bandpass(low, high, rate, order, kind)[0])
+def butterworth(df: DataFrame, low: float, high: float, rate: float = 1.0, order: int = 4, keys: Sequence[str] = (), kind: str = "bandpass", whole: int = WHOLE) -> DataFrame:
+    """Zero-phase Butterworth filter of each series. Null where a series isn't longer than the padding (27 samples for a band of order 4).
+
+    A task filters a series of at most `whole` samples; longer ones go by segments, whose states are put together."""
+    b, a = kernels.butter_bandpass(low, high, rate, order, kind)
+    pad = 3 * len(b)
+    df, long = longseries.is_long(df, keys, whole)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t")
         x = frame["value"].to_numpy(float)
         return pd.DataFrame({"t": frame["t"], "value": kernels.band_filter(x, low, high, rate, order, kind)[0] if len(x) > pad else None})
 
-    return per_key(df, [*keys, SERIES], run, f"t {df.schema['t'].dataType.simpleString()}, value double")
+    out = per_key(df, [*keys, SERIES], run, f"t {df.schema['t'].dataType.simpleString()}, value double")
+    return out if long.isEmpty() else out.unionByName(longseries.filtered(long, b, a, keys))
 
 
 def hilbert(df: DataFrame, rate: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:

@@ -69,13 +69,16 @@ def diffusion_distance(rho: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def entropy_curve(spectrum: DataFrame, keys: Sequence[str] = (), steps: int = 600, low: float = -2, high: float = 5) -> DataFrame:
     """(keys..., idx, tau, one_minus_s, c, var_l): spectral entropy, specific heat (null on the last tau) and variance of the Laplacian.
 
-    The tau grid is of a fixed size and broadcast; each eigenvalue meets each tau, and sums are grouped.
+    spectrum: (keys..., lambda), or with a weight, as lanczos_spectrum gives it. The tau grid is of a fixed size and broadcast; each eigenvalue
+    meets each tau, and sums are grouped.
     """
     taus = grid(spectrum.sparkSession, low, high, steps).withColumnRenamed("x", "tau")
-    w = Window.partitionBy(*keys)
-    held = spectrum.withColumns({"low": F.min("lambda").over(w), "n": F.count("*").over(w)}).crossJoin(F.broadcast(taus))
+    weight = F.col("weight") if "weight" in spectrum.columns else F.lit(1.0)
+    known = spectrum.select(*keys, "lambda", weight.alias("weight"))
+    ends = known.groupBy(*keys).agg(F.min("lambda").alias("low"), F.sum("weight").alias("n"))
+    held = (known.join(ends, list(keys)) if keys else known.crossJoin(F.broadcast(ends))).crossJoin(F.broadcast(taus))  # a row a key; a fixed grid
     # weights are taken relative to the smallest eigenvalue, which cancels
-    e = held.withColumn("u", F.col("lambda") - F.col("low")).withColumn("w", F.exp(-F.col("tau") * F.col("u")))
+    e = held.withColumn("u", F.col("lambda") - F.col("low")).withColumn("w", F.col("weight") * F.exp(-F.col("tau") * F.col("u")))
     z = e.groupBy(*keys, "idx", "tau", "n").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.col("u")).alias("u1"), F.sum(F.col("w") * F.col("u") * F.col("u")).alias("u2"))
     mean = F.col("u1") / F.col("z")
     s = (F.col("tau") * mean + F.ln("z")) / F.ln("n")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from netscale.functions import columns
-from netscale.operators import bipartite, cluster, corr, generators, graph, partitions, percolation, series, spectral, stats
+from netscale.operators import bipartite, cluster, corr, generators, graph, partitions, percolation, series, sparse, spectral, stats
 from netscale.plans import views, workflow
 from netscale.plans.views import CORR, EMB, EVENTS, LINKS, NATION, PVALS, USERS
 from netscale.sources import readers
@@ -457,6 +457,29 @@ def network_entropy(spark, d):
     return spectral.entropy_curve(spectral.laplacian_spectrum(own, edges)).select("idx", r("tau"), r("one_minus_s"), r("c"), r("var_l"))
 
 
+def _user_graph(spark, d):
+    """Users that share an (event type, hour) more often than a sparse model has it, weighted by how often."""
+    pairs = written(bipartite.sparse_pvalues(views.user_kind_hours(spark, d)), "pairs")
+    return pairs.select(F.col("i").alias("node")).union(pairs.select("j")).distinct(), pairs.where("p < 0.5").select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("common").cast("double").alias("weight"))
+
+
+@query()
+def sparse_entropy(spark, d):
+    """The entropy curve of a sparse graph by stochastic quadrature; tests hold it against the dense one."""
+    return spectral.entropy_curve(sparse.lanczos_spectrum(*_user_graph(spark, d))).select("idx", r("tau"), r("one_minus_s"), r("c"), r("var_l"))
+
+
+@query(f"{RHO} SELECT tau, i, j, round(rho, 9) + 0.0 AS rho FROM rho")
+def sparse_densities(spark, d):
+    """Diffusion densities of the nations' network by Chebyshev's expansion, all nodes being sources."""
+    own, edges, _ = _network(spark, d, DENSE)
+    own, edges = written(own, "nodes"), written(edges, "edges")
+    ids = [x.node for x in own.collect()]  # nations
+    rows = written(sparse.diffused(own, edges, ids, [0.1, 1.0]), "columns")
+    traces = rows.where("i = j").groupBy("tau").agg(F.sum("k").alias("trace"))
+    return rows.join(F.broadcast(traces), "tau").select("tau", "i", "j", F.round(F.col("k") / F.col("trace"), 9).alias("rho")).withColumn("rho", F.col("rho") + F.lit(0.0))
+
+
 @query()
 def corr_spectrum(spark, d):
     return spectral.matrix_spectrum(views.nation_corr(spark, d)).select("k", r("lambda"))
@@ -695,6 +718,23 @@ def canonical_labels(spark, d):
     return partitions.canonical(views.user_week(spark, d))
 
 
+@query(f"""{USERS}, so AS (SELECT stage, row_number() OVER (ORDER BY stage) AS o FROM (SELECT DISTINCT stage FROM part)), po AS (SELECT part.*, o FROM part JOIN so USING (stage)),
+st AS (SELECT *, o - lag(o) OVER w AS gap FROM po WINDOW w AS (PARTITION BY node ORDER BY stage)), rn AS (SELECT *, sum(CASE WHEN gap = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY node ORDER BY stage) AS run FROM st)
+SELECT stage, node, community, first_value(community) OVER (PARTITION BY node, run ORDER BY stage) AS colour FROM rn""")
+def carried_colours(spark, d):
+    return partitions.carried(views.user_week(spark, d))
+
+
+@query(f"""{USERS}, so AS (SELECT stage, row_number() OVER (ORDER BY stage) AS o FROM (SELECT DISTINCT stage FROM part)), po AS (SELECT node, community, o FROM part JOIN so USING (stage)),
+sh AS (SELECT a.o, a.community AS source, b.community AS target, count(*) AS n FROM po a JOIN po b ON a.node = b.node AND b.o = a.o + 1 GROUP BY 1, 2, 3),
+bt AS (SELECT o, source, target FROM sh QUALIFY row_number() OVER (PARTITION BY o, target ORDER BY n DESC, source) = 1), bs AS (SELECT o, source, target FROM sh QUALIFY row_number() OVER (PARTITION BY o, source ORDER BY n DESC, target) = 1),
+pr AS (SELECT * FROM bt INTERSECT SELECT * FROM bs), cm AS (SELECT DISTINCT o, community FROM po),
+ch(o, community, ro, rc) AS (SELECT o, community, o, community FROM cm WHERE NOT EXISTS (FROM pr WHERE pr.o + 1 = cm.o AND target = community) UNION ALL SELECT pr.o + 1, target, ro, rc FROM ch JOIN pr ON pr.o = ch.o AND pr.source = ch.community)
+SELECT stage, community, dense_rank() OVER (ORDER BY ro, rc) AS lineage FROM ch JOIN so USING (o)""")
+def community_lineages(spark, d):
+    return partitions.lineages(views.user_week(spark, d))
+
+
 # --- validation ----------------------------------------------------------------------------------------------------------------
 
 BH = f"{PVALS}, k AS (SELECT *, row_number() OVER (ORDER BY p, i, j) AS rank, count(*) OVER () AS n FROM pvals), x AS (SELECT max(rank * 0.3::DOUBLE / n) AS threshold FROM k WHERE p <= rank * 0.3::DOUBLE / n)"
