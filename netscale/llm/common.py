@@ -25,7 +25,7 @@ SEEN = 1_000_000
 BLOCK = 2_000_000
 
 #: Files of a narrow table for each core of the cluster.
-FILES = 4
+FILES = 2
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
