@@ -113,18 +113,15 @@ def lanczos_spectrum(nodes: DataFrame, edges: DataFrame, probes: int = 32, steps
     return own.sparkSession.createDataFrame(rows, "k int, lambda double, weight double")
 
 
-def _chebyshev(reach: float, least: float = 1e-15) -> np.ndarray:
+def _chebyshev(reach: float, least: float = 1e-14) -> np.ndarray:
     """Coefficients of exp(-reach (x + 1)) on [-1, 1] in Chebyshev's polynomials, as many as count."""
-    n = 64
-    while True:
-        angle = np.pi * (np.arange(n) + 0.5) / n
-        f = np.exp(-reach * (np.cos(angle) + 1))
-        c = 2 / n * np.array([np.sum(f * np.cos(k * angle)) for k in range(n)])
-        c[0] /= 2
-        last = int(np.flatnonzero(np.abs(c) > least * np.abs(c).max())[-1])
-        if last < n // 2:
-            return c[: last + 1]
-        n *= 2
+    n = 64 + 4 * int(np.ceil(reach)) if reach < 64 else 320 + 16 * int(np.ceil(np.sqrt(reach) * 4))
+    odd = 2 * np.arange(n) + 1
+    f = np.exp(-reach * (np.cos(np.pi * odd / (2 * n)) + 1))
+    c = 2 / n * np.array([np.sum(f * np.cos(np.pi * ((k * odd) % (4 * n)) / (2 * n))) for k in range(n)])
+    c[0] /= 2
+    last = int(np.flatnonzero(np.abs(c) > least * np.abs(c).max())[-1])
+    return c[: min(last, int(9 * np.sqrt(reach)) + 40) + 1]  # what comes later is rounding
 
 
 def diffused(nodes: DataFrame, edges: DataFrame, sources: Sequence[int], taus: Sequence[float], block: int = 32) -> DataFrame:
