@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from netscale.operators.corr import as_series, clean, correlation, edges_of, full_matrix
 from netscale.operators.series import SERIES, per_key
+from netscale.operators.stats import ranked_by
 from netscale.sources.shared import written
 
 
@@ -221,4 +222,7 @@ def laplacian(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def largest_first(found: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Components with their sizes and ranks, the largest first, of equal ones that with the smallest node."""
     sizes = found.groupBy(*keys, "component").agg(F.count("*").alias("n"))
-    return sizes.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "component")))
+    if keys:
+        return sizes.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "component")))
+    ranked, _ = ranked_by(written(sizes.withColumn("__less", -F.col("n")), "sizes"), ["__less", "component"])
+    return ranked.drop("__less").withColumn("rank", F.col("rank").cast("int"))

@@ -331,10 +331,14 @@ def remove_edges(spark, d):
     return graph.remove_edges(_edges(spark, d), gone).select("src", "dst", r("weight"))
 
 
-@query(f"{EDGES} SELECT a.node AS u, b.node AS v, EXISTS (FROM edges e WHERE e.src = least(a.node, b.node) AND e.dst = greatest(a.node, b.node)) AS found FROM ids a, ids b")
+@query(f"""{EDGES}, asked AS (SELECT DISTINCT c_nationkey AS u, s_nationkey AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
+SELECT u, v, EXISTS (FROM edges e WHERE e.src = least(u, v) AND e.dst = greatest(u, v)) AS found FROM asked""")
 def has_edge(spark, d):
-    ids = _ids(spark, d)
-    return graph.has_edge(ids.select(F.col("node").alias("u")).crossJoin(F.broadcast(ids.select(F.col("node").alias("v")))), _edges(spark, d))
+    """Of each two nations between which something was sold, whether the network has them."""
+    t = lambda name: views.table(spark, d, name)
+    sold = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey")).join(t("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey")
+    sold = sold.join(t("customer").select("c_custkey", F.col("c_nationkey").alias("u")), "c_custkey").join(t("supplier").select("s_suppkey", F.col("s_nationkey").alias("v")), "s_suppkey")
+    return graph.has_edge(sold.select("u", "v").distinct(), _edges(spark, d)).select("u", "v", "found")
 
 
 # --- percolation ---------------------------------------------------------------------------------------------------------------
@@ -392,17 +396,20 @@ def th_crossing(spark, d):
 # --- spectra and diffusion -----------------------------------------------------------------------------------------------------
 
 
-def _cycle(spark, n=24):
-    return spark.range(n).select(F.col("id").cast("int").alias("k"), (2 - 2 * F.cos(2 * np.pi * F.col("id") / n)).alias("lambda"))
+def _cycle(spark, d):
+    """The spectrum of the ring of all suppliers by their keys."""
+    ring = views.table(spark, d, "supplier").select("s_suppkey").distinct()
+    n = ring.count()
+    return ring.select(F.col("s_suppkey").alias("k"), (2 - 2 * F.cos(2 * np.pi * F.col("s_suppkey") / n)).alias("lambda"))
 
 
-@query("""lam AS (SELECT 2 - 2 * cos(2 * pi() * k / 24) AS l FROM range(24) g(k)),
-grid AS (SELECT CAST(k AS INT) AS idx, power(10.0::DOUBLE, -2 + k * (7 / 599.0::DOUBLE)) AS tau FROM range(600) g(k)),
-z AS (SELECT idx, tau, sum(exp(-tau * l)) AS z, sum(l * exp(-tau * l)) AS u1, sum(l * l * exp(-tau * l)) AS u2 FROM lam, grid GROUP BY 1, 2),
-e AS (SELECT idx, tau, 1 - (tau * u1 / z + ln(z)) / ln(24) AS s, u2 / z - (u1 / z) * (u1 / z) AS v FROM z)
-SELECT idx, round(tau, 6) AS tau, round(s, 6) + 0.0 AS one_minus_s, round(ln(24) * (lead(s) OVER w - s) / (ln(lead(tau) OVER w) - ln(tau)), 6) + 0.0 AS c, round(v, 6) + 0.0 AS var_l FROM e WINDOW w AS (ORDER BY idx)""")
+@query("""ring AS (SELECT DISTINCT s_suppkey AS k FROM supplier), lam AS (SELECT 2 - 2 * cos(2 * pi() * k / (SELECT count(*) FROM ring)) AS l FROM ring),
+grid AS (SELECT CAST(k AS INT) AS idx, power(10.0::DOUBLE, -2 + k * (7 / 599.0::DOUBLE)) AS tau FROM range(600) g(k)), low AS (SELECT min(l) AS low, count(*) AS n FROM lam),
+z AS (SELECT idx, tau, n, sum(exp(-tau * (l - low))) AS z, sum((l - low) * exp(-tau * (l - low))) AS u1, sum((l - low) * (l - low) * exp(-tau * (l - low))) AS u2 FROM lam, low, grid GROUP BY 1, 2, 3),
+e AS (SELECT idx, tau, n, 1 - (tau * u1 / z + ln(z)) / ln(n) AS s, u2 / z - (u1 / z) * (u1 / z) AS v FROM z)
+SELECT idx, round(tau, 6) AS tau, round(s, 6) + 0.0 AS one_minus_s, round(ln(n) * (lead(s) OVER w - s) / (ln(lead(tau) OVER w) - ln(tau)), 5) + 0.0 AS c, round(v, 6) + 0.0 AS var_l FROM e WINDOW w AS (ORDER BY idx)""")
 def entropy_curve(spark, d):
-    return spectral.entropy_curve(_cycle(spark)).select("idx", r("tau"), r("one_minus_s"), r("c"), r("var_l"))
+    return spectral.entropy_curve(_cycle(spark, d)).select("idx", r("tau"), r("one_minus_s"), r("c", 5), r("var_l"))
 
 
 @query()
@@ -496,10 +503,14 @@ def corr_histogram(spark, d):
     return stats.histogram(views.nation_corr(spark, d), "r").select("bin", r("low"), r("high"), r("density"))
 
 
-@query("""grid AS (SELECT CAST(k AS INT) AS idx, 0.05::DOUBLE + k * ((2.95::DOUBLE - 0.05::DOUBLE) / 199) AS x FROM range(200) g(k)), p AS (SELECT 25 / 80.0::DOUBLE AS g)
-SELECT idx, round(x, 9) AS x, round(sqrt(greatest((1 + sqrt(g)) * (1 + sqrt(g)) - x, 0) * greatest(x - (1 - sqrt(g)) * (1 - sqrt(g)), 0)) / (2 * pi() * g * x), 9) AS density, x > (1 + sqrt(g)) * (1 + sqrt(g)) AS beyond FROM grid, p""")
+@query(f"""{CORR}, p AS (SELECT (SELECT count(DISTINCT series_id) FROM nation_month) / (SELECT count(DISTINCT t) FROM nation_month)::DOUBLE AS g), x AS (SELECT i, j, round(1 + r, 9) AS x FROM corr)
+SELECT i, j, x, round(sqrt(greatest((1 + sqrt(g)) * (1 + sqrt(g)) - x, 0) * greatest(x - (1 - sqrt(g)) * (1 - sqrt(g)), 0)) / (2 * pi() * g * x), 9) + 0.0 AS density, x > (1 + sqrt(g)) * (1 + sqrt(g)) AS beyond FROM x, p""")
 def marchenko_pastur(spark, d):
-    return spectral.random_matrix_density(columns.grid(spark, 0.05, 2.95, 200, log=False), 25, 80).select("idx", r("x", 9), r("density", 9), "beyond")
+    """What random correlations would have, at the larger eigenvalue 1 + r of each pair of nations."""
+    nation = views.nation_month(spark, d)
+    values = views.nation_corr(spark, d).select("i", "j", F.round(1 + F.col("r"), 9).alias("x"))
+    size = nation.agg(F.countDistinct("series_id").alias("n"), F.countDistinct("t").alias("t")).first()
+    return spectral.random_matrix_density(values, size.n, size.t).select("i", "j", "x", r("density", 9), "beyond")
 
 
 def _rho(spark, d):
@@ -512,9 +523,10 @@ def rho_kernel(spark, d):
     return _rho(spark, d).select("tau", "i", "j", r("rho", 9))
 
 
-@query(f"{RHO} SELECT tau, i, j, round(1 / rho, 4) AS d FROM rho WHERE i < j")
+@query(f"{RHO} SELECT tau, i, j, round(log10(1 / rho), 6) + 0.0 AS log_d FROM rho WHERE i < j")
 def diffusion_distance(spark, d):
-    return spectral.diffusion_distance(_rho(spark, d)).select("tau", "i", "j", r("d", 4))
+    """Distances by their logarithms, as they go over many powers of ten."""
+    return spectral.diffusion_distance(_rho(spark, d)).select("tau", "i", "j", F.log10("d").alias("log_d")).select("tau", "i", "j", r("log_d"))
 
 
 def _distance(spark, d):
@@ -909,7 +921,17 @@ def source_recordings(spark, d):
     return _recordings(spark, d).select("subject", "contrast", r("fs_hz", 9), "series_id", "t", "value")
 
 
-@query(f"SELECT '{ABSENT[0]}' AS subject, '{ABSENT[1]}' AS contrast")
+LEFT = readers.CONTRASTS[0][0]
+
+
+@query(f"{RECORDED} SELECT subject, contrast, series_id, count(*) AS n, round(sum(value), 3) AS total FROM rec JOIN have USING (subject) WHERE contrast <> '{LEFT}' GROUP BY 1, 2, 3")
+def source_without_contrast(spark, d):
+    """The recordings without one contrast."""
+    found = readers.subjects(readers.text_matrix(spark, f"{_folder(spark, d)}/sub-*/*.1D"), readers.contrasts(spark, without=[LEFT]))
+    return found.groupBy("subject", "contrast", "series_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("subject", "contrast", "series_id", "n", F.round("total", 3).alias("total"))
+
+
+@query(f"""{RECORDED}, every AS (SELECT DISTINCT subject, contrast FROM rec, contr), there AS (SELECT DISTINCT subject, contrast FROM rec JOIN have USING (subject)) SELECT subject, contrast FROM every EXCEPT SELECT subject, contrast FROM there""")
 def source_missing(spark, d):
     return readers.missing(_recordings(spark, d), readers.contrasts(spark))
 
