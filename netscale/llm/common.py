@@ -24,8 +24,8 @@ SEEN = 1_000_000
 #: At most this many bytes of text are hashed at a time (a longer single text is one block).
 BLOCK = 2_000_000
 
-#: Files of a narrow table for each core of the cluster.
-FILES = 2
+#: Files of a narrow table for each core of the cluster, and how many partitions of a shuffle become one if that makes more.
+FILES, TOGETHER = 2, 8
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
@@ -51,11 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, codec: str = "zstd", narrow: bool = False) -> DataFrame:
     """df as a table in the shared folder: it cuts lineage and survives lost executors. Its shuffle files go once it's written.
 
-    narrow: of ids and hashes, without texts; such a table gets FILES files a core at most, as creating a file costs more than its rows.
+    narrow: of ids and hashes, without texts, so TOGETHER partitions are one file, as creating a file costs more than its rows.
     """
     spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     if narrow:
-        df = df.coalesce(FILES * max(2, spark.sparkContext.defaultParallelism))
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(FILES * spark.sparkContext.defaultParallelism, tasks // TOGETHER, 1))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     was = spark.conf.get(clean)
     spark.conf.set(clean, "true")
