@@ -245,3 +245,34 @@ def test_distance_of_another_density(spark):
     nodes, edges = spark.createDataFrame([(0,), (1,), (2,)], "node int"), spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "src int, dst int, weight double")
     own = spectral.densities(nodes, edges, [2.0], density=lambda tau, m: np.abs(m) / tau)
     assert {(r.i, r.j): r.d for r in spectral.diffusion_distance(own).collect()} == {(0, 1): 2.0, (1, 2): 2.0, (0, 2): None}
+
+
+def test_pvalues_of_correlations(spark):
+    """Against the integral of (1 - x^2)^((n - 4) / 2), for even and odd numbers of samples."""
+    rows = [(n, r) for n in (3, 4, 5, 6, 9, 30, 81) for r in (-0.9, -0.2, 0.0, 0.35, 0.99, 1.0)] + [(2, 0.5)]
+    df = spark.createDataFrame(rows, "n int, r double").withColumn("p", stats.correlation_pvalue(F.col("r"), F.col("n")))
+    angle = np.linspace(0, np.pi / 2, 200_001)  # x = sin(angle)
+    for x in df.collect():
+        if x.n < 3:
+            assert x.p is None
+            continue
+        f = np.cos(angle) ** (x.n - 3)
+        whole = np.r_[0, np.cumsum((f[1:] + f[:-1]) / 2)]
+        assert x.p == pytest.approx(1 - np.interp(np.arcsin(abs(x.r)), angle, whole) / whole[-1], abs=1e-7)
+
+
+def test_fdr_of_pairs_that_are_not_all_listed(spark):
+    rows = [(i, j, ((i * 7 + j * 13) % 17 + 1) / 400) for i in range(20) for j in range(i + 1, 20)]
+    every = spark.createDataFrame(rows + [(100 + i, 200, 1.0) for i in range(300)], "i int, j int, p double")
+    want = {(r.i, r.j): (r.rank, r.threshold, r.accepted) for r in stats.fdr(every, 0.05).where("p < 1").collect()}
+    got = {(r.i, r.j): (r.rank, r.threshold, r.accepted) for r in stats.fdr(spark.createDataFrame(rows, "i int, j int, p double"), 0.05, total=len(rows) + 300).collect()}
+    assert got == want
+
+
+def test_ranks_of_many_ties(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3).cast("double").alias("p"), (59_999 - F.col("id")).alias("i")).cache()
+    ranked, n = stats.ranked_by(rows, ["p", "i"], ranges=16, sample=2000)
+    got = ranked.orderBy("rank").collect()
+    assert n == 60_000 and [r.rank for r in got] == list(range(1, n + 1)) and [(r.p, r.i) for r in got] == sorted((r.p, r.i) for r in got)
+    sizes = stats.ranked_by(rows, ["p", "i"], ranges=16, sample=2000)[0]
+    assert sizes.columns == ["p", "i", "rank"]
