@@ -19,6 +19,21 @@ def test_correlation_and_constant_series(spark):
     assert got == {(r.i, r.j): r.r for r in corr.correlation_by_sums(df).collect()}
 
 
+def test_correlation_of_many_series_has_few_blocks(spark, monkeypatch):
+    """Blocks grow with a key, so that its series are sent a fixed number of times."""
+    monkeypatch.setattr(corr, "BLOCKS", 3)
+    rng, sent = np.random.default_rng(2), {}
+    mapped = type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, *a, **b: sent.setdefault(n, df) and mapped(df, *a, **b))
+    for n in (12, 60):
+        values = rng.standard_normal((n, 5))
+        df = spark.createDataFrame([(i, t, float(v)) for i, row in enumerate(values) for t, v in enumerate(row)], "series_id int, t int, value double")
+        got = {(r.i, r.j): r.r for r in corr.correlation(df, rows=4).collect()}
+        want = np.corrcoef(values)
+        assert len(got) == n * (n - 1) // 2 and all(i < j and abs(r - want[i, j]) < 1e-9 for (i, j), r in got.items())
+    assert sent[12].count() == sent[60].count() == 6  # each two blocks of three
+
+
 def test_clean_order(spark):
     df = spark.createDataFrame([(0, 1, -0.5), (0, 2, float("nan")), (1, 2, 0.3), (1, 3, 0.2), (2, 3, None)], "i int, j int, r double")
     assert [r.r for r in corr.clean(df, threshold=0.3).orderBy("i", "j").collect()] == [0, 0, 0.3, 0, 0]
