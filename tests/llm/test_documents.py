@@ -647,6 +647,35 @@ def test_common_slot_tables_are_no_finds(spark, monkeypatch):
     assert [r.doc_id for r in out] == [900]
 
 
+def common_tables():
+    """Clean tables of one form, an item that ends with a story, and texts that hold it with other or with the same slots."""
+    rng = random.Random(12)
+    table = lambda: " ".join(f"{rng.randint(1, 999)} kg {rng.choice(['Oslo', 'Rome', 'Bern'])} at {rng.randint(1, 99)} km and" for _ in range(3))
+    item = "11 kg Oslo at 12 km and 13 kg Rome at 14 km and 15 kg Bern at 16 km and then he walked all the way home"
+    other = "21 kg Riga at 22 km and 23 kg Bonn at 24 km and 25 kg Lima at 26 km and then he walked all the way home"
+    half = item.replace("he walked all the way home", "she took another road that day")
+    return [(i, "see " + table()) for i in range(200)], item, [(900, "see " + other), (901, "see " + half)]
+
+
+def test_common_windows_count_beside_others(spark, monkeypatch):
+    """Windows that many documents fill differently aren't left out of a text that holds the item's other windows too, or fills them the same."""
+    monkeypatch.setattr(decontamination, "COMMON_LEAST", 20)
+    rows, item, held = common_tables()
+    out = contaminated(spark.createDataFrame(rows + held, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    got = {r.doc_id: r for r in out}
+    assert set(got) == {900, 901} and got[900].coverage == 1 and got[900].n_changed == 9 and got[901].n_changed == 0
+
+
+def test_pipeline_drops_items_with_common_windows(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    monkeypatch.setattr(decontamination, "COMMON_LEAST", 20)
+    rows, item, held = common_tables()
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows + held, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.no_benchmark(spark, docs, str(tmp_path)).collect()) == [i for i, _ in rows]
+
+
 def test_common_openings(spark):
     """Items of one opening cost no row for each document that has it, and are found where the rest is."""
     opening = "read the text below with care and then answer the question that comes after it in your own words please"
