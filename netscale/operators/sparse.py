@@ -19,7 +19,8 @@ from netscale.sources.shared import written
 def _prepared(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, strength) of all nodes and both directions (src, dst, weight) of all edges; parallel edges add up, loops don't count."""
     ends = edges.where("src <> dst and weight is not null").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight"))
-    ways = written(ends.union(ends.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "ways")
+    ends = written(ends.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight")), "ends")
+    ways = ends.union(ends.select("dst", "src", "weight"))
     strength = ways.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("strength"))
     own = nodes.select(F.col("node").cast("long").alias("node")).union(ways.select("src")).distinct()
     return written(own.join(strength, "node", "left").fillna(0.0, ["strength"]), "nodes"), ways
