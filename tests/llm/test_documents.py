@@ -651,9 +651,9 @@ def common_tables():
     """Clean tables of one form, an item that ends with a story, and texts that hold it with other or with the same slots."""
     rng = random.Random(12)
     table = lambda: " ".join(f"{rng.randint(1, 999)} kg {rng.choice(['Oslo', 'Rome', 'Bern'])} at {rng.randint(1, 99)} km and" for _ in range(3))
-    item = "11 kg Oslo at 12 km and 13 kg Rome at 14 km and 15 kg Bern at 16 km and then he walked all the way home"
-    other = "21 kg Riga at 22 km and 23 kg Bonn at 24 km and 25 kg Lima at 26 km and then he walked all the way home"
-    half = item.replace("he walked all the way home", "she took another road that day")
+    item = "11 kg Oslo at 12 km and 13 kg Rome at 14 km and 15 kg Bern at 16 km and then he walked home"
+    other = "21 kg Riga at 22 km and 23 kg Bonn at 24 km and 25 kg Lima at 26 km and then he walked home"
+    half = item.replace("he walked home", "she took another road")
     return [(i, "see " + table()) for i in range(200)], item, [(900, "see " + other), (901, "see " + half)]
 
 
