@@ -1,12 +1,13 @@
 """Language identification by unigram pieces, with the likelihood of a word summed over all its segmentations.
 
 The vocabulary is fixed: the pieces of a public sentencepiece model. Each language has its own probability of each piece, learnt by
-expectation-maximisation over the words of a bounded sample of labelled rows. A text's likelihood is the product of its words', and a
+expectation-maximisation over the words of a bounded sample of labelled texts. A text's likelihood is the product of its words', and a
 word's, however long, is the sum over all its segmentations, by the forward algorithm over the pieces that stand in it.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from netscale.llm.common import blocks, extended, frugal, text_of
+from netscale.llm.common import blocks, extended, frugal, text_of, written
 
 #: Probability of a character that isn't a piece; words whose likelihoods a worker remembers, characters that are scored together, and bytes of
 #: texts that are split at a time.
@@ -283,16 +284,50 @@ def certainty(model: Model, score: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return best, 1 / (np.exp((score - own[:, None]) * share[:, None]).sum(axis=1) + np.exp(np.minimum((least - own) * share, 700)))
 
 
+def stretches(text: str, most_bytes: int) -> Iterator[str]:
+    """The words of a text in stretches of at most most_bytes bytes; a longer word is one of its own."""
+    held, size = [], 0
+    for word in text.split():
+        n = len(word.encode()) + 1
+        if held and size + n > most_bytes + 1:
+            yield " ".join(held)
+            held, size = [], 0
+        held.append(word)
+        size += n
+    if held:
+        yield " ".join(held)
+
+
+def _stretched(rows: int, most_bytes: int):
+    """(lang, part, text): the first `rows` stretches of each text."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for part, stretch in enumerate(itertools.islice(stretches(text, most_bytes), rows)):
+                    yield pa.record_batch([pa.array([lang]), pa.array([part], pa.int32()), pa.array([stretch])], ["lang", "part", "text"])
+
+    return run
+
+
 def fit(docs: DataFrame, vocabulary: str, held_in: Column, text: str = "text", lang: str = "lang", rows: int = 100, most_bytes: int = 200_000) -> Model:
-    """What is learnt from at most `rows` labelled rows a language, those of the smallest text hashes among texts of at most `most_bytes`.
+    """What is learnt from at most `rows` distinct labelled texts a language, those of the smallest hashes.
 
-    held_in: a condition on rows that may be learnt from (null: not). Rows with a null language or text don't count; repeated rows count
-    each. Their texts and words are used whole, however long. A task fits one language, of at most rows * most_bytes; the driver gets its
-    piece probabilities and moments. An empty table gives a model without languages.
+    held_in: a condition on rows that may be learnt from (null: not). Rows with a null language or text don't count; rows that repeat count
+    once, so that copies of one text leave room for others. A text of more than most_bytes comes in stretches of whole words, of at most so
+    many bytes (or one longer word); the second ones count after the first ones of all texts, and so on. So each language with labelled
+    words is learnt. A task fits one language, of at most rows * most_bytes; the driver gets its piece probabilities and moments. An empty
+    table gives a model without languages.
     """
     plain = docs.where(held_in & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text_of(text).alias("text"))
-    plain = plain.where(F.octet_length("text") <= most_bytes)
-    ranked = plain.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))).where(F.col("n") <= rows)
+    long = F.octet_length("text") > most_bytes
+    stretched = written(plain.where(long).mapInArrow(_stretched(rows, most_bytes), "lang string, part int, text string"), "stretches")
+    parts = plain.where(~long).select("lang", F.lit(0).alias("part"), "text").unionByName(stretched).where(F.col("text").rlike(r"\S"))
+    parts = parts.withColumn("h", F.xxhash64("text"))
+    first = Window.partitionBy("lang").orderBy("part", "h")
+    chosen = parts.select("lang", "part", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows)  # no texts
+    ranked = parts.join(F.broadcast(chosen), ["lang", "part", "h"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
     learnt = ranked.groupBy("lang").applyInPandas(_fitted(vocabulary), "lang string, p binary, mean double, between double, within double")
     found = sorted(learnt.collect())
     p = np.stack([np.frombuffer(r.p) for r in found], 1) if found else np.zeros((pieces_of(vocabulary).size + 1, 0))

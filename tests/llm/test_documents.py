@@ -295,6 +295,48 @@ def test_language_id(spark):
     assert language_id.identify(df.limit(0), PIECES, model).count() == 0
 
 
+def test_stretches_have_all_words():
+    rng = random.Random(6)
+    for most in (1, 7, 30, 1000):
+        text = " \n".join("é" * rng.randint(1, 9) for _ in range(50))
+        found = list(language_id.stretches(text, most))
+        assert " ".join(found).split() == text.split() and all(len(x.encode()) <= most or " " not in x for x in found)
+    assert list(language_id.stretches(" \t", 5)) == []
+
+
+def test_pipeline_keeps_languages_of_long_texts(spark, tmp_path):
+    """A language whose labelled texts are all longer than what is learnt from at once is learnt, and its texts stay."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    english, french = "the of and thing there water other about".split(), "le la eau être où très chez depuis".split()
+    say = lambda some, n: " ".join(rng.choices(some, k=n))
+    rows = [(i, say(english, 20), "en") for i in range(30)] + [(100 + i, say(french, 45_000), "fr") for i in range(2)] + [(200 + i, say(french, 20), None) for i in range(10)]
+    assert len(rows[30][1].encode()) > 200_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.known_language(spark, docs, str(tmp_path)).select("doc_id").collect()} == {r[0] for r in rows}
+    model = language_id.fit(docs, PIECES, F.lit(True))
+    assert {r.lang_pred for r in language_id.identify(docs.where("doc_id >= 100"), PIECES, model).collect()} == {"fr"}
+
+
+def test_pipeline_keeps_others_beside_copies(spark, tmp_path):
+    """Copies of one text, however many, leave room for the other texts of its language."""
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    english, german = "the of and thing there water other about".split(), "der die und nicht straße über schön".split()
+    say = lambda some: " ".join(rng.choices(some, k=20))
+    texts = [say(english) for _ in range(30)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(100 + i, say(german), "de") for i in range(30)]
+    least = spark.createDataFrame([(f"{i} {7 * i} {11 * i} {13 * i} x",) for i in range(3000)], "text string").orderBy(F.xxhash64("text")).first().text
+    rows += [(1000 + i, least, "de") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.known_language(spark, docs, str(tmp_path)).select("doc_id").collect()} == {r[0] for r in rows}
+    model = language_id.fit(docs, PIECES, F.lit(True))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, PIECES, model).collect()}
+    assert all(got[i] == ("en" if i < 100 else "de") for i in got)
+
+
 # --- syncmers ------------------------------------------------------------------------------------------------------------------
 
 
@@ -676,6 +718,21 @@ def test_pipeline_drops_items_with_common_windows(spark, monkeypatch, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.no_benchmark(spark, docs, str(tmp_path)).collect()) == [i for i, _ in rows]
 
 
+def test_common_windows_count_beside_others_elsewhere(spark, monkeypatch, tmp_path):
+    """A text with a word more inside has the item's other windows on another diagonal than its common ones, which count as well."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(decontamination, "COMMON_LEAST", 20)
+    rows, item, _ = common_tables()
+    item = item.replace("walked home", "walked home by the old road to see")
+    held = "see 21 kg Riga at 22 km and 23 kg Bonn at 24 km and 25 kg Lima at 26 km and, as they say, then he walked home by the old road to see"
+    docs, bench = spark.createDataFrame([*rows, (900, held)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = contaminated(docs, bench).collect()
+    assert [r.doc_id for r in out] == [900] and out[0].coverage == 1 and out[0].n_changed == 9
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.no_benchmark(spark, docs, str(tmp_path)).collect()) == [i for i, _ in rows]
+
+
 def test_common_openings(spark):
     """Items of one opening cost no row for each document that has it, and are found where the rest is."""
     opening = "read the text below with care and then answer the question that comes after it in your own words please"
