@@ -27,6 +27,8 @@ from netscale.llm.common import blocks, extended, frugal, text_of, written
 UNKNOWN, CACHED, TOGETHER, TEXTS = 1e-7, 100_000, 100_000, 500_000
 #: Positions after which forward sums are brought back to 1, and log2 of the slots of the piece table.
 SCALED, SLOTS = 16, 20
+#: Buckets of a language's hashes: the task that ranks a language reads at most so many times the texts that are learnt from.
+BUCKETS = 64
 #: A score tells of a stretch of so many characters; a text is atypical of its language this many deviations below the mean likelihood.
 STRETCH, ATYPICAL = 20, 12.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -325,8 +327,9 @@ def fit(docs: DataFrame, vocabulary: str, held_in: Column, text: str = "text", l
     stretched = written(plain.where(long).mapInArrow(_stretched(rows, most_bytes), "lang string, part int, text string"), "stretches")
     parts = plain.where(~long).select("lang", F.lit(0).alias("part"), "text").unionByName(stretched).where(F.col("text").rlike(r"\S"))
     parts = parts.withColumn("h", F.xxhash64("text"))
-    first = Window.partitionBy("lang").orderBy("part", "h")
-    chosen = parts.select("lang", "part", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows)  # no texts
+    chosen = parts.select("lang", "part", "h").distinct()  # no texts
+    for some in ([F.pmod("h", F.lit(BUCKETS))], []):  # a language's first ones are among the first ones of its buckets
+        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("lang", *some).orderBy("part", "h"))).where(F.col("n") <= rows)
     ranked = parts.join(F.broadcast(chosen), ["lang", "part", "h"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
     learnt = ranked.groupBy("lang").applyInPandas(_fitted(vocabulary), "lang string, p binary, mean double, between double, within double")
     found = sorted(learnt.collect())
