@@ -34,6 +34,18 @@ def test_correlation_of_many_series_has_few_blocks(spark, monkeypatch):
     assert sent[12].count() == sent[60].count() == 6  # each two blocks of three
 
 
+def test_correlation_sends_series_nine_times_at_most(spark, monkeypatch):
+    """Each of eight blocks goes to nine tasks."""
+    sent, mapped = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, *a, **b: sent.append(df) or mapped(df, *a, **b))
+    values = np.random.default_rng(3).standard_normal((80, 5))
+    df = spark.createDataFrame([(i, t, float(v)) for i, row in enumerate(values) for t, v in enumerate(row)], "series_id int, t int, value double")
+    got = {(r.i, r.j): r.r for r in corr.correlation(df, rows=4).collect()}
+    want = np.corrcoef(values)
+    assert len(got) == 80 * 79 // 2 and all(abs(r - want[i, j]) < 1e-9 for (i, j), r in got.items())
+    assert sent[0].count() == 36
+
+
 def test_clean_order(spark):
     df = spark.createDataFrame([(0, 1, -0.5), (0, 2, float("nan")), (1, 2, 0.3), (1, 3, 0.2), (2, 3, None)], "i int, j int, r double")
     assert [r.r for r in corr.clean(df, threshold=0.3).orderBy("i", "j").collect()] == [0, 0, 0.3, 0, 0]
